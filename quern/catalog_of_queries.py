@@ -1,0 +1,11 @@
+"""Every query of the library by name, and its SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
