@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Entries of a task's memo of chunks; beyond it the memo starts anew (results don't depend on it).
 MEMO = 400_000
+#: From so many positions on, a rank is applied to all of them at once.
+LONG = 24
 KINDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -65,6 +68,8 @@ class PairIndexBPE:
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         ranks = {a * self.wide + b: r for r, (a, b, _) in reversed(list(enumerate(self.rules)))}
         self.rank_of = ranks.get
+        self.pair_keys = np.array(sorted(ranks))
+        self.pair_ranks = np.array([ranks[k] for k in self.pair_keys.tolist()])
         self.byte_ranks = np.array([[ranks.get(a * self.wide + b, -1) for b in self.first.tolist()] for a in self.first.tolist()])
         back = {c: b for b, c in enumerate(chars)}
         self.bytes = {str(i): bytes(back[c] for c in t) for t, i in vocab.items()}
@@ -72,11 +77,17 @@ class PairIndexBPE:
         for t in spec["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"]:
                 raise ValueError("added tokens that take white space aren't read")
-            self.added[t["content"]] = str(t["id"])
+            self.added[t["content"]] = t["id"]
             self.bytes[str(t["id"])] = t["content"].encode()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        self.words: dict[str, str] = {}
-        self.chunks: dict[str, str] = {}
+        self.sizes = np.array([len(self.bytes.get(str(i), b"")) for i in range(self.wide)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numeral = [str(i) for i in range(self.wide)]
+        self.text = np.frombuffer(b"".join(self.bytes.get(str(i), b"") for i in range(self.wide)), np.uint8)
+        #: The memo: a word's ids; a chunk's ids in decimal, and as an array's bytes. It starts anew when full.
+        self.words: dict[str, list[int]] = {}
+        self.decimal: dict[str, str] = {}
+        self.binary: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece; merges never cross from one to the next."""
@@ -98,12 +109,42 @@ class PairIndexBPE:
         active, starts = np.unique(ranks[order], return_index=True)
         where = dict(zip(active.tolist(), (x.tolist() for x in np.split(order, starts[1:])), strict=True)) if len(active) else {}
         active = active.tolist()
-        sym, left, right = self.first[text].tolist(), before.tolist(), after.tolist()
+        # one memory, seen as arrays for long lists of positions and by single places for short ones
+        s_all, l_all, r_all = self.first[text], before, after
+        sym, left, right = memoryview(s_all), memoryview(l_all), memoryview(r_all)
         pop, push = heapq.heappop, heapq.heappush
         while active:
             rank = pop(active)
             a, b, new = rules[rank]
-            for i in sorted(where.pop(rank)):
+            places = where.pop(rank)
+            if len(places) > LONG and a != b:
+                at = np.sort(np.array(places))
+                at = at[np.diff(at, prepend=-1) > 0]
+                at = at[(s_all[at] == a) & (r_all[at] >= 0)]
+                gone = r_all[at]
+                at, gone = at[keep := s_all[gone] == b], gone[keep]
+                s_all[at], s_all[gone] = new, -1
+                r_all[at] = far = r_all[gone]
+                inner = far >= 0
+                l_all[far[inner]] = at[inner]
+                near = l_all[at]
+                inner2 = near >= 0
+                pairs = np.concatenate([new * wide + s_all[far[inner]], s_all[near[inner2]] * wide + new])
+                where_to = np.concatenate([at[inner], near[inner2]])
+                found = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
+                ok = self.pair_keys[found] == pairs
+                found, where_to = self.pair_ranks[found[ok]], where_to[ok]
+                order = np.argsort(found, kind="stable")
+                found, where_to = found[order], where_to[order].tolist()
+                cuts = np.flatnonzero(np.diff(found, prepend=-1))
+                for r, i, j in zip(found[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(found)], strict=False):
+                    if r in where:
+                        where[r] += where_to[i:j]
+                    else:
+                        where[r] = where_to[i:j]
+                        push(active, r)
+                continue
+            for i in sorted(places):
                 if sym[i] != a or (j := right[i]) < 0 or sym[j] != b:
                     continue
                 sym[i], sym[j] = new, -1
@@ -122,34 +163,54 @@ class PairIndexBPE:
                     else:
                         where[r] = [h]
                         push(active, r)
-        kept = np.array(sym)
+        kept = s_all
         upto = np.cumsum(kept >= 0)[ends - 1].tolist()
         kept = kept[kept >= 0].tolist()
         return [kept[i:j] for i, j in zip([0, *upto], upto, strict=False)]
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks into the memo, all their new pieces in one index."""
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-            self.words.clear()
-        fresh = {c: self.pieces(c) for c in chunks if c not in self.chunks}
-        words = list({w for ws in fresh.values() for w in ws} - self.words.keys())
-        for w, ids in zip(words, self.encode_pieces([w.encode() for w in words]), strict=True):
-            self.words[w] = ",".join(map(str, ids))
+        if len(self.decimal) > MEMO:
+            self.words, self.decimal, self.binary = {}, {}, {}
+        words, decimal, binary, numeral = self.words, self.decimal, self.binary, self.numeral
+        fresh = {c: self.pieces(c) for c in chunks - decimal.keys()}
+        new = list({w for ws in fresh.values() for w in ws} - words.keys())
+        words.update(zip(new, self.encode_pieces([w.encode() for w in new]), strict=True))
         for c, ws in fresh.items():
-            self.chunks[c] = ",".join([self.words[w] for w in ws])
-
-    def encode_texts(self, texts: list[str]) -> list[str]:
-        """The decimal ids of each text, joined by commas."""
-        parts = [self.split(t) if self.split and any(a in t for a in self.added) else [t] for t in texts]
-        found = [[[p] if k % 2 else CHUNK.findall(p) for k, p in enumerate(ps)] for ps in parts]
-        self.learn({c for text in found for k, cs in enumerate(text) if k % 2 == 0 for c in cs})
-        get = self.chunks.__getitem__
-        return [",".join(x for k, cs in enumerate(text) if (x := self.added[cs[0]] if k % 2 else ",".join(map(get, cs)))) for text in found]
-
-    def decode(self, ids: str) -> str:
-        """The text of comma-joined ids, special ones included; bytes that aren't UTF-8 become the replacement character."""
-        return b"".join(map(self.bytes.__getitem__, ids.split(","))).decode(errors="replace") if ids else ""
+            ids = words[ws[0]] if len(ws) == 1 else [x for w in ws for x in words[w]]
+            decimal[c] = ",".join([numeral[i] for i in ids])
+            binary[c] = array("i", ids).tobytes()
+
+    def encode_texts(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """The ids of each text, in decimal joined by commas and as an array."""
+        special = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        found, chunks = list(map(CHUNK.findall, texts)), set()
+        for k in special:
+            found[k] = [x for i, p in enumerate(self.split(texts[k])) for x in ([p] if i % 2 else CHUNK.findall(p))]
+        for cs in found:
+            chunks.update(cs)
+        self.learn(chunks - self.added.keys())
+        for a, i in self.added.items():  # they stand for themselves, as a chunk that is nothing else always does
+            self.decimal[a], self.binary[a] = str(i), array("i", [i]).tobytes()
+        decimal, binary = self.decimal.__getitem__, self.binary.__getitem__
+        return [",".join(map(decimal, cs)) for cs in found], [np.frombuffer(b"".join(map(binary, cs)), np.int32) for cs in found]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, special ones included; bytes that aren't UTF-8 become the replacement character."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        from_ = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        return self.text[from_ + np.arange(len(from_))].tobytes().decode(errors="replace")
+
+
+_OPEN: dict[str, PairIndexBPE] = {}
+
+
+def opened(path: str) -> PairIndexBPE:
+    """One vocabulary, with its memo, for all tasks of a Python worker."""
+    if path not in _OPEN:
+        _OPEN[path] = PairIndexBPE(path)
+    return _OPEN[path]
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -172,11 +233,11 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         gc.disable()  # millions of small lists and no cycles
-        bpe = PairIndexBPE(vocabulary)
+        bpe = opened(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for ids, texts in blocks(batches):
-            codes = bpe.encode_texts(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([c.count(",") + 1 if c else 0 for c in codes], pa.int64()), pa.array(map(sha, codes), pa.string()), pa.array([sha(bpe.decode(c)) for c in codes], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            decimal, codes = bpe.encode_texts(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, codes), pa.int64()), pa.array(map(sha, decimal), pa.string()), pa.array([sha(bpe.decode(c)) for c in codes], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, KINDS)
 
@@ -186,9 +247,9 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         gc.disable()  # millions of small lists and no cycles
-        bpe = PairIndexBPE(vocabulary)
+        bpe = opened(vocabulary)
         for ids, texts in blocks(batches):
-            codes = bpe.encode_texts(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([[int(x) for x in c.split(",")] if c else [] for c in codes], pa.list_(pa.int32())), pa.array(map(bpe.decode, codes), pa.string())], ["doc_id", "ids", "decoded"])
+            _, codes = bpe.encode_texts(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(map(bpe.decode, codes), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

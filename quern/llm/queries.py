@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import decontaminate
+
+    return decontaminate.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_arrow_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import token_store
 
