@@ -19,7 +19,6 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space and the word after it: the pre-tokenizer never looks beyond such a chunk.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Entries of a task's memo of chunks; beyond it the memo starts anew (results don't depend on it).
-MEMO = 400_000
+MEMO = 500_000
 #: From so many positions on, a rank is applied to all of them at once.
 LONG = 24
 KINDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -48,6 +47,22 @@ def byte_chars() -> list[str]:
     return out
 
 
+class Strings:
+    """Byte strings by number, and their concatenation for an array of numbers."""
+
+    def __init__(self, all_: list[bytes]):
+        self.sizes = np.array([len(x) for x in all_], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.text = np.frombuffer(b"".join(all_), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        at = np.cumsum(sizes, dtype=np.int64) - sizes
+        places = np.repeat(self.starts[ids] - at, sizes)
+        places += np.arange(len(places))
+        return self.text[places].tobytes()
+
+
 class PairIndexBPE:
     """A byte-level BPE vocabulary in the JSON of the tokenizers library."""
 
@@ -72,25 +87,23 @@ class PairIndexBPE:
         self.pair_ranks = np.array([ranks[k] for k in self.pair_keys.tolist()])
         self.byte_ranks = np.array([[ranks.get(a * self.wide + b, -1) for b in self.first.tolist()] for a in self.first.tolist()])
         back = {c: b for b, c in enumerate(chars)}
-        self.bytes = {str(i): bytes(back[c] for c in t) for t, i in vocab.items()}
+        self.bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.added = {}
         for t in spec["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"]:
                 raise ValueError("added tokens that take white space aren't read")
             self.added[t["content"]] = t["id"]
-            self.bytes[str(t["id"])] = t["content"].encode()
+            self.bytes[t["id"]] = t["content"].encode()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        self.sizes = np.array([len(self.bytes.get(str(i), b"")) for i in range(self.wide)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.numeral = [str(i) for i in range(self.wide)]
-        self.text = np.frombuffer(b"".join(self.bytes.get(str(i), b"") for i in range(self.wide)), np.uint8)
-        #: The memo: a word's ids; a chunk's ids in decimal, and as an array's bytes. It starts anew when full.
-        self.words: dict[str, list[int]] = {}
-        self.decimal: dict[str, str] = {}
-        self.binary: dict[str, bytes] = {}
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; merges never cross from one to the next."""
+        self.kind = np.dtype(np.uint16 if self.wide <= 1 << 16 else np.uint32)
+        self.texts = Strings([self.bytes.get(i, b"") for i in range(self.wide)])
+        self.numerals = Strings([b"%d," % i for i in range(self.wide)])
+        #: The memo of words' and chunks' ids, as arrays' bytes. It starts anew when full.
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as an array's bytes; merges never cross from one to the next."""
         if not pieces:
             return []
         wide, rank_of, rules = self.wide, self.rank_of, self.rules
@@ -163,26 +176,23 @@ class PairIndexBPE:
                     else:
                         where[r] = [h]
                         push(active, r)
-        kept = s_all
-        upto = np.cumsum(kept >= 0)[ends - 1].tolist()
-        kept = kept[kept >= 0].tolist()
+        upto = (np.cumsum(s_all >= 0)[ends - 1] * self.kind.itemsize).tolist()
+        kept = s_all[s_all >= 0].astype(self.kind).tobytes()
         return [kept[i:j] for i, j in zip([0, *upto], upto, strict=False)]
 
     def learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks into the memo, all their new pieces in one index."""
-        if len(self.decimal) > MEMO:
-            self.words, self.decimal, self.binary = {}, {}, {}
-        words, decimal, binary, numeral = self.words, self.decimal, self.binary, self.numeral
-        fresh = {c: self.pieces(c) for c in chunks - decimal.keys()}
+        if len(self.chunks) > MEMO:
+            self.words, self.chunks = {}, {}
+        words, known = self.words, self.chunks
+        fresh = {c: self.pieces(c) for c in chunks - known.keys()}
         new = list({w for ws in fresh.values() for w in ws} - words.keys())
         words.update(zip(new, self.encode_pieces([w.encode() for w in new]), strict=True))
         for c, ws in fresh.items():
-            ids = words[ws[0]] if len(ws) == 1 else [x for w in ws for x in words[w]]
-            decimal[c] = ",".join([numeral[i] for i in ids])
-            binary[c] = array("i", ids).tobytes()
+            known[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
-    def encode_texts(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """The ids of each text, in decimal joined by commas and as an array."""
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         special = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
         found, chunks = list(map(CHUNK.findall, texts)), set()
         for k in special:
@@ -191,16 +201,16 @@ class PairIndexBPE:
             chunks.update(cs)
         self.learn(chunks - self.added.keys())
         for a, i in self.added.items():  # they stand for themselves, as a chunk that is nothing else always does
-            self.decimal[a], self.binary[a] = str(i), array("i", [i]).tobytes()
-        decimal, binary = self.decimal.__getitem__, self.binary.__getitem__
-        return [",".join(map(decimal, cs)) for cs in found], [np.frombuffer(b"".join(map(binary, cs)), np.int32) for cs in found]
+            self.chunks[a] = self.kind.type(i).tobytes()
+        get = self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, cs)), self.kind) for cs in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special ones included; bytes that aren't UTF-8 become the replacement character."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        from_ = np.repeat(self.starts[ids] - ends + sizes, sizes)
-        return self.text[from_ + np.arange(len(from_))].tobytes().decode(errors="replace")
+        return self.texts.of(ids).decode(errors="replace")
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        return self.numerals.of(ids)[:-1]
 
 
 _OPEN: dict[str, PairIndexBPE] = {}
@@ -234,10 +244,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         gc.disable()  # millions of small lists and no cycles
         bpe = opened(vocabulary)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda s: hashlib.sha256(s).hexdigest()
         for ids, texts in blocks(batches):
-            decimal, codes = bpe.encode_texts(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, codes), pa.int64()), pa.array(map(sha, decimal), pa.string()), pa.array([sha(bpe.decode(c)) for c in codes], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            codes = bpe.encode_texts(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, codes), pa.int64()), pa.array([sha(bpe.decimal(c)) for c in codes], pa.string()), pa.array([sha(bpe.decode(c).encode()) for c in codes], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, KINDS)
 
@@ -249,7 +259,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         gc.disable()  # millions of small lists and no cycles
         bpe = opened(vocabulary)
         for ids, texts in blocks(batches):
-            _, codes = bpe.encode_texts(texts)
+            codes = bpe.encode_texts(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(map(bpe.decode, codes), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
