@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id. Each task encodes its range in
 ascending order and packs the ids, without gaps, into rows of `width` ids: one
 Arrow file (the stream format with a footer of batch offsets), whose two columns
 are fixed-size lists, the ids (16 bits wide where the vocabulary allows) and a
-mask (1: an id, 0: the padding after a file's last id). Uncompressed batches of
+mask of single bits (1: an id, 0: the padding after a file's last id). Uncompressed batches of
 equal-length rows are read by offset from a memory map, without a copy. A
 file's name holds the attempt that wrote it; the index, which Spark commits,
 names the files that count, so attempts that were lost leave no trace.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import CHUNK, MEMO, blocks
+from quern.llm.bpe import SPACE, blocks
 from quern.llm.common import open_in, open_out, partitions, scratch
 
 WIDTH, ROWS = 1024, 256
+#: Entries of a worker's memo of chunks; beyond it the memo starts anew (results don't depend on it).
+MEMO = 1_000_000
+WORD = re.compile(f"[^{SPACE}]+")
 INDEX = "doc_id long, part int, file string, at long, n_tokens long"
 
 
@@ -49,24 +53,55 @@ class ChunkEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    def learn(self, chunks: list[str]) -> None:
+        """The ids of new chunks: many chunks make one text, with a word between them that none of them has."""
+        mark, encode = "\x01", self.tokenizer.encode_batch_fast
+        odd = [c for c in chunks if mark in c]
+        for c, e in zip(odd, encode(odd, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, self.kind).tobytes()
+        if odd:
+            chunks = [c for c in chunks if mark not in c]
+        (between,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        for k in range(0, len(chunks), 10_000):
+            part = chunks[k : k + 10_000]
+            ids = np.array(encode([f" {mark} ".join([*part, ""])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == between)
+            raw, size = ids.tobytes(), ids.itemsize
+            at = (ends * size).tolist()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(x + size for x in at)], at, strict=False)], strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [any(s in t for s in self.special) for t in texts]
-        parts = [[t] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
+        low = [t.encode().lower().decode() for t in texts]  # A-Z only, which the tokenizer does as well
+        parts = list(map(WORD.findall, low))
+        for k, t in enumerate(low):
+            if any(s in t for s in self.special):
+                parts[k] = None
         if len(self.known) > MEMO:
             self.known.clear()
-        new = list({c for p in parts for c in p} - self.known.keys())
-        for k in range(0, len(new), 20_000):
-            for c, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, self.kind).tobytes()
+        chunks = set()
+        for p in parts:
+            chunks.update(p or ())
+        self.learn(list(chunks - self.known.keys()))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)) + self.end, self.kind) for p in parts]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+        return [np.frombuffer((whole(texts[k]) if p is None else b"".join(map(get, p))) + self.end, self.kind) for k, p in enumerate(parts)]
+
+
+_OPEN: dict[tuple, ChunkEncoder] = {}
+
+
+def opened(vocabulary: str, end: int) -> ChunkEncoder:
+    """One tokenizer, with its memo, for all tasks of a Python worker."""
+    if (key := (vocabulary, end)) not in _OPEN:
+        _OPEN[key] = ChunkEncoder(vocabulary, end)
+    return _OPEN[key]
 
 
 class Packer:
     """Writes one file: ids go in as they come, rows of `width` go out in batches of ROWS."""
 
     def __init__(self, path: str, kind: np.dtype, width: int):
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.uint8(), width))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.bool_(), width))])
         self.sink = open_out(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.width, self.kind, self.waiting, self.held, self.n = width, kind, [], 0, 0
@@ -85,7 +120,7 @@ class Packer:
 
     def write(self, flat: np.ndarray, n: int) -> None:
         rows = -(-n // self.width)
-        ids, mask = np.zeros(rows * self.width, self.kind), np.zeros(rows * self.width, np.uint8)
+        ids, mask = np.zeros(rows * self.width, self.kind), np.zeros(rows * self.width, bool)
         ids[:n], mask[:n] = flat, 1
         self.file.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask)], schema=self.schema))
 
@@ -139,7 +174,7 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, width: int = WIDTH) ->
         path = f"{folder}/data/{part:06d}-{uuid.uuid4().hex[:8]}.arrow"
         for ids, texts in blocks(batches):
             if not packer:
-                coder = ChunkEncoder(vocabulary, end)
+                coder = opened(vocabulary, end)
                 packer = Packer(path, coder.kind, width)
             found = coder.encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array([path] * len(ids)), pa.array(map(packer.add, found), pa.int64()), pa.array(map(len, found), pa.int64())], ["doc_id", "part", "file", "at", "n_tokens"])
