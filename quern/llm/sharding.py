@@ -45,7 +45,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     buckets = max(1, -(-(size or 0) // bucket_bytes), -(-n // BUCKET_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # AQE may read several buckets in one task: each is shuffled and passed on by itself
+        # should a task read several buckets, each is shuffled and passed on by itself
         held, at = [], None
 
         def out(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
 
     mark = F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())
     scattered = rows.withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int"))
-    dealt = scattered.repartition(buckets, "bucket").sortWithinPartitions("bucket", "mark", "doc_id")
+    dealt = scattered.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "mark", "doc_id")
     placed = written(dealt.mapInArrow(run, "doc_id long, text string, mark long, bucket int, place long"), "shuffled")
     # one row per bucket
     counts = sorted((r.bucket, r["count"]) for r in placed.groupBy("bucket").count().collect())
