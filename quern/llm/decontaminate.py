@@ -50,7 +50,7 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     """item_id, w (number of the window), words."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("all")).where("item_id is not null and size(all) > 0")
     n = F.greatest(F.size("all") - window, F.lit(0))
-    return items.select("item_id", "all", F.explode(F.sequence(F.lit(0), n)).alias("w")).select("item_id", "w", F.slice("all", F.col("w") + 1, window).alias("words"))
+    return items.select("item_id", "all", F.explode_outer(F.sequence(F.lit(0), n)).alias("w")).select("item_id", "w", F.slice("all", F.col("w") + 1, window).alias("words"))
 
 
 def places_of(docs: DataFrame, grams: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
@@ -63,8 +63,9 @@ def places_of(docs: DataFrame, grams: DataFrame, lengths: list[int], window: int
     for k, n in enumerate(lengths):
         # the first length also carries the row of the document itself, as an added element at -1
         marks = F.concat(F.array(F.lit(0).cast("long")), grams_of(F.col("h"), n)) if k == 0 else grams_of(F.col("h"), n)
-        # the marks are a column of their own, so that the explode is compiled and doesn't copy the words for each row
-        spread = hashed.withColumn("marks", marks).select("rid", "doc_id", "words", F.posexplode("marks").alias("pos", "gram"))
+        # the marks are a column of their own, so that the explode is compiled and doesn't copy the words for each row;
+        # an outer explode has no filter on the array's size, which would compute the array once more
+        spread = hashed.withColumn("marks", marks).select("rid", "doc_id", "words", F.posexplode_outer("marks").alias("pos", "gram"))
         if k == 0:
             spread = spread.withColumn("pos", F.col("pos") - 1)
         right = F.broadcast(wanted[k]) if few else wanted[k]
@@ -89,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     hashes = windows.select("item_id", "w", "words", least.alias("len"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     lengths = sorted(r.len for r in hashes.select("len").distinct().collect())  # at most `gram` of them
     by_length = F.coalesce(*(F.when(F.col("len") == n, grams_of(F.col("h"), n)) for n in lengths)) if lengths else F.array(F.lit(0).cast("long"))
-    parts = hashes.select("item_id", "w", "words", "len", F.posexplode(by_length).alias("offset", "gram"))
+    parts = hashes.withColumn("grams", by_length).select("item_id", "w", "words", "len", F.posexplode_outer("grams").alias("offset", "gram"))
     places = written(places_of(docs, parts.select("len", "gram").distinct(), lengths, window, gram), "places")
     counts = places.where("pos is not null").groupBy("len", "gram").agg(F.count(F.lit(1)).alias("n"))
     # each window's prefix: its rarest shingle; a window whose shingles don't all occur can't occur

@@ -29,6 +29,12 @@ def op6_arrow_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(token_store.write(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1))
 
 
+def op7_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import secrets
+
+    return secrets.digests(documents(spark, sf_dir))
+
+
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import sharding
 
