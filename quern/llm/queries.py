@@ -23,6 +23,12 @@ def op1_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import toxicity
+
+    return toxicity.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_arrow_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import token_store
 
