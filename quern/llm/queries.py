@@ -23,6 +23,12 @@ def op1_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_pivot_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import jaccard
+
+    return jaccard.linked(documents(spark, sf_dir))
+
+
 def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import toxicity
 
