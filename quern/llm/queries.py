@@ -54,6 +54,12 @@ def op7_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
 
+def op8_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import substrings
+
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import sharding
 
