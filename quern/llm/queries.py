@@ -30,6 +30,12 @@ def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op3_elias_fano_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import ngram
+
+    return ngram.scores(documents(spark, sf_dir))
+
+
 def op4_pivot_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import jaccard
 
