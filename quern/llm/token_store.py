@@ -34,6 +34,7 @@ from quern.llm.common import open_in, open_out, partitions, scratch
 WIDTH, ROWS = 1024, 256
 #: Entries of a worker's memo of chunks; beyond it the memo starts anew (results don't depend on it).
 MEMO = 1_000_000
+MARKS = frozenset(".,;:!?")
 WORD = re.compile(f"[^{SPACE}]+")
 INDEX = "doc_id long, part int, file string, at long, n_tokens long"
 
@@ -81,7 +82,12 @@ class ChunkEncoder:
         chunks = set()
         for p in parts:
             chunks.update(p or ())
-        self.learn(list(chunks - self.known.keys()))
+        # a mark after a letter always begins a piece of its own: words are learned once, with and without it
+        new = chunks - self.known.keys()
+        ended = [c for c in new if c[-1] in MARKS and "a" <= c[-2:-1] <= "z"]
+        self.learn(list(new.difference(ended).union([c[:-1] for c in ended], MARKS) - self.known.keys()))
+        for c in ended:
+            self.known[c] = self.known[c[:-1]] + self.known[c[-1]]
         get = self.known.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
         return [np.frombuffer((whole(texts[k]) if p is None else b"".join(map(get, p))) + self.end, self.kind) for k, p in enumerate(parts)]
