@@ -10,7 +10,9 @@ distance, a metric, is at most 0.25.
    floor(n / 4) + 1 shingles of either set in any fixed order; a region is the sets
    that have a shingle among those. The order is by a count sketch over all
    documents, rarest first, so that shared passages seldom make regions.
-3. Pivots. A region's pivot is the member that a hash puts first. The exact distance
+3. Pivots. A region's pivot is the member with the fewest shingles before the region's:
+   copies with edits of their own have rare ones there, so it is the one nearest to
+   what the others have in common. The exact distance
    of every member to it is taken, unless lengths or positions rule a link out.
    Members within 0.25 are one component with the pivot: their mutual pairs need no
    look. Between the others the triangle inequality leaves windows: x and y can link
@@ -156,7 +158,7 @@ def regions(sets: DataFrame) -> DataFrame:
     """The members of every region of two sets or more, each with the region's pivot: s, cid, n, pos, pivot, pivot_n, pivot_pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by s, rank, cid: a region is a run. Of the last run only its first member and whether it has two are kept.
+        # sorted by s, pos, a hash, cid: a region is a run. Of the last run only its first member and whether it has two are kept.
         names = ["s", "cid", "n", "pos"]
         first, last_cid, many = None, None, False  # first member of the run at the end of what was read
         for batch in batches:
@@ -190,7 +192,7 @@ def regions(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [*names, "pivot", "pivot_n", "pivot_pos"])
 
     postings = sets.where("n > 0").select("cid", "n", F.posexplode_outer("prefix").alias("pos", "s")).select("s", "cid", "n", F.col("pos").cast("long").alias("pos"))
-    dealt = postings.repartition(partitions(sets.sparkSession), "s").sortWithinPartitions("s", F.xxhash64("cid"), "cid")
+    dealt = postings.repartition(partitions(sets.sparkSession), "s").sortWithinPartitions("s", "pos", F.xxhash64("cid"), "cid")
     return written(dealt.mapInArrow(run, "s long, cid long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "regions")
 
 
@@ -272,7 +274,7 @@ def linked(docs: DataFrame) -> DataFrame:
         ranked = written(rows.withColumn("rank", F.xxhash64("cid")), "rounds")
         if not ranked.limit(1).count():
             break
-        turn = Window.partitionBy("s").orderBy("rank", "cid")
+        turn = Window.partitionBy("s").orderBy("pos", "rank", "cid")
         pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("d").alias("pd"), F.col("c").alias("pc"), F.col("rank").alias("pr"))
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 0.25 + 1e-9, F.lit(True))
         pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")))
