@@ -8,7 +8,7 @@ distance, a metric, is at most 0.25.
 2. Regions. Sets that share no shingle are at distance 1 from each other and from
    every pivot: no pivot can part them. A linked pair shares one of the first
    floor(n / 4) + 1 shingles of either set in any fixed order; a region is the sets
-   that have a shingle among those. The order is by a count sketch over all
+   that have a shingle among those (and a few more, see too_own). The order is by a count sketch over all
    documents, rarest first, so that shared passages seldom make regions.
 3. Pivots. A region's pivot is the member with the fewest shingles before the region's:
    copies with edits of their own have rare ones there, so it is the one nearest to
@@ -46,6 +46,10 @@ from quern.llm.bpe import blocks
 from quern.llm.common import open_in, open_out, partitions, scratch, written
 
 WORDS, PERCENT = 5, 75
+#: A prefix of n // 4 + 1 shingles would do for regions; one of 2n / 7 + SLACK also lets a set's own shingles rule links out.
+SLACK = 4
+#: Regions up to this size compare all their members in the first round of the recursion.
+SMALL = 9
 #: Counters of the sketch: 16 bits each, so 8 MB at any size of the input.
 SKETCH_BITS = 22
 #: Entries of a worker's memo of words.
@@ -144,7 +148,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 n.append(len(u))
                 cid.append(int((mix(u + MIX).sum() * MIX ^ np.uint64(len(u))).astype(np.int64)))
                 rank = np.argsort((counts[u >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(48)) | (u >> np.uint64(16)), kind="stable")
-                prefix.append(u[rank[: len(u) // 4 + 1]].view(np.int64))
+                prefix.append(u[rank[: len(u) * 2 // 7 + SLACK]].view(np.int64))
                 at.append(where)
                 where += out.write(pack(u)) or 6 * len(u)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array([path] * len(ids)), pa.array(at, pa.int64())], ["doc_id", "n", "cid", "prefix", "file", "at"])
@@ -202,6 +206,29 @@ def may_link(n, pos, n2, pos2):
     return (100 * F.least(n, n2) >= PERCENT * F.greatest(n, n2)) & (100 * common >= PERCENT * (n + n2 - common))
 
 
+def prefix_of(n):
+    return F.least(n, F.floor(n * 2 / 7) + SLACK)
+
+
+def lacks(n, n2):
+    """How many of its shingles a set of size n may lack in one of size n2 that it links to."""
+    return n - F.ceil(PERCENT * (n + n2) / (100 + PERCENT))
+
+
+def reach(n, n2):
+    """The places from the start at which a shingle of one set that the other has must be in the prefix of the other, of size n2, if they link: else all of its prefix, but for as many as come before, would be missing from the first."""
+    return prefix_of(n2) - lacks(n2, n)
+
+
+def too_own(n, own, n2):
+    """Whether a set's own shingles rule out a link with a set of size n2, exactly.
+
+    own: so many of its shingles within reach(n, n) are in no region of more than SMALL sets. Sets that
+    meet in a small region are compared there; others share none of these, so a link lacks them all.
+    """
+    return F.least(own - F.greatest(reach(n, n) - reach(n, n2), F.lit(0)), reach(n, n2)) > lacks(n, n2)
+
+
 def distances(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """x, y, common, n, n2 of pairs of sets, from the store."""
 
@@ -258,13 +285,15 @@ def linked(docs: DataFrame) -> DataFrame:
     links = known.where(near).select("x", "y")
     comp = components(links)
     # regions with a member that isn't of the pivot's component go on, without the pivot, with each member's distance to it
-    label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
+    large = members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).select("s", F.lit(True).alias("large"))
+    shared = members.join(large, "s").where(F.col("pos") < reach(F.col("n"), F.col("n"))).groupBy("cid").agg(F.count(F.lit(1)).alias("shared"))
+    owns = members.select("cid").distinct().join(shared, "cid", "left").join(comp.select(F.col("node").alias("cid"), F.col("comp").alias("c")), "cid", "left")
     far = 1 - F.col("common") / (F.col("n") + F.col("n2") - F.col("common"))
     d = known.select("x", "y", far.alias("d"))
     rows = members.select("s", "cid", "n", "pos", "pivot", *ordered(F.col("cid"), F.col("pivot"))).join(d, ["x", "y"], "left")
-    rows = rows.join(label, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-    rows = written(rows.select("s", "cid", "n", "pos", "pivot", "d", "c"), "members")
-    width, used = 8, 1
+    rows = rows.join(owns, "cid").join(large, "s", "left").withColumn("c", F.coalesce("c", "cid")).withColumn("own", reach(F.col("n"), F.col("n")) - F.coalesce("shared", F.lit(0)))
+    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c"), "members")
+    width, used = SMALL - 1, 1
     while True:
         mixed = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s")
         rows = rows.join(mixed, "s", "left_semi")
@@ -275,9 +304,9 @@ def linked(docs: DataFrame) -> DataFrame:
         if not ranked.limit(1).count():
             break
         turn = Window.partitionBy("s").orderBy("pos", "rank", "cid")
-        pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("d").alias("pd"), F.col("c").alias("pc"), F.col("rank").alias("pr"))
+        pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("own").alias("po"), F.col("d").alias("pd"), F.col("c").alias("pc"))
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 0.25 + 1e-9, F.lit(True))
-        pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")))
+        pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
         fresh = pairs.select(*ordered(F.col("cid"), F.col("p"))).distinct().join(known.select("x", "y"), ["x", "y"], "left_anti")
         more = written(distances(fresh, index), "distances")
         known = known.unionByName(more)
