@@ -42,7 +42,7 @@ LENGTH, GRAM = 200, 64
 PLACE = np.uint64(28)
 BLOOM_BITS, PIECES = 26, 64
 #: Bytes of documents, and of contexts, that a task holds at once (a single longer document or hot hash is held whole).
-BLOCK, CHUNK = 4 << 20, 6 << 20
+BLOCK, CHUNK = 2 << 20, 3 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,22 +188,27 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    order = np.argsort(words, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[False, words[order][1:] != words[order][:-1]])
-    levels, reach = [rank], 8
-    while reach < depth:
-        follow = np.zeros(n, np.int64)
-        follow[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank * (n + 2) + follow
-        sub = order[np.argsort(key[order], kind="stable")]
-        order, sorted_ = sub, key[sub]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
-        levels.append(rank)
-        reach *= 2
-        if rank[order[-1]] == n - 1:
+    order = np.argsort(words)
+    slots, key = np.arange(n), words[order]
+    rank, levels, reach = np.empty(n, np.int32), [], 8
+    del words
+    while True:
+        # equal keys are one group, whose rank is its first slot; a suffix that is alone has its final place
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(key)])
+        rank[order[slots]] = np.repeat(slots[first], size)
+        levels.append(rank.copy())
+        slots = slots[np.repeat(size > 1, size)]
+        if reach >= depth or not len(slots):
             break
+        some = order[slots]
+        after = some + reach
+        key = rank[some].astype(np.int64) * (n + 1)
+        key += np.where(after < n, rank[np.minimum(after, n - 1)].astype(np.int64) + 1, 0)
+        sub = np.argsort(key)
+        order[slots], key = some[sub], key[sub]
+        reach *= 2
     i, j, lcp = order[1:].copy(), order[:-1].copy(), np.zeros(n, np.int64)
     size = np.zeros(n - 1, np.int64)
     for level in range(len(levels) - 1, -1, -1):
