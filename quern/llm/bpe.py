@@ -25,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.llm.common import worker_state
+
 # White space of Unicode, the contractions and classes of the byte-level pre-tokenizer.
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space and the word after it: the pre-tokenizer never looks beyond such a chunk.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Entries of a task's memo of chunks; beyond it the memo starts anew (results don't depend on it).
-MEMO = 500_000
+MEMO = 350_000
 #: From so many positions on, a rank is applied to all of them at once.
 LONG = 24
 KINDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -213,17 +215,12 @@ class PairIndexBPE:
         return self.numerals.of(ids)[:-1]
 
 
-_OPEN: dict[str, PairIndexBPE] = {}
-
-
 def opened(path: str) -> PairIndexBPE:
     """One vocabulary, with its memo, for all tasks of a Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = PairIndexBPE(path)
-    return _OPEN[path]
+    return worker_state(("bpe", path), lambda: PairIndexBPE(path))
 
 
-def blocks(batches: Iterable[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
+def blocks(batches: Iterable[pa.RecordBatch], most: int = 5_000_000) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts (null: empty) in blocks of bounded size."""
     for batch in batches:
         ids, texts, size = [], [], 0

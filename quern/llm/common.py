@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.lower(rest) == rest, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What the tasks of one operator share within a Python worker (a model, a memo). A worker keeps one at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def uri(path: str) -> str:
     """Hadoop writes file:/x, Arrow reads file:///x."""
     return re.sub(r"^file:/+", "file:///", path)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.bpe import blocks
-from quern.llm.common import open_in, open_out, partitions, scratch, written
+from quern.llm.common import open_in, open_out, partitions, scratch, worker_state, written
 
 WORDS, PERCENT = 5, 75
 #: A prefix of n // 4 + 1 shingles would do for regions; one of 2n / 7 + SLACK also lets a set's own shingles rule links out.
@@ -53,9 +53,8 @@ SMALL = 9
 #: Counters of the sketch: 16 bits each, so 8 MB at any size of the input.
 SKETCH_BITS = 22
 #: Entries of a worker's memo of words.
-MEMO = 1_000_000
+MEMO = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_MEMO: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,16 +66,17 @@ def shingles(texts: list[str]) -> list[np.ndarray]:
     """The hashes of each text's shingles, in order, repeats included."""
     import xxhash
 
-    if len(_MEMO) > MEMO:
-        _MEMO.clear()
+    memo: dict[bytes, int] = worker_state("jaccard", dict)
+    if len(memo) > MEMO:
+        memo.clear()
     words = [t.encode().lower().split() for t in texts]  # bytes: A-Z and the six white-space characters of ASCII only
     new = set()
     for w in words:
         new.update(w)
-    _MEMO.update((w, xxhash.xxh3_64_intdigest(w)) for w in new - _MEMO.keys())
+    memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in new - memo.keys())
     out = []
     for w in words:
-        h = np.fromiter(map(_MEMO.__getitem__, w), np.uint64, len(w))
+        h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
         k = min(WORDS, len(h))
         if not k:
             out.append(h)

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import open_in, open_out, scratch, written
+from quern.llm.common import open_in, open_out, scratch, worker_state, written
 
 FOLDS, HELD = 7, 2
 #: Words in a vocabulary shard, and training tokens for a shard of pairs, at most on average.
 SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_500_000
 #: Entries of a worker's memo of words; pairs that a task holds before it counts them.
-MEMO, HELD_PAIRS = 1_000_000, 6_000_000
+MEMO, HELD_PAIRS = 500_000, 4_000_000
 END = b" "  # no word has a space
 SCALE, STEPS = 9.0, 255  # codes 0..255 stand for log10 p of -9..0
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -208,15 +208,9 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator
             yield batch, at, held
 
 
-_OPEN: dict[tuple, object] = {}
-
-
-def opened(kind: type, *files: str):
-    if (key := (kind, files)) not in _OPEN:
-        for old in [k for k in _OPEN if k[0] is kind]:
-            del _OPEN[old]
-        _OPEN[key] = kind(list(files))
-    return _OPEN[key]
+def opened(words: list[str], pairs: list[str]) -> tuple[Vocabulary, Model]:
+    """The levels, mapped once for all tasks of a Python worker, with their memo."""
+    return worker_state(("ngram", *words, *pairs), lambda: (Vocabulary(words), Model(pairs)))
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -286,7 +280,7 @@ def count_pairs(train: DataFrame, words: list[str], shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         np.seterr(over="ignore")
-        vocabulary = opened(Vocabulary, *words)
+        vocabulary, _ = opened(words, [])
         end = vocabulary.find(np.array([_hash(END)], np.int64))[0][0]
 
         def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +412,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         np.seterr(over="ignore")
-        vocabulary, model = (opened(Vocabulary, *words), opened(Model, *pairs)) if words else (None, None)
+        vocabulary, model = opened(words, pairs) if words else (None, None)
         end = vocabulary.find(np.array([_hash(END)], np.int64))[0][0] if words else -1
         for batch, at, texts in blocks(batches):
             size = np.array([len(t) + 1 for t in texts])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import SPACE, blocks
-from quern.llm.common import open_in, open_out, partitions, scratch
+from quern.llm.common import open_in, open_out, partitions, scratch, worker_state
 
 WIDTH, ROWS = 1024, 256
 #: Entries of a worker's memo of chunks; beyond it the memo starts anew (results don't depend on it).
@@ -93,14 +93,9 @@ class ChunkEncoder:
         return [np.frombuffer((whole(texts[k]) if p is None else b"".join(map(get, p))) + self.end, self.kind) for k, p in enumerate(parts)]
 
 
-_OPEN: dict[tuple, ChunkEncoder] = {}
-
-
 def opened(vocabulary: str, end: int) -> ChunkEncoder:
     """One tokenizer, with its memo, for all tasks of a Python worker."""
-    if (key := (vocabulary, end)) not in _OPEN:
-        _OPEN[key] = ChunkEncoder(vocabulary, end)
-    return _OPEN[key]
+    return worker_state(("tokens", vocabulary, end), lambda: ChunkEncoder(vocabulary, end))
 
 
 class Packer:
@@ -178,7 +173,7 @@ def write(docs: DataFrame, vocabulary: str, end: int = 1, width: int = WIDTH) ->
         gc.disable()
         part, coder, packer = TaskContext.get().partitionId(), None, None
         path = f"{folder}/data/{part:06d}-{uuid.uuid4().hex[:8]}.arrow"
-        for ids, texts in blocks(batches):
+        for ids, texts in blocks(batches, 8_000_000):
             if not packer:
                 coder = opened(vocabulary, end)
                 packer = Packer(path, coder.kind, width)

@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from quern.llm.common import worker_state
+
 BUCKETS, WIDTH, GRAMS, SEGMENT = 1 << 17, 8, (3, 4, 5), 8
-SAMPLE, SAMPLE_CHARS, ROUNDS = 2_000, 8_000, 110
+SAMPLE, SAMPLE_CHARS, ROUNDS = 1_500, 8_000, 110
 HELD_OUT = 5
 #: Entries of a worker's memo of words; beyond it the memo starts anew (results don't depend on it).
-MEMO = 1_000_000
+MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -91,7 +93,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     token = np.concatenate(tokens)
     doc = np.repeat(np.arange(len(y)), segments)
     size = np.bincount(segment).astype(float)
-    bucket, word = grams(list(number))
+    bucket, word = (x.astype(np.int32) for x in grams(list(number)))
     counts = np.bincount(word, minlength=len(number))
     seg_starts = np.flatnonzero(np.diff(segment, prepend=-1))
     rng = np.random.default_rng(seed)
@@ -178,17 +180,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
 
 
-_OPEN: dict[int, Scorer] = {}
-
-
 def opened(model) -> Scorer:
     """One model, with its memo, for all tasks of a Python worker."""
     value = model.value
-    if id(value) not in _OPEN:
-        _OPEN.clear()
-        _OPEN[id(value)] = Scorer(value)
-        _OPEN[-1] = value  # kept, so that its id stays its own
-    return _OPEN[id(value)]
+    scorer = worker_state(("toxicity", id(value)), lambda: Scorer(value))
+    scorer.kept = value  # so that its id stays its own
+    return scorer
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
