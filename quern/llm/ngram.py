@@ -102,12 +102,12 @@ class EliasFano:
         word = np.searchsorted(before, k, side="right") - 1
         bits = self.high[word] if ones else ~self.high[word]
         bytes_ = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(BITS[bytes_], axis=1, dtype=np.int64)
-        rest = k - before[word]
-        byte = (upto <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(byte > 0, upto[rows, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + SELECT[bytes_[rows, byte], rest]
+        upto = np.cumsum(BITS[bytes_], axis=1, dtype=np.uint8)
+        rest = (k - before[word]).astype(np.uint8)
+        byte = (upto <= rest[:, None]).sum(1, dtype=np.int64)
+        at = np.arange(len(k)) * 8 + byte
+        rest -= np.where(byte > 0, upto.reshape(-1)[np.maximum(at - 1, 0)], 0).astype(np.uint8)
+        return word * 64 + byte * 8 + SELECT[bytes_.reshape(-1)[at], rest]
 
     def get(self, j: np.ndarray) -> np.ndarray:
         return ((self.select(j, True) - j).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(j)
@@ -117,17 +117,21 @@ class EliasFano:
         v = values.astype(np.uint64)
         part = (v >> np.uint64(self.low_bits)).astype(np.int64)
         want = v & np.uint64((1 << self.low_bits) - 1)
-        at = np.where(part > 0, self.select(np.maximum(part - 1, 0), False) + 1, 0)
-        out = np.full(len(v), -1, np.int64)
-        live = np.arange(len(v))
+        first = np.where(part > 0, self.select(np.maximum(part - 1, 0), False) + 1, 0) - part
+        last = self.select(part, False) - part
+        # binary search: a frequent context has many children of one high part
+        low, high = first.copy(), last.copy()
+        live = np.flatnonzero(low < high)
         while len(live):
-            p = at[live]
-            live = live[(self.high[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) > 0]
-            j = at[live] - part[live]
-            low = self.lows(j)
-            out[live[low == want[live]]] = j[low == want[live]]
-            live = live[low < want[live]]
-            at[live] += 1
+            middle = (low[live] + high[live]) >> 1
+            less = self.lows(middle) < want[live]
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+            live = live[low[live] < high[live]]
+        out = np.full(len(v), -1, np.int64)
+        inside = np.flatnonzero(low < last)
+        hit = inside[self.lows(low[inside]) == want[inside]]
+        out[hit] = low[hit]
         return out
 
 
@@ -163,7 +167,12 @@ class Vocabulary:
         self.hashes, self.counts = [p["hash"] for p in parts], [p["count"] for p in parts]
         self.offsets = np.cumsum([0, *map(len, self.hashes)]).tolist()
         self.bounds = np.array([h[0] for h in self.hashes], np.int64)
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """The memo: words' places in arrays of their numbers and counts."""
+        self.known: dict[bytes, int] = {}
+        self.number, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """number (-1: none) and count of each hash."""
@@ -181,20 +190,20 @@ class Vocabulary:
         import xxhash
 
         if len(self.known) > MEMO:
-            self.known.clear()
+            self.forget()
         new = {END}
         for t in texts:
             new.update(t)
         new = list(new - self.known.keys())
         number, count = self.find(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new)).view(np.int64))
-        self.known.update(zip(new, zip(number.tolist(), count.tolist(), strict=True), strict=True))
-        get = self.known.__getitem__
-        flat = [x for t in texts for w in (t, (END,)) for x in map(get, w)]
-        both = np.array(flat, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.number, self.count = np.concatenate([self.number, number]), np.concatenate([self.count, count])
+        get, end = self.known.__getitem__, [END]
+        at = np.fromiter((x for t in texts for x in map(get, t + end)), np.int64, sum(map(len, texts)) + len(texts))
+        return self.number[at], self.count[at]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
+def blocks(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
     """Batches cut into slices of bounded text: batch, first row, words of the slice's texts."""
     for batch in batches:
         at, size, held = 0, 0, []
