@@ -189,12 +189,10 @@ def excerpts(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.substring(t, 1, 200).alias("excerpt"), ((F.size(F.filter(T.lines(t), lambda x: x != "")) >= 2) | (F.length(F.trim(t)) >= 40)).alias("meaningful"))
 
 
-_TURN = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-
-
 @query("WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, turn, role FROM r WHERE rn <= 3")
 def history_last_n(spark, sf):
-    return V.table(spark, sf, "conversations").withColumn("rn", F.row_number().over(_TURN)).where("rn <= 3").select("conv_id", "turn", "role")
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return V.table(spark, sf, "conversations").withColumn("rn", F.row_number().over(last)).where("rn <= 3").select("conv_id", "turn", "role")
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, lower(text) AS t, text FROM conversations WHERE role = 'user')

@@ -17,7 +17,7 @@ def reject_code(size: Column, most: int = MOST_BYTES) -> Column:
 
 
 def uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected files of a folder: path, length, extension, reject_code. Contents aren't read."""
+    """Accepted and rejected files of a folder: path, length, extension, reject_code. Contents aren't read; empty files are skipped."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     judged = found.withColumn("extension", extension_of(F.col("path"))).withColumn("reject_code", F.coalesce(reject_code(F.col("length")), F.when(~F.col("extension").isin(*EXTENSIONS), "EXTENSION")))
     return judged.where("reject_code is null"), judged.where("reject_code is not null")
