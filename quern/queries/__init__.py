@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern import registry
-from quern.queries import catalog, graph, retrieval, texts  # noqa: F401  they register their queries
+from quern.queries import answers, catalog, graph, retrieval, texts  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

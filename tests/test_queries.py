@@ -2,6 +2,8 @@
 
 import glob
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from quern import queries as own
 from quern.functions import similarity as S
 from quern.functions import text as T
+from quern.functions import websearch
 from quern.operators import fusion, graph, layout
 from quern.sources import files
 from quern.streaming import jobs
@@ -94,6 +97,16 @@ def test_windowed_counts(spark):
     assert jobs.windowed(events).agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_websearch_grammar_and_window():
+    assert websearch.parse('"a b" c OR -d e') == [[("a", "b"), ("c",)], [("e",)]]
+    assert websearch.parse('"odd quote') == [[("odd",), ("quote",)]] and websearch.parse("-x OR") == []
+    rng = random.Random(4)
+    for _ in range(300):
+        tokens, wanted = [rng.choice("abcd") for _ in range(rng.randrange(12))], [rng.choice("abcd") for _ in range(rng.randrange(1, 4))]
+        sizes = [j - i for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1) if not Counter(wanted) - Counter(tokens[i:j])]
+        assert websearch.smallest_window(tokens, wanted) == min(sizes, default=None)
+
+
 def test_entry(spark):
     import __spark_entry__
 
