@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir), works on every row that the stage before kept,
 and returns a DataFrame, which is written as Parquet and read again.
+
+Defined results: a null text is never toxic, near, contaminated or secret, and stays null; rows
+without a doc_id stay, for nothing tells them apart; of rows with one doc_id the near-copy stage
+keeps one; further columns of documents are passed on as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("score < 0.5").select(docs.columns)
+    judged = toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
+    return judged.where("_toxicity < 0.5").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +45,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay."""
-    spans = secrets.scan(docs).where("doc_id is not null and size(spans) > 0").groupBy("doc_id").agg(F.max("spans").alias("spans"))
+    spans = secrets.scan(docs).where("doc_id is not null and size(spans) > 0").groupBy("doc_id").agg(F.max("spans").alias("_spans"))
     held = docs.join(spans, "doc_id", "left")
     # the pieces between spans; overlapping spans are cut where the one before ended
-    ends = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(REDACTED)).alias("text"))), lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("spans").isNotNull(), ends).otherwise(F.col("text"))
-    out = held.withColumn("new", text)
-    columns = [F.col("new").alias("text") if c == "text" else F.when(F.col("spans").isNotNull(), F.length("new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    ends = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(REDACTED)).alias("text"))), lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.col("_spans").isNotNull(), ends).otherwise(F.col("text"))
+    out = held.withColumn("_new", text)
+    columns = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(columns)
 
 

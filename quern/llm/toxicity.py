@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return train([r.text for r in rows], [int(r.toxic) for r in rows])
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' columns with score: the probability of label 1."""
+def scored(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
+    """docs' columns with one more: the probability of label 1."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, labels))
     names = docs.columns
@@ -175,9 +175,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             text, done = batch.column(names.index("text")), []
             for k in range(0, len(text), 2_500):
                 done += scorer.scores([str(t or "") for t in text.slice(k, 2_500).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.float64())], [*names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, DoubleType()))
 
 
 def opened(model) -> Scorer:

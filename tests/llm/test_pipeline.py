@@ -41,3 +41,13 @@ def test_redaction_of_overlapping_spans(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_further_columns_with_clashing_names(spark):
+    rows = [(1, "password=hunter22 here", "en", "s", 22, 0.5, "x", "y"), (2, None, "en", None, 0, None, None, None), (None, "free text", None, None, 9, 1.0, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, new string")
+    for name, stage in P.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "spans", "new"], name
+    got = {r.doc_id: (r.text, r.score, r.spans, r.new) for r in docs.collect()}
+    assert got == {1: (f"{P.REDACTED} here", 0.5, "x", "y"), 2: (None, None, None, None), None: ("free text", 1.0, "a", "b")}
