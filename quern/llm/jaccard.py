@@ -284,10 +284,17 @@ def linked(docs: DataFrame) -> DataFrame:
     known = written(distances(first.select(*ordered(F.col("cid"), F.col("pivot"))).distinct(), index), "distances")
     links = known.where(near).select("x", "y")
     comp = components(links)
-    # regions with a member that isn't of the pivot's component go on, without the pivot, with each member's distance to it
+    # regions with a member that isn't of the pivot's component go on: first the few distinct (member, pivot) pairs tell which
+    label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
+    pairs = members.where("cid <> pivot").select("cid", "pivot").distinct().join(label, "cid", "left").join(label.toDF("pivot", "pc"), "pivot", "left")
+    apart = pairs.where(F.coalesce("c", "cid") != F.coalesce("pc", "pivot")).select("cid", "pivot")
+    mixed = members.join(apart, ["cid", "pivot"], "left_semi").select("s").distinct()
+    members = written(members.join(mixed, "s", "left_semi"), "mixed")
+    # each member's distance to the pivot, its component, and how many of its shingles are its own: outside mixed regions
+    # of more than SMALL sets, as sets of a region that isn't mixed are of one component
     large = members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).select("s", F.lit(True).alias("large"))
     shared = members.join(large, "s").where(F.col("pos") < reach(F.col("n"), F.col("n"))).groupBy("cid").agg(F.count(F.lit(1)).alias("shared"))
-    owns = members.select("cid").distinct().join(shared, "cid", "left").join(comp.select(F.col("node").alias("cid"), F.col("comp").alias("c")), "cid", "left")
+    owns = members.select("cid").distinct().join(shared, "cid", "left").join(label, "cid", "left")
     far = 1 - F.col("common") / (F.col("n") + F.col("n2") - F.col("common"))
     d = known.select("x", "y", far.alias("d"))
     rows = members.select("s", "cid", "n", "pos", "pivot", *ordered(F.col("cid"), F.col("pivot"))).join(d, ["x", "y"], "left")
