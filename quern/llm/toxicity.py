@@ -38,6 +38,8 @@ from quern.llm.common import worker_state
 BUCKETS, WIDTH, GRAMS, SEGMENT = 1 << 17, 8, (3, 4, 5), 8
 SAMPLE, SAMPLE_CHARS, ROUNDS = 1_500, 8_000, 110
 HELD_OUT = 5
+#: Words whose n-grams are handled at once.
+PART = 20_000
 #: Entries of a worker's memo of words; beyond it the memo starts anew (results don't depend on it).
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -93,8 +95,11 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     token = np.concatenate(tokens)
     doc = np.repeat(np.arange(len(y)), segments)
     size = np.bincount(segment).astype(float)
-    bucket, word = (x.astype(np.int32) for x in grams(list(number)))
-    counts = np.bincount(word, minlength=len(number))
+    # words in parts, so that what lies beside the model stays small
+    names = list(number)
+    del number, texts
+    parts = [(base, len(names[base : base + PART]), *(x.astype(np.int32) for x in grams(names[base : base + PART]))) for base in range(0, len(names), PART)]
+    counts = np.concatenate([np.bincount(word, minlength=n) for _, n, _, word in parts])
     seg_starts = np.flatnonzero(np.diff(segment, prepend=-1))
     rng = np.random.default_rng(seed)
     vectors, softmax, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (2, WIDTH)), -4.0
@@ -102,13 +107,14 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, softmax, np.zeros(1))]
     for step in range(1, rounds + 1):
         slope = softmax[1] - softmax[0]
-        margin = np.bincount(word, (vectors @ slope)[bucket], len(number)) / counts
+        by_slope = vectors @ slope
+        margin = np.concatenate([np.bincount(word, by_slope[bucket], n) for _, n, bucket, word in parts]) / counts
         p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(margin[token], seg_starts) / size + bias, -30, 30)))
         none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first)  # log of no segment being toxic
         some = -np.expm1(np.minimum(none, -1e-9))
         g = p * (weight * np.where(y, -np.exp(none) / some, 1.0))[doc]
-        by_word = np.bincount(token, (g / size)[segment], len(number)) / counts
-        by_bucket = np.bincount(bucket, by_word[word], BUCKETS)
+        by_word = np.bincount(token, (g / size)[segment], len(names)) / counts
+        by_bucket = sum(np.bincount(bucket, by_word[base : base + n][word], BUCKETS) for base, n, bucket, word in parts)
         d_slope = vectors.T @ by_bucket
         grads = (by_bucket[:, None] * slope + 1e-7 * vectors, np.stack([-d_slope, d_slope]) + 1e-6 * softmax, np.array([g.sum()]))
         moves = []
