@@ -9,7 +9,8 @@ corpus is cut into suffix arrays that fit a task, without losing a repeat:
    anchor lie side by side; the text that they cover is the anchor's context.
 2. Anchors with equal contexts make whole contexts repeats; this needs no text, and
    copies, however many, come down to one context each.
-3. Where anchors of one hash have different contexts, the contexts (one of each) go
+3. Where anchors of one hash have different contexts, the contexts (one of each, and of
+   these only those that have nearly a whole window in common with another) go
    into an enhanced suffix array: suffixes sorted by doubling, longest common
    prefixes, and a stack scan over the interval tree, which reports the repeats that
    can't be extended to the right (interval ends) nor to the left (the bytes before
@@ -41,6 +42,7 @@ LENGTH, GRAM = 200, 64
 #: Bits for a place in a block; the rest of a key is the hash that windows are compared by.
 PLACE = np.uint64(28)
 BLOOM_BITS, PIECES = 26, 64
+STEP = 17
 #: Bytes of documents, and of contexts, that a task holds at once (a single longer document or hot hash is held whole).
 BLOCK, CHUNK = 2 << 20, 3 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc, lo, hi (the context's place in the document), hash and context hash of every anchor."""
+    """doc, lo, hi (the context's place in the document), hash, context hash and offset in the context of every anchor."""
     import xxhash
 
     sizes = np.array([len(d) for d in docs], np.int64)
@@ -60,7 +62,7 @@ def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     raw = b"".join(docs)
     n = len(raw)
     if n < LENGTH:
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     h = mix(np.ndarray((n - 7,), "<u8", raw, strides=(1,)).astype(np.uint64))
     for half in (8, 16, 32):
         h = mix(h[:-half] * MIX + h[half:])
@@ -75,13 +77,13 @@ def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     inside = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends[doc])  # windows don't cross documents
     at, doc = at[inside], doc[inside]
     if not len(at):
-        return (np.empty(0, np.int64),) * 5
+        return (np.empty(0, np.int64),) * 6
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     lo, hi = inside[new], inside[np.r_[new[1:] - 1, len(at) - 1]] + LENGTH
     view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
     context = np.fromiter((digest(view[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
     begin = (ends - sizes)[doc[new]]
-    return doc[new], lo - begin, hi - begin, h[at[new]].view(np.int64), context.view(np.int64)
+    return doc[new], lo - begin, hi - begin, h[at[new]].view(np.int64), context.view(np.int64), at[new] - lo
 
 
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[bytes]]]:
@@ -113,7 +115,7 @@ def found_by_hash(rows: DataFrame) -> DataFrame:
         gc.disable()
         np.seterr(over="ignore")
         for ids, marks, texts in held(batches):
-            doc, lo, hi, code, context = anchors(texts)
+            doc, lo, hi, code, context, _ = anchors(texts)
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(context), pa.array(ids, pa.int64()).take(pick), pa.array(marks, pa.int64()).take(pick), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["hash", "context", "doc_id", "mark", "lo", "hi"])
 
@@ -289,12 +291,12 @@ def found_in_text(rows: DataFrame, hashes: DataFrame) -> DataFrame:
         np.seterr(over="ignore")
         bits = wanted.value
         for ids, marks, texts in held(batches):
-            doc, lo, hi, code, context = anchors(texts)
+            doc, lo, hi, code, context, off = anchors(texts)
             a, b = bloom_places(code)
             keep = ((bits[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool) if len(code) else np.zeros(0, bool)
-            doc, lo, hi, code, context = (x[keep] for x in (doc, lo, hi, code, context))
+            doc, lo, hi, code, context, off = (x[keep] for x in (doc, lo, hi, code, context, off))
             pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(context), pa.array(ids, pa.int64()).take(pick), pa.array(marks, pa.int64()).take(pick), pa.array(lo, pa.int32()), pa.array([texts[d][i:j] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)], pa.binary())], ["hash", "context", "doc_id", "mark", "lo", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(context), pa.array(ids, pa.int64()).take(pick), pa.array(marks, pa.int64()).take(pick), pa.array(lo, pa.int32()), pa.array([texts[d][i:j] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(off, pa.int32())], ["hash", "context", "doc_id", "mark", "lo", "text", "off"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +312,7 @@ def found_in_text(rows: DataFrame, hashes: DataFrame) -> DataFrame:
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if seen is None or r[0] != seen[0]:
-                    if len(group) > 1:
+                    if len(group := alike(group)) > 1:
                         held_ += group
                         size += sum(len(g[5]) for g in group)
                         if size > CHUNK:
@@ -320,15 +322,33 @@ def found_in_text(rows: DataFrame, hashes: DataFrame) -> DataFrame:
                 elif r[1] != seen[1]:
                     group.append(r)  # one of each context
                 seen = r
-        if len(group) > 1:
-            held_ += group
+        held_ += alike(group)
         if held_:
             yield from solve(held_)
 
-    cut = rows.mapInArrow(scan, "hash long, context long, doc_id long, mark long, lo int, text binary")
+    cut = rows.mapInArrow(scan, "hash long, context long, doc_id long, mark long, lo int, text binary, off int")
     return written(cut.repartition(partitions(rows.sparkSession), "hash").sortWithinPartitions("hash", "context").mapInArrow(join, "doc_id long, mark long, lo int, hi int"), "repeats")
 
 
+def alike(group: list[tuple]) -> list[tuple]:
+    """Those contexts of one hash that may share a window: all but STEP bytes of the window, at least, must stand in two of them at one offset.
+
+    A window has its anchor at an offset from 0 to LENGTH - GRAM. For offsets from q to q + STEP - 1 it holds
+    the q bytes before the anchor and what is left of LENGTH - GRAM - (q + STEP - 1) bytes after it.
+    """
+    if len(group) < 2:
+        return []
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for k, r in enumerate(group):
+        text, off = r[5], r[6]
+        for q in range(0, LENGTH - GRAM + 1, STEP):
+            a, b = off - q, off + GRAM + max(0, LENGTH - GRAM - (q + STEP - 1))
+            if a >= 0 and b <= len(text):
+                seen.setdefault((q, text[a:b]), []).append(k)
+    kept = {k for ks in seen.values() if len(ks) > 1 for k in ks}
+    return [r for k, r in enumerate(group) if k in kept]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Their union, as maximal runs."""
     out: list[tuple[int, int]] = []
