@@ -3,9 +3,9 @@
 A stage takes (spark, docs, sf_dir), works on every row that the stage before kept,
 and returns a DataFrame, which is written as Parquet and read again.
 
-Defined results: a null text is never toxic, near, contaminated or secret, and stays null; rows
-without a doc_id stay, for nothing tells them apart; of rows with one doc_id the near-copy stage
-keeps one; further columns of documents are passed on as they are.
+Defined results: a null text is never toxic, near, contaminated or secret, and stays null; the
+near-copy stage judges every row by its own text, with or without a doc_id, so rows go only as
+near copies of a row that stays; further columns of documents are passed on as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a hash of 64 bits of doc_id and text: rows that share it are equal in both, so what is decided on the text of one holds for all."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     judged = toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
@@ -32,9 +37,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; of rows with the same doc_id, one."""
-    stay = jaccard.linked(docs).where("component_id = doc_id").select("doc_id")
-    return keep_rows(docs, stay).dropDuplicates(["doc_id"])
+    """Of each group of near copies the row with the smallest doc_id stays, one without a doc_id only where no row has one. Rows without words have no copies and stay."""
+    wordy = F.coalesce(F.col("text").cast("string").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    rows = keyed(docs.where(wordy))
+    groups = jaccard.linked(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    # rows that share _row are copies of each other
+    kept = rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(docs.columns).unionByName(docs.where(~wordy))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,12 @@ def test_further_columns_with_clashing_names(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "spans", "new"], name
     got = {r.doc_id: (r.text, r.score, r.spans, r.new) for r in docs.collect()}
     assert got == {1: (f"{P.REDACTED} here", 0.5, "x", "y"), 2: (None, None, None, None), None: ("free text", 1.0, "a", "b")}
+
+
+def test_near_copies_go_row_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    # two texts without an id, one id on two texts, an equal row, a copy without an id, copies without any id, no words
+    rows = [(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (1, text(3)), (None, text(3) + " end"), (0, text(2) + " end"), (None, text(4)), (None, text(4)), (5, None), (5, None), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[6], rows[7], *rows[9:]], key=repr)
