@@ -18,7 +18,8 @@ text never meet each other: every join is from places to the benchmark.
 Defined results: a null or empty text, and one without words, has n_words 0 and
 no hits. Rows with the same doc_id, or none, are judged one by one. Items
 without words, or whose item_id is null, take no part; items of the same id
-count as one; items of the same text each count. Further columns are ignored.
+count as one, and every window of each of their texts is searched; items of the
+same text each count. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,8 +95,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gr
     places = written(places_of(docs, parts.select("len", "gram").distinct(), lengths, window, gram), "places")
     counts = places.where("pos is not null").groupBy("len", "gram").agg(F.count(F.lit(1)).alias("n"))
     # each window's prefix: its rarest shingle; a window whose shingles don't all occur can't occur
-    ranked = parts.join(counts, ["len", "gram"], "left").groupBy("item_id", "w", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("gram"))).alias("rare"), F.first("words").alias("want"))
-    prefix = ranked.where("rare.n > 0").select("len", F.col("rare.gram").alias("gram"), F.col("rare.offset").alias("offset"), "want").groupBy("len", "gram", "offset", "want").agg(F.lit(1).alias("one")).drop("one")
+    # windows of the same words are one, whichever items have them
+    ranked = parts.join(counts, ["len", "gram"], "left").groupBy("len", F.col("words").alias("want")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("gram"))).alias("rare"))
+    prefix = ranked.where("rare.n > 0").select("len", F.col("rare.gram").alias("gram"), F.col("rare.offset").alias("offset"), "want")
     owners = windows.select("item_id", F.col("words").alias("want")).distinct()
     start = F.col("pos") - F.col("offset")
     fits = (F.col("offset") <= F.col("before")) & (start + F.size("want") <= F.col("n_words"))

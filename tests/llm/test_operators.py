@@ -86,6 +86,15 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.digests(empty(spark), bench).count() == 0
 
 
+def test_decontamination_by_items_of_one_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 10), ("b", 10), ("c", 14), ("d", 12))]
+    bench = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])], "item_id long, text string")
+    some = [*texts, "x " + texts[1] + " y", " ".join(texts[2].split()[4:]), " ".join(texts[0].split()[:9]), "none of it"]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {0: (10, ["7", "8"]), 1: (10, ["7"]), 2: (14, ["7"]), 3: (12, ["7"]), 4: (10, ["7"]), 5: (10, ["7"]), 6: (0, []), 7: (0, [])}
+
+
 def test_ann_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1200, 24)) * rng.uniform(0.5, 2, (1200, 1))
