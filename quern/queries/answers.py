@@ -68,6 +68,16 @@ def answer_events(spark, sf):
     return V.table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(events).alias("ordinal", "e")).select("conv_id", "turn", "ordinal", "e.type", "e.payload")
 
 
+@query()
+def answer_replay(spark, sf):
+    """A whole answer replayed as event rows: its text in pieces as token events (none if it is blank), then citation and end."""
+    text = F.coalesce("text", F.lit(""))
+    tokens = F.when(text.rlike(r"\S"), F.transform(T.pieces(text), lambda p: F.struct(F.lit("token").alias("type"), p.alias("payload"))))
+    rest = F.array(F.struct(F.lit("citation").alias("type"), F.col("role").alias("payload")), F.struct(F.lit("done").alias("type"), F.lit("").alias("payload")))
+    events = F.when(tokens.isNull(), rest).otherwise(F.concat(tokens, rest))
+    return V.table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(events).alias("ordinal", "e")).select("conv_id", "turn", "ordinal", "e.type", "e.payload")
+
+
 @query(f"""WITH {DOCS}, q AS (SELECT DISTINCT conv_id % 20 AS k FROM conversations), e AS (SELECT workspace_id, count(*) FILTER (WHERE processing_status = 'READY') AS ready FROM docs GROUP BY 1) SELECT 'src' || k AS workspace_id, coalesce(ready, 0) AS n_chunks, coalesce(ready, 0) = 0 AS empty FROM q LEFT JOIN e ON e.workspace_id = 'src' || k""")
 def empty_scope_package(spark, sf):
     """Sessions' workspaces with their evidence; an empty scope gives an empty package, not an error."""

@@ -111,3 +111,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 8
+
+
+def test_answer_replay_has_the_whole_text(spark, tmp_path):
+    long = "word " * 90 + "x" * 450
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "short"), (2, 1, "assistant", " \n"), (2, 2, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for r in own.queries()["answer_replay"](spark, str(tmp_path)).orderBy("conv_id", "turn", "ordinal").collect():
+        got.setdefault((r.conv_id, r.turn), []).append((r.ordinal, r.type, r.payload))
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    for (_, _, _, text), events in zip(rows[1:], got.values(), strict=True):
+        *tokens, citation, done = events
+        assert "".join(p for _, _, p in tokens) == (text if (text or "").strip() else "")
+        assert all(t == "token" and 0 < len(p) <= 200 for _, t, p in tokens) and [o for o, _, _ in events] == list(range(len(events)))
+        assert citation[1:] == ("citation", "assistant") and done[1:] == ("done", "")
+    assert len(got[1, 1]) > 4 and len(got[2, 1]) == len(got[2, 2]) == 2
