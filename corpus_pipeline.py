@@ -3,9 +3,10 @@
 A stage takes (spark, docs, sf_dir), works on every row that the stage before kept,
 and returns a DataFrame, which is written as Parquet and read again.
 
-Defined results: a null text is never toxic, near, contaminated or secret, and stays null; the
-near-copy stage judges every row by its own text, with or without a doc_id, so rows go only as
-near copies of a row that stays; further columns of documents are passed on as they are.
+Defined results: a null text is never toxic, near, contaminated or secret, and stays null; every
+row is judged by its own text, with or without a doc_id, so rows with one doc_id, or none, can
+fare differently; only secrets stay in rows without a doc_id; further columns of documents are
+passed on as they are.
 """
 
 from __future__ import annotations
@@ -20,11 +21,6 @@ from quern.llm.queries import vocabulary
 REDACTED = "[secret]"
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; rows without a doc_id can't be told apart and stay."""
-    return docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with _row, a hash of 64 bits of doc_id and text: rows that share it are equal in both, so what is decided on the text of one holds for all."""
     return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
@@ -50,14 +46,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    judged = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep_rows(docs, judged.where("n_hit = 0").select("doc_id"))
+    rows = keyed(docs)
+    judged = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(judged.where("n_hit > 0").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay."""
-    spans = secrets.scan(docs).where("doc_id is not null and size(spans) > 0").groupBy("doc_id").agg(F.max("spans").alias("_spans"))
-    held = docs.join(spans, "doc_id", "left")
+    """Every span that the scan keeps is replaced in rows with a doc_id; n_chars is counted anew in the changed texts. All documents stay."""
+    rows = keyed(docs)
+    numbered = rows.select(F.col("_row").alias("doc_id"), "text", *(c for c in ("source",) if c in docs.columns))
+    spans = secrets.scan(numbered).where("size(spans) > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("spans").alias("_spans"))
+    held = rows.join(spans, "_row", "left").withColumn("_spans", F.when(F.col("doc_id").isNotNull(), F.col("_spans")))
     # the pieces between spans; overlapping spans are cut where the one before ended
     ends = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(REDACTED)).alias("text"))), lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     text = F.when(F.col("_spans").isNotNull(), ends).otherwise(F.col("text"))

@@ -60,3 +60,18 @@ def test_near_copies_go_row_by_row(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect()), key=repr)
     assert got == sorted([rows[0], rows[1], rows[3], rows[6], rows[7], *rows[9:]], key=repr)
+
+
+def test_contaminated_rows_go_row_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    rows = [(None, f"so {item}"), (None, "clean"), (1, f"and {item}"), (1, "clean too"), (2, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([rows[1], *rows[3:]], key=repr)
+
+
+def test_each_text_of_a_doc_id_has_its_own_secrets_replaced(spark):
+    rows = [(1, "a password=hunter22 z"), (1, "longer text, then a password=hunter23 z"), (1, "nothing in here, not even one"), (1, "a password=hunter22 z")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.text for r in P.redact_secrets(spark, docs, SF).collect())
+    assert got == sorted([f"a {P.REDACTED} z", f"longer text, then a {P.REDACTED} z", rows[2][1], f"a {P.REDACTED} z"])
