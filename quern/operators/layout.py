@@ -26,22 +26,33 @@ def pages(lines: DataFrame) -> DataFrame:
 def sections(lines: DataFrame) -> DataFrame:
     """The section tree: the parent is the nearest heading before of a lower level; a section ends where the next of its level or lower begins.
 
-    Nearest smaller values by a window for each level, of which a document has few: no self-join.
+    A document's headings stream in order past a stack of those still open, so levels have no limit.
     """
     heads = headings(lines).select("document_id", "pos", F.col("page_number").alias("start_page"), "level")
-    before = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("document_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    deepest = 12  # levels beyond it count as it
-    capped = heads.withColumn("capped", F.least("level", F.lit(deepest)))
-    last_at = [F.max(F.when(F.col("capped") == k, F.col("pos"))).over(before) for k in range(1, deepest + 1)]
-    next_at = [F.min(F.when(F.col("capped") == k, F.col("pos"))).over(after) for k in range(1, deepest + 1)]
-    # over struct so that all windows share one sort
-    wide = capped.withColumn("before", F.array(*last_at)).withColumn("after", F.array(*next_at))
-    parent = F.array_max(F.slice("before", F.lit(1), F.col("capped") - 1))
-    following = F.array_min(F.slice("after", F.lit(1), F.col("capped")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, open_ = None, []  # of (row, level), levels rising
+        for batch in batches:
+            out: list[tuple] = []
+            for d, pos, page, level in zip(*(batch.column(c).to_pylist() for c in ("document_id", "pos", "start_page", "level")), strict=True):
+                while open_ and (d != doc or open_[-1][1] >= level):
+                    out.append((*open_.pop()[0], pos if d == doc else None))
+                doc = d
+                open_.append(((d, pos, page, level, open_[-1][0][1] if open_ else None), level))
+            yield table(out)
+        yield table([(*row, None) for row, _ in open_])
+
+    names = ["document_id", "pos", "start_page", "level", "parent_pos", "following"]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k else pa.int64()) for k, c in enumerate(columns)], names)
+
+    ordered = heads.select(F.col("document_id").cast("long").alias("document_id"), *(F.col(c).cast("int").alias(c) for c in names[1:4])).repartition("document_id").sortWithinPartitions("document_id", "pos")
+    placed = ordered.mapInArrow(run, "document_id long, pos int, start_page int, level int, parent_pos int, following int")
     ends = lines.groupBy("document_id").agg(F.max("page_number").alias("last_page"))
-    page = F.floor(following / 40).cast("int") + 1
-    return wide.join(ends, "document_id").select("document_id", "pos", "level", parent.alias("parent_pos"), "start_page", F.when(following.isNull(), F.col("last_page")).otherwise(F.greatest("start_page", page)).alias("end_page"))
+    page = F.floor(F.col("following") / 40).cast("int") + 1
+    return placed.join(ends, "document_id").select("document_id", "pos", "level", "parent_pos", "start_page", F.when(F.col("following").isNull(), F.col("last_page")).otherwise(F.greatest("start_page", page)).alias("end_page"))
 
 
 def packed(chunks: DataFrame, most: int) -> DataFrame:

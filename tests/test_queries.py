@@ -127,3 +127,12 @@ def test_answer_replay_has_the_whole_text(spark, tmp_path):
         assert all(t == "token" and 0 < len(p) <= 200 for _, t, p in tokens) and [o for o, _, _ in events] == list(range(len(events)))
         assert citation[1:] == ("citation", "assistant") and done[1:] == ("done", "")
     assert len(got[1, 1]) > 4 and len(got[2, 1]) == len(got[2, 2]) == 2
+
+
+def test_sections_of_deep_levels(spark):
+    number = lambda n: ".".join(["1"] * n)
+    levels = [12, 13, 14, 13, 12, 1, 15]
+    lines = spark.createDataFrame([(d, 40 * k, k + 1, f"{number(n)} Title") for d in (1, 2) for k, n in enumerate(levels)], "document_id long, pos int, page_number int, line string")
+    for d in (1, 2):
+        got = [(r.level, r.parent_pos, r.end_page) for r in layout.sections(lines).where(F.col("document_id") == d).orderBy("pos").collect()]
+        assert got == [(12, None, 5), (13, 0, 4), (14, 40, 4), (13, 0, 5), (12, None, 6), (1, None, 7), (15, 200, 7)]
