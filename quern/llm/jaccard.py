@@ -50,6 +50,8 @@ WORDS, PERCENT = 5, 75
 SLACK = 4
 #: Regions up to this size compare all their members in the first round of the recursion.
 SMALL = 9
+#: So many of a set's mixed regions before each one are known there: a pair that shares one of them is compared in that one.
+EARLIER = 4
 #: Counters of the sketch: 16 bits each, so 8 MB at any size of the input.
 SKETCH_BITS = 22
 #: Entries of a worker's memo of words.
@@ -299,7 +301,10 @@ def linked(docs: DataFrame) -> DataFrame:
     d = known.select("x", "y", far.alias("d"))
     rows = members.select("s", "cid", "n", "pos", "pivot", *ordered(F.col("cid"), F.col("pivot"))).join(d, ["x", "y"], "left")
     rows = rows.join(owns, "cid").join(large, "s", "left").withColumn("c", F.coalesce("c", "cid")).withColumn("own", reach(F.col("n"), F.col("n")) - F.coalesce("shared", F.lit(0)))
-    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c"), "members")
+    # a pair that shares several regions is compared in one of them: where it shares one of the few before, it was or will be
+    before = Window.partitionBy("cid").orderBy("pos", "s")
+    rows = rows.withColumn("earlier", F.array_compact(F.array(*(F.lag("s", k).over(before) for k in range(1, EARLIER + 1)))))
+    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c", "earlier"), "members")
     width, used = SMALL - 1, 1
     while True:
         mixed = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s")
@@ -311,9 +316,9 @@ def linked(docs: DataFrame) -> DataFrame:
         if not ranked.limit(1).count():
             break
         turn = Window.partitionBy("s").orderBy("pos", "rank", "cid")
-        pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("own").alias("po"), F.col("d").alias("pd"), F.col("c").alias("pc"))
+        pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("own").alias("po"), F.col("d").alias("pd"), F.col("c").alias("pc"), F.col("earlier").alias("pe"))
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 0.25 + 1e-9, F.lit(True))
-        pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
+        pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & ~F.arrays_overlap("earlier", "pe") & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
         fresh = pairs.select(*ordered(F.col("cid"), F.col("p"))).distinct().join(known.select("x", "y"), ["x", "y"], "left_anti")
         more = written(distances(fresh, index), "distances")
         known = known.unionByName(more)
