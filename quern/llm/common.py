@@ -14,13 +14,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new local one where it is unset (single-machine tests)."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new local one where it is unset and there is one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir isn't set: the executors of {sc.master} need a folder that they share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="quern-")
             sc.setCheckpointDir(found)
@@ -32,13 +34,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, survives lost executors, and is computed once."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (in a folder of it), read again: cuts the lineage, survives lost executors, and is computed once."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}" if folder else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables and files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

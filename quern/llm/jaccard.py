@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.bpe import blocks
-from quern.llm.common import open_in, open_out, partitions, scratch, worker_state, written
+from quern.llm.common import discard, open_in, open_out, partitions, scratch, worker_state, written
 
 WORDS, PERCENT = 5, 75
 #: A prefix of n // 4 + 1 shingles would do for regions; one of 2n / 7 + SLACK also lets a set's own shingles rule links out.
@@ -132,23 +132,29 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """For every row: doc_id, n (size of the set), cid (its hash), prefix (its shingles that make regions), file and at (where the set lies)."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(sketch(docs))
-    folder = scratch(spark, "sets")
+def sets_of(docs: DataFrame, folder: str) -> DataFrame:
+    """For every row: doc_id, n (size of the set), cid (its hash), prefix (its shingles that make regions), file and at (where the set lies). A set that a task meets again lies where it did, without a prefix."""
+    order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         np.seterr(over="ignore")
-        counts, out, path, where = order.value, None, f"{folder}/{uuid.uuid4().hex}", 0  # a name for each attempt; the written rows name the files that count
+        counts, out, path, where = order.value, None, f"{folder}/files/{uuid.uuid4().hex}", 0  # a name for each attempt; the written rows name the files that count
+        met: dict[int, int] = {}
         for ids, texts in blocks(batches):
             out = out or open_out(path)
             n, cid, prefix, at = [], [], [], []
+            if len(met) > MEMO:
+                met.clear()
             for codes in shingles(texts):
                 u = np.unique(codes)
                 n.append(len(u))
                 cid.append(int((mix(u + MIX).sum() * MIX ^ np.uint64(len(u))).astype(np.int64)))
+                if cid[-1] in met:
+                    prefix.append(u[:0].view(np.int64))
+                    at.append(met[cid[-1]])
+                    continue
+                met[cid[-1]] = where
                 rank = np.argsort((counts[u >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(48)) | (u >> np.uint64(16)), kind="stable")
                 prefix.append(u[rank[: len(u) * 2 // 7 + SLACK]].view(np.int64))
                 at.append(where)
@@ -157,10 +163,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
         if out:
             out.close()
 
-    return written(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>, file string, at long"), "sets")
+    return written(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>, file string, at long"), "sets", folder)
 
 
-def regions(sets: DataFrame) -> DataFrame:
+def regions(sets: DataFrame, folder: str) -> DataFrame:
     """The members of every region of two sets or more, each with the region's pivot: s, cid, n, pos, pivot, pivot_n, pivot_pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +203,9 @@ def regions(sets: DataFrame) -> DataFrame:
             first, last_cid = [c[end] for c in cols], int(batch.column("cid")[-1].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [*names, "pivot", "pivot_n", "pivot_pos"])
 
-    postings = sets.where("n > 0").select("cid", "n", F.posexplode_outer("prefix").alias("pos", "s")).select("s", "cid", "n", F.col("pos").cast("long").alias("pos"))
+    postings = sets.where("size(prefix) > 0").select("cid", "n", F.posexplode_outer("prefix").alias("pos", "s")).select("s", "cid", "n", F.col("pos").cast("long").alias("pos"))
     dealt = postings.repartition(partitions(sets.sparkSession), "s").sortWithinPartitions("s", "pos", F.xxhash64("cid"), "cid")
-    return written(dealt.mapInArrow(run, "s long, cid long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "regions")
+    return written(dealt.mapInArrow(run, "s long, cid long, n long, pos long, pivot long, pivot_n long, pivot_pos long"), "regions", folder)
 
 
 def may_link(n, pos, n2, pos2):
@@ -260,15 +266,15 @@ def distances(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.join(where.withColumnRenamed("cid", "x"), "x").join(other, "y").mapInArrow(run, "x long, y long, common long, n long, n2 long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, comp (the smallest node reachable) of the nodes of edges(x, y): smallest labels of neighbours, and of labels, until nothing changes."""
-    both = written(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")), "labels")
+    both = written(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges", folder)
+    labels = written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("comp")), "labels", folder)
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("near"))
         better = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         jump = better.join(labels.select(F.col("node").alias("new"), F.col("comp").alias("far")), "new", "left")
-        after = written(jump.select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")), "labels")
+        after = written(jump.select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")), "labels", folder)
         labels = after.select("node", "comp")
         if not after.where("old <> comp").limit(1).count():
             return labels
@@ -276,22 +282,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """A row for every row of docs(doc_id, text): doc_id, n_shingles, component_id."""
-    sets = sets_of(docs)
-    index = written(sets.where("n > 0").groupBy("cid").agg(F.min(F.struct("file", "at", "n")).alias("w")).select("cid", "w.*"), "index")
-    members = regions(sets)
+    folder = scratch(docs.sparkSession, "jaccard")
+    sets = sets_of(docs, folder)
+    index = written(sets.where("n > 0").groupBy("cid").agg(F.min(F.struct("file", "at", "n")).alias("w")).select("cid", "w.*"), "index", folder)
+    members = regions(sets, folder)
     ordered = lambda a, b: [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
     near = 100 * F.col("common") >= PERCENT * (F.col("n") + F.col("n2") - F.col("common"))
     # the first pivots
     first = members.where((F.col("cid") != F.col("pivot")) & may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos")))
-    known = written(distances(first.select(*ordered(F.col("cid"), F.col("pivot"))).distinct(), index), "distances")
+    known = written(distances(first.select(*ordered(F.col("cid"), F.col("pivot"))).distinct(), index), "distances", folder)
     links = known.where(near).select("x", "y")
-    comp = components(links)
+    comp = components(links, folder)
     # regions with a member that isn't of the pivot's component go on: first the few distinct (member, pivot) pairs tell which
     label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
     pairs = members.where("cid <> pivot").select("cid", "pivot").distinct().join(label, "cid", "left").join(label.toDF("pivot", "pc"), "pivot", "left")
     apart = pairs.where(F.coalesce("c", "cid") != F.coalesce("pc", "pivot")).select("cid", "pivot")
     mixed = members.join(apart, ["cid", "pivot"], "left_semi").select("s").distinct()
-    members = written(members.join(mixed, "s", "left_semi"), "mixed")
+    members = written(members.join(mixed, "s", "left_semi"), "mixed", folder)
     # each member's distance to the pivot, its component, and how many of its shingles are its own: outside mixed regions
     # of more than SMALL sets, as sets of a region that isn't mixed are of one component
     large = members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).select("s", F.lit(True).alias("large"))
@@ -304,7 +311,7 @@ def linked(docs: DataFrame) -> DataFrame:
     # a pair that shares several regions is compared in one of them: where it shares one of the few before, it was or will be
     before = Window.partitionBy("cid").orderBy("pos", "s")
     rows = rows.withColumn("earlier", F.array_compact(F.array(*(F.lag("s", k).over(before) for k in range(1, EARLIER + 1)))))
-    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c", "earlier"), "members")
+    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c", "earlier"), "members", folder)
     width, used = SMALL - 1, 1
     while True:
         mixed = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s")
@@ -312,7 +319,7 @@ def linked(docs: DataFrame) -> DataFrame:
         if used == 1:
             rows = rows.where("cid <> pivot")
             rows = rows.join(rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"), "s", "left_semi")
-        ranked = written(rows.withColumn("rank", F.xxhash64("cid")), "rounds")
+        ranked = written(rows.withColumn("rank", F.xxhash64("cid")), "rounds", folder)
         if not ranked.limit(1).count():
             break
         turn = Window.partitionBy("s").orderBy("pos", "rank", "cid")
@@ -320,11 +327,11 @@ def linked(docs: DataFrame) -> DataFrame:
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 0.25 + 1e-9, F.lit(True))
         pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & ~F.arrays_overlap("earlier", "pe") & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
         fresh = pairs.select(*ordered(F.col("cid"), F.col("p"))).distinct().join(known.select("x", "y"), ["x", "y"], "left_anti")
-        more = written(distances(fresh, index), "distances")
+        more = written(distances(fresh, index), "distances", folder)
         known = known.unionByName(more)
         if more.where(near).limit(1).count():
             links = links.unionByName(more.where(near).select("x", "y"))
-            comp = components(links)
+            comp = components(links, folder)
         label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
         left = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") > width).drop("k", "rank", "c")
         rows = left.join(label, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
@@ -332,4 +339,6 @@ def linked(docs: DataFrame) -> DataFrame:
     every = sets.select("doc_id", "n", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = every.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = every.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = written(out.unionByName(every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "linked")
+    discard(docs.sparkSession, folder)
+    return out

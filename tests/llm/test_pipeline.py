@@ -36,7 +36,7 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_redaction_of_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "a password=deadbeefdeadbeefdeadbeef00 z", "en", "s", 40), (2, None, "en", "s", 0), (None, "token=abcdefghij", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in P.redact_secrets(spark, docs, SF).collect()}
-    assert got[1] == (f"a {P.REDACTED} z", len(f"a {P.REDACTED} z")) and got[2] == (None, 0) and got[None][0] == "token=abcdefghij"
+    assert got[1] == (f"a {P.REDACTED} z", len(f"a {P.REDACTED} z")) and got[2] == (None, 0) and got[None] == (P.REDACTED, len(P.REDACTED))
 
 
 def test_run(spark):
@@ -75,3 +75,26 @@ def test_each_text_of_a_doc_id_has_its_own_secrets_replaced(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.text for r in P.redact_secrets(spark, docs, SF).collect())
     assert got == sorted([f"a {P.REDACTED} z", f"longer text, then a {P.REDACTED} z", rows[2][1], f"a {P.REDACTED} z"])
+
+
+def test_stages_on_empty_tables_and_very_long_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    long = " ".join(f"v{k % 997}u{k}" for k in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, f"{long[:500_000]} {item}"), (None, f"{long[800_000:]} password=hunter22 z"), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
+    for _, stage in P.STAGES[1:4]:
+        docs = stage(spark, docs, SF).cache()
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {1: long, None: f"{long[800_000:]} {P.REDACTED} z", 5: "", 6: None}
+    assert P.encode(spark, docs, SF).count() == 4
+
+
+def test_secrets_go_from_rows_without_an_id(spark):
+    rows = [(None, "password=hunter22 one"), (None, "nothing here"), (None, "x password=hunter23 two"), (4, "nothing here")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.text for r in P.redact_secrets(spark, docs, SF).collect())
+    assert got == sorted([f"{P.REDACTED} one", "nothing here", f"x {P.REDACTED} two", "nothing here"])
