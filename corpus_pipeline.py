@@ -4,9 +4,9 @@ A stage takes (spark, docs, sf_dir), works on every row that the stage before ke
 and returns a DataFrame, which is written as Parquet and read again.
 
 Defined results: a null text is never toxic, near, contaminated or secret, and stays null; every
-row is judged by its own text, with or without a doc_id, so rows with one doc_id, or none, can
-fare differently; only secrets stay in rows without a doc_id; further columns of documents are
-passed on as they are.
+row is judged, and changed, by its own text, with or without a doc_id, so rows with one doc_id, or
+none, can fare differently; equal rows are near copies of each other, of which one stays; a table
+without rows gives none; further columns of documents are passed on as they are.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = jaccard.linked(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    # rows that share _row are copies of each other
-    kept = rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"])
+    # rows that share _row and a second hash are copies of each other
+    kept = rows.join(stay, "_row", "left_semi").withColumn("_again", F.xxhash64(F.lit(1), "text", F.col("doc_id").cast("long"))).dropDuplicates(["_row", "_again"])
     return kept.select(docs.columns).unionByName(docs.where(~wordy))
 
 
@@ -52,11 +52,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the scan keeps is replaced in rows with a doc_id; n_chars is counted anew in the changed texts. All documents stay."""
+    """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay."""
     rows = keyed(docs)
     numbered = rows.select(F.col("_row").alias("doc_id"), "text", *(c for c in ("source",) if c in docs.columns))
     spans = secrets.scan(numbered).where("size(spans) > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("spans").alias("_spans"))
-    held = rows.join(spans, "_row", "left").withColumn("_spans", F.when(F.col("doc_id").isNotNull(), F.col("_spans")))
+    held = rows.join(spans, "_row", "left")
     # the pieces between spans; overlapping spans are cut where the one before ended
     ends = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(REDACTED)).alias("text"))), lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     text = F.when(F.col("_spans").isNotNull(), ends).otherwise(F.col("text"))
