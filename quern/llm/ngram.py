@@ -413,6 +413,8 @@ def scores(docs: DataFrame) -> DataFrame:
     train = rows.where(~F.col("held_out"))
     counts = count_words(train)
     total, kinds, n1, n2 = counts.agg(F.sum("n"), F.count("n"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    if kinds >= 1 << 31:
+        raise ValueError(f"{kinds} distinct words: a pair's key has 32 bits for each of its words")
     total, discount = total or 0, min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
     words = write_vocabulary(counts, kinds, folder) if kinds else []
     shards = max(1, -(-total // SHARD_TOKENS))

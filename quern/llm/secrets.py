@@ -4,9 +4,10 @@ One pass over the texts finds the candidates: the base kinds (assign, access,
 hex) and `token`, any run of TOKEN characters that mixes cases and digits. Each
 candidate's value is hashed; the hashes are counted by distinct repositories
 (documents) and distinct owners (sources), first within each owner, so that a
-value that a third of all rows hold is reduced before it meets itself. A value
-that SHARED owners or more hold is a widely copied example; one that fewer hold
-looks live. Base spans always stay. The method adds the `token` spans, outside
+value that a third of all rows hold is reduced before it meets itself. A value is
+a widely copied example where SHARED owners or more hold it, or where COPIED
+repositories or more do, of whatever owner (a licence header, a template); one that
+one or two owners hold in fewer repositories looks live. Base spans always stay. The method adds the `token` spans, outside
 base spans, whose value looks live.
 
 A span's place is the length of all pieces and matches before it, a running sum
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import written
 
-#: Owners from which on a value is a widely copied example.
-SHARED = 3
+#: Owners, and repositories, from which on a value is a widely copied example.
+SHARED, COPIED = 3, 100
 # The patterns and the least lengths of the kinds. Upper and lower case are spelt out: (?i) would take characters beyond ASCII as well in some engines.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ of 20 or more characters
@@ -76,12 +77,12 @@ def ownership(spans: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("source").alias("owners"))
 
 
-def scan(docs: DataFrame, shared: int = SHARED) -> DataFrame:
+def scan(docs: DataFrame, shared: int = SHARED, copied: int = COPIED) -> DataFrame:
     """A row for each row of docs: rid, doc_id, spans (array of kind, start, end, live; the kept ones, by start and kind)."""
     found = written(found_in(docs), "candidates")
     spans = written(spans_of(found), "spans")
     counts = ownership(spans)
-    judged = spans.withColumn("hash", F.sha2("value", 256)).join(counts, "hash").select("rid", F.struct("start", F.col("kind").alias("order"), "end", (F.col("owners") < shared).alias("live")).alias("span"))
+    judged = spans.withColumn("hash", F.sha2("value", 256)).join(counts, "hash").select("rid", F.struct("start", F.col("kind").alias("order"), "end", ((F.col("owners") < shared) & (F.col("repositories") < copied)).alias("live")).alias("span"))
     # token spans count where no base span overlaps them: the base spans' furthest end before, and their next start
     flat = judged.select("rid", "span.*", (F.col("span.order") < ORDER["token"]).alias("base"))
     by_start = Window.partitionBy("rid").orderBy("start", "order")

@@ -2,14 +2,16 @@
 
 Pass one scatters the records over buckets with a seeded hash. The number of
 buckets follows the bytes of the input, so that a bucket fits a task's memory
-at any size. Pass two shuffles each bucket by Fisher-Yates and writes it. The
-buckets one after another are one random order of all records, and the shards
-are equal runs of it: law `rows`, counts at most one apart.
-
-The hash covers a row's place in the scan as well as its doc_id, so that copies
-and repeated or null ids spread like any others. Defined results: a null text
-has size 1 and the checksum of the empty text; an empty table gives no rows;
-with fewer rows than shards, the last shards stay empty.
+(24 MB; more where that would make over a million buckets). Pass two shuffles each
+bucket by Fisher-Yates and writes it; a task takes a run of buckets. The buckets one
+after another are one random order of all records, and the shards are equal runs of
+it: law `rows`, counts at most one apart.
+
+The hash is of the seed, the doc_id and the text, so a seed gives the same shards
+however the input is cut into files. Rows equal in both are numbered, and the
+number goes into the hash, so that any many of them spread like others. Defined
+results: a null text has size 1 and the checksum of the empty text; an empty table
+gives no rows; with fewer rows than shards, the last shards stay empty.
 """
 
 from __future__ import annotations
@@ -20,12 +22,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import scratch, written
 
 SHARDS, SEED = 16, 20_240_607
 #: Bytes of text and rows in a bucket, on average.
 BUCKET_BYTES, BUCKET_ROWS = 24 << 20, 200_000
+#: Buckets at most, so that a row for each (12 MB at most) can go to all tasks; and tasks of the second pass at most.
+MOST_BUCKETS, MOST_TASKS = 1 << 20, 1 << 14
+
+
+def numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """rows(doc_id, text) with mark, a hash. Of rows that are equal in doc_id and text each has one of its own: they are counted task by task, so no task gets them all."""
+    key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+    marked = rows.withColumn("mark", key)
+    often = written(rows.select(key.alias("mark")).groupBy("mark").count().where("count > 1").select("mark", F.lit(True).alias("often")), "often")
+    if not often.limit(1).count():
+        return marked
+    parts = marked.withColumn("part", F.spark_partition_id()).join(often, "mark", "left")
+    sizes = parts.where("often").groupBy("mark", "part").count()
+    before = sizes.select("mark", "part", (F.sum("count").over(Window.partitionBy("mark").orderBy("part")) - F.col("count")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("mark", "part").orderBy("mark")) + F.col("before")
+    again = parts.where("often").join(before, ["mark", "part"]).withColumn("mark", F.xxhash64("mark", place))
+    return parts.where("often is null").select("doc_id", "text", "mark").unionByName(again.select("doc_id", "text", "mark"))
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -42,7 +62,8 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    buckets = max(1, -(-(size or 0) // bucket_bytes), -(-n // BUCKET_ROWS))
+    buckets = min(MOST_BUCKETS, max(1, -(-(size or 0) // bucket_bytes), -(-n // BUCKET_ROWS)))
+    tasks = min(buckets, MOST_TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # should a task read several buckets, each is shuffled and passed on by itself
@@ -66,14 +87,12 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
         if held:
             yield from out(at, held)
 
-    mark = F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())
-    scattered = rows.withColumn("mark", mark).withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int"))
-    dealt = scattered.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "mark", "doc_id")
+    scattered = numbered(rows, seed).withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int"))
+    dealt = scattered.repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket", "mark", "doc_id")
     placed = written(dealt.mapInArrow(run, "doc_id long, text string, mark long, bucket int, place long"), "shuffled")
-    # one row per bucket
-    counts = sorted((r.bucket, r["count"]) for r in placed.groupBy("bucket").count().collect())
-    before = np.cumsum([0, *(c for _, c in counts)]).tolist()
-    offsets = spark.createDataFrame([(b, o) for (b, _), o in zip(counts, before, strict=False)], "bucket int, before long")
+    # how many records come before each bucket: a row for each bucket, MOST_BUCKETS at most
+    counts = placed.groupBy("bucket").count()
+    offsets = counts.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))
     small, larger = divmod(n, shards)
     whole = F.col("before") + F.col("place")
     bound = F.lit(larger * (small + 1))

@@ -61,6 +61,8 @@ def anchors(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(sizes)
     raw = b"".join(docs)
     n = len(raw)
+    if n >> int(PLACE):
+        raise ValueError(f"a text of {max(sizes)} bytes: places in a block have {PLACE} bits")
     if n < LENGTH:
         return (np.empty(0, np.int64),) * 6
     h = mix(np.ndarray((n - 7,), "<u8", raw, strides=(1,)).astype(np.uint64))

@@ -102,6 +102,8 @@ class Packer:
     """Writes one file: ids go in as they come, rows of `width` go out in batches of ROWS."""
 
     def __init__(self, path: str, kind: np.dtype, width: int):
+        if width % 8:
+            raise ValueError("rows of a multiple of eight ids, so that their masks are whole bytes")
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), width)), ("mask", pa.list_(pa.bool_(), width))])
         self.sink = open_out(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
@@ -142,9 +144,18 @@ class Reader:
         self.n = self.file.num_record_batches
         self.batches: dict[int, np.ndarray] = {}
 
-    def rows(self, batch: int, column: str = "ids") -> np.ndarray:
-        """A batch as a matrix over the mapped memory."""
-        return self.file.get_batch(batch).column(column).values.to_numpy().reshape(-1, self.width)
+    def rows(self, batch: int) -> np.ndarray:
+        """The ids of a batch as a matrix over the mapped memory."""
+        return self.file.get_batch(batch).column("ids").values.to_numpy().reshape(-1, self.width)
+
+    def mask_bits(self, batch: int) -> np.ndarray:
+        """The masks of a batch as a matrix of bytes over the mapped memory, eight places in each, the first in the lowest bit."""
+        column = self.file.get_batch(batch).column("mask")
+        return np.frombuffer(column.values.buffers()[1], np.uint8, len(column) * self.width // 8, column.values.offset // 8).reshape(-1, self.width // 8)
+
+    def masks(self, batch: int) -> np.ndarray:
+        """The masks of a batch, a boolean for each place (a copy)."""
+        return np.unpackbits(self.mask_bits(batch), axis=1, bitorder="little").astype(bool)
 
     def flat(self, batch: int) -> np.ndarray:
         if batch not in self.batches:

@@ -117,6 +117,16 @@ def test_ann_recall_and_exact_scores(spark):
     assert few.count() == 4
 
 
+def test_ann_ties_repeats_and_empty_tables(spark):
+    rows = [(i, [1.0, 0.0, 0.0], "q", i, "r", 0.5) for i in range(25)] + [(3, [1.0, 0.0, 0.0], "q", 3, "r", 0.5), (30, [0.0, 2.0, 0.0], "q", 1, "r", 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int, v string, score double")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    ids = {q: [i for i, *_ in sorted(rows[:26], key=lambda r: r[0]) if i != q][:20] for q in (0, 20)}
+    assert got == [(q, k, i, 1.0) for q in (0, 20) for k, i in enumerate(ids[q], 1)]  # ties go to the smaller vec_id, repeated rows are each a candidate
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert ann.nearest(df.where("vec_id > 20 and vec_id < 30"), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_ngram_scores(spark, docs, rows):
     held = [zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for d, _ in rows]
     toks = [low(t).encode().split() + [None] for _, t in rows]
@@ -134,6 +144,33 @@ def test_ngram_scores(spark, docs, rows):
     assert ngram.scores(empty(spark)).count() == 0
 
 
+def test_ngram_scores_lie_near_a_plain_model(spark):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(30_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[60 * i : 60 * i + 60])) for i in range(500)], "doc_id long, text string")
+    texts = {r.doc_id: r.text.split() for r in docs.collect()}
+    train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    c, p = collections.Counter(), collections.defaultdict(collections.Counter)
+    for t in train.values():
+        for a, b in zip([None, *t], [*t, None], strict=True):
+            c[b] += 1
+            p[a][b] += 1
+    n, v, pairs = sum(c.values()), len(c), collections.Counter(k for x in p.values() for k in x.values())
+    share = lambda k: min(0.95, max(0.05, k[1] / max(1, k[1] + 2 * k[2])))
+    d1, d2 = share(collections.Counter(c.values())), share(pairs)
+
+    def plain(t):
+        out = 0.0
+        for a, b in zip([None, *t], [*t, None], strict=True):
+            one = (c[b] - d1) / n if c[b] else d1 * v / n
+            seen = sum(p[a].values()) if a in p else 0
+            out += math.log10((max(0, p[a][b] - d2) + d2 * len(p[a]) * one) / seen if seen else one)
+        return out
+
+    for r in ngram.scores(docs).collect():
+        assert 0 <= (plain(texts[r.doc_id]) - r.score) / r.n_tokens < 0.04, r  # quantised downwards
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(0, 10**9), min_size=1, max_size=300), st.lists(st.integers(0, 10**9), min_size=1, max_size=50))
 def test_elias_fano(values, asked):
@@ -233,7 +270,19 @@ def test_token_store(spark, docs, rows):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     reader = token_store.Reader(token_store.files(spark, index)[0])
     assert reader.rows(0).shape[1] == 64 and reader.rows(0).base is not None
+    per_file = collections.Counter()
+    for r in index.collect():
+        per_file[r.file] += r.n_tokens
+    for file, n in per_file.items():
+        reader = token_store.Reader(file)
+        masks = [reader.masks(b) for b in range(reader.n)]
+        assert all(m.shape == reader.rows(b).shape == (len(m), 64) and reader.mask_bits(b).base is not None for b, m in enumerate(masks))
+        flat = np.concatenate([m.reshape(-1) for m in masks])
+        assert flat[:n].all() and not flat[n:].any() and len(flat) - n < 64
+        assert not np.concatenate([reader.flat(b) for b in range(reader.n)])[n:].any()
     assert token_store.read_back(token_store.write(empty(spark), WORD)).count() == 0
+    with pytest.raises(ValueError):
+        token_store.Packer("/tmp/none", np.uint16, 63)
 
 
 def test_secrets(docs, spark):
@@ -256,6 +305,19 @@ def test_secrets(docs, spark):
     assert secrets.digests(both.limit(0)).count() == 0
 
 
+def test_secrets_by_repositories_and_owners(spark):
+    live, example, template = ("Ab3" + c * 8 + "Yz9q" * 4 for c in "MNO")
+    rows = [(k, f"x {live} y", "own1") for k in range(3)] + [(10 + k, f"x {example} y", f"own{k}") for k in range(4)] + [(20 + k, f"x {template} y", "own1") for k in range(12)]
+    rows += [(1, f"x {live} y", "own1"), (99, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = {r.hash: (r.repositories, r.owners) for r in secrets.ownership(secrets.spans_of(secrets.found_in(docs))).collect()}
+    assert held == {hashlib.sha256(v.encode()).hexdigest(): n for v, n in ((live, (3, 1)), (example, (4, 4)), (template, (12, 1)))}
+    kept = lambda **o: sorted(r.doc_id for r in secrets.scan(docs, **o).collect() if r.spans)
+    assert kept() == [0, 1, 1, 2, *range(20, 32)]  # one owner's values
+    assert kept(copied=10) == [0, 1, 1, 2]  # what one owner has in many repositories is a template
+    assert kept(shared=5, copied=10) == [0, 1, 1, 2, 10, 11, 12, 13]
+
+
 def test_repeats(docs, rows, spark):
     raw = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
@@ -305,6 +367,21 @@ def test_shards(spark, docs, rows):
     assert sorted(sharding.fisher_yates(50, np.random.default_rng(1)).tolist()) == list(range(50))
 
 
+def test_shards_of_one_seed(spark, docs, tmp_path):
+    same_rows = spark.createDataFrame([(None, None)] * 300 + [(5, "again")] * 200, "doc_id long, text string")
+    some = docs.select("doc_id", "text").unionByName(same_rows)
+    place = lambda df, **o: sorted(((r.shard, r.slot, r.doc_id, r.text) for r in sharding.shuffle(df, bucket_bytes=200, **o).collect()), key=repr)
+    once = place(some)
+    assert once == place(some.repartition(7)) == place(some.orderBy("text")) != place(some, seed=5)  # however the input is cut
+    per_bucket = collections.Counter(s for s, _, d, t in once if (d, t) == (None, None))
+    assert len(per_bucket) == 16 and max(per_bucket.values()) < 60  # equal rows spread
+    few = sorted((r.shard, r.slot) for r in sharding.shuffle(some.where("doc_id in (1, 2, 3)").limit(3)).collect())
+    assert few == [(0, 0), (1, 0), (2, 0)]
+    path = sharding.write_shards(some, f"{tmp_path}/shards")
+    back = spark.read.parquet(path)
+    assert back.count() == some.count() and {r.shard for r in back.select("shard").distinct().collect()} == set(range(16))
+
+
 def test_bpe(spark, docs, rows):
     t = Tokenizer.from_file(BYTE)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
