@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def base_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one where it is unset (single-machine tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-stream-")).rstrip("/")
+    """The shared folder of the cluster; a local one where it is unset and there is one machine."""
+    found, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir isn't set: the executors of {master} need a folder that they share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="quern-stream-")).rstrip("/")
 
 
 def status(events: DataFrame) -> DataFrame:
