@@ -60,6 +60,11 @@ def lines(text: Column) -> Column:
     return F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
 
 
+def is_scanned(page: Column, least: int = 80) -> Column:
+    """Whether a page has so little text that it was scanned."""
+    return F.length(F.trim(F.coalesce(page, F.lit("")))) < least
+
+
 def is_heading(line: Column) -> Column:
     first = F.substring(line, 1, 1)
     plain = (F.size(extract_all(line, r"\S+")) <= 12) & (F.length(line) <= 120) & ~line.rlike("[.,;:]$") & (first == F.upper(first)) & (first != F.lower(first))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -38,3 +38,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     last = e.where("k is not null").groupBy("user_id", "event_type").agg(F.max_by("k", "event_id").alias("value"), F.max("event_id").alias("node_id"))
     return last.select("node_id", (F.col("user_id") % 20).alias("workspace_id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("label"), "value")
+
+
+def vector_text(v: Column) -> Column:
+    """A vector as text: eight decimals, in brackets."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+
+
+def vector_of(text: str) -> Column:
+    """The vector of such a text; none for empty brackets."""
+    return F.from_json(F.col(text), "array<double>")
