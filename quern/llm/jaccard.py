@@ -16,7 +16,9 @@ distance, a metric, is at most 0.25.
    of every member to it is taken, unless lengths or positions rule a link out.
    Members within 0.25 are one component with the pivot: their mutual pairs need no
    look. Between the others the triangle inequality leaves windows: x and y can link
-   only if |d(x, p) - d(y, p)| <= 0.25.
+   only if |d(x, p) - d(y, p)| <= 0.25. A pair that meets in several regions is
+   compared in one: each member knows its regions just before, and where the two have
+   one of those in common, this region leaves the pair to it.
 4. Recursion. Regions whose members are still of several components get more pivots,
    eightfold each round, compared across components and within windows only; used
    pivots leave. It ends when every region is one component or used up, so that no
@@ -50,8 +52,8 @@ WORDS, PERCENT = 5, 75
 SLACK = 4
 #: Regions up to this size compare all their members in the first round of the recursion.
 SMALL = 9
-#: So many of a set's mixed regions before each one are known there: a pair that shares one of them is compared in that one.
-EARLIER = 4
+#: So many of the mixed regions before each of a set's are known there: a pair that shares one of them is compared in that one.
+EARLIER = 2
 #: Counters of the sketch: 16 bits each, so 8 MB at any size of the input.
 SKETCH_BITS = 22
 #: Entries of a worker's memo of words.
@@ -293,39 +295,33 @@ def linked(docs: DataFrame) -> DataFrame:
     known = written(distances(first.select(*ordered(F.col("cid"), F.col("pivot"))).distinct(), index), "distances", folder)
     links = known.where(near).select("x", "y")
     comp = components(links, folder)
-    # regions with a member that isn't of the pivot's component go on: first the few distinct (member, pivot) pairs tell which
+    # regions of several components go on, each member with its component; sets of the others are settled
     label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
-    pairs = members.where("cid <> pivot").select("cid", "pivot").distinct().join(label, "cid", "left").join(label.toDF("pivot", "pc"), "pivot", "left")
-    apart = pairs.where(F.coalesce("c", "cid") != F.coalesce("pc", "pivot")).select("cid", "pivot")
-    mixed = members.join(apart, ["cid", "pivot"], "left_semi").select("s").distinct()
-    members = written(members.join(mixed, "s", "left_semi"), "mixed", folder)
-    # each member's distance to the pivot, its component, and how many of its shingles are its own: outside mixed regions
-    # of more than SMALL sets, as sets of a region that isn't mixed are of one component
-    large = members.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL).select("s", F.lit(True).alias("large"))
-    shared = members.join(large, "s").where(F.col("pos") < reach(F.col("n"), F.col("n"))).groupBy("cid").agg(F.count(F.lit(1)).alias("shared"))
-    owns = members.select("cid").distinct().join(shared, "cid", "left").join(label, "cid", "left")
-    far = 1 - F.col("common") / (F.col("n") + F.col("n2") - F.col("common"))
-    d = known.select("x", "y", far.alias("d"))
-    rows = members.select("s", "cid", "n", "pos", "pivot", *ordered(F.col("cid"), F.col("pivot"))).join(d, ["x", "y"], "left")
-    rows = rows.join(owns, "cid").join(large, "s", "left").withColumn("c", F.coalesce("c", "cid")).withColumn("own", reach(F.col("n"), F.col("n")) - F.coalesce("shared", F.lit(0)))
-    # a pair that shares several regions is compared in one of them: where it shares one of the few before, it was or will be
-    before = Window.partitionBy("cid").orderBy("pos", "s")
-    rows = rows.withColumn("earlier", F.array_compact(F.array(*(F.lag("s", k).over(before) for k in range(1, EARLIER + 1)))))
-    rows = written(rows.select("s", "cid", "n", "pos", "own", F.coalesce("large", F.lit(False)).alias("large"), "pivot", "d", "c", "earlier"), "members", folder)
-    width, used = SMALL - 1, 1
+    region, own = Window.partitionBy("s"), Window.partitionBy("cid")
+    several = lambda rows, *more: rows.select("*", F.min("c").over(region).alias("a"), F.max("c").over(region).alias("b"), *more).where("a <> b").drop("a", "b")
+    rows = members.select("s", "cid", "n", "pos", "pivot").join(label, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+    rows = written(several(rows, (F.count(F.lit(1)).over(region) > SMALL).alias("large")), "mixed", folder)
+    # each member's distance to the pivot, how many of its shingles are its own (outside mixed regions of more than SMALL sets),
+    # and its regions just before: a pair that shares several regions is compared in one, as where it shares one of those before, it was or will be
+    far = known.select("x", "y", (1 - F.col("common") / (F.col("n") + F.col("n2") - F.col("common"))).alias("d"))
+    asked = first.select("cid", "pivot", *ordered(F.col("cid"), F.col("pivot"))).distinct().join(far, ["x", "y"])
+    rows = rows.join(asked.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("ds")), "cid", "left")
+    before = own.orderBy("pos", "s")
+    rows = rows.select(
+        "s", "cid", "n", "pos", "large", "c", "pivot", F.try_element_at("ds", F.col("pivot")).alias("d"), (reach(F.col("n"), F.col("n")) - F.count_if(F.col("large") & (F.col("pos") < reach(F.col("n"), F.col("n")))).over(own)).alias("own"),
+        F.array_compact(F.array(*(F.lag("s", k).over(before) for k in range(1, EARLIER + 1)))).alias("earlier"), F.xxhash64("cid").alias("rank"),
+    )
+    rows = rows.where("cid <> pivot").drop("pivot")
+    width = SMALL - 1
     while True:
-        mixed = rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s")
-        rows = rows.join(mixed, "s", "left_semi")
-        if used == 1:
-            rows = rows.where("cid <> pivot")
-            rows = rows.join(rows.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"), "s", "left_semi")
-        ranked = written(rows.withColumn("rank", F.xxhash64("cid")), "rounds", folder)
+        turn = F.row_number().over(region.orderBy("pos", "rank", "cid"))
+        ranked = written(several(rows, turn.alias("k")), "rounds", folder)
         if not ranked.limit(1).count():
             break
-        turn = Window.partitionBy("s").orderBy("pos", "rank", "cid")
-        pivots = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("own").alias("po"), F.col("d").alias("pd"), F.col("c").alias("pc"), F.col("earlier").alias("pe"))
+        pivots = ranked.where(F.col("k") <= width).select("s", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("own").alias("po"), F.col("d").alias("pd"), F.col("c").alias("pc"), F.col("earlier").alias("pe"))
         window = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 0.25 + 1e-9, F.lit(True))
-        pairs = ranked.join(pivots, "s").where((F.col("c") != F.col("pc")) & (F.col("cid") != F.col("p")) & ~F.arrays_overlap("earlier", "pe") & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
+        once = (F.col("k") > width) | (F.col("cid") < F.col("p"))
+        pairs = ranked.join(pivots, "s").where(once & (F.col("c") != F.col("pc")) & ~F.arrays_overlap("earlier", "pe") & window & may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp")) & ~(F.col("large") & (too_own(F.col("n"), F.col("own"), F.col("pn")) | too_own(F.col("pn"), F.col("po"), F.col("n")))))
         fresh = pairs.select(*ordered(F.col("cid"), F.col("p"))).distinct().join(known.select("x", "y"), ["x", "y"], "left_anti")
         more = written(distances(fresh, index), "distances", folder)
         known = known.unionByName(more)
@@ -333,9 +329,9 @@ def linked(docs: DataFrame) -> DataFrame:
             links = links.unionByName(more.where(near).select("x", "y"))
             comp = components(links, folder)
         label = comp.select(F.col("node").alias("cid"), F.col("comp").alias("c"))
-        left = ranked.withColumn("k", F.row_number().over(turn)).where(F.col("k") > width).drop("k", "rank", "c")
+        left = ranked.where(F.col("k") > width).drop("k", "c")
         rows = left.join(label, "cid", "left").withColumn("c", F.coalesce("c", "cid"))
-        width, used = width * 8, used + 1
+        width *= 8
     every = sets.select("doc_id", "n", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = every.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = every.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
