@@ -40,8 +40,8 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """Words and single marks, at least 1."""
-    return F.greatest(F.lit(1), F.size(extract_all(text, WORDS_AND_MARKS)))
+    """Words and single marks: 0 for a blank text, else at least 1."""
+    return F.when(text.rlike(r"^\s*$"), 0).otherwise(F.greatest(F.lit(1), F.size(extract_all(text, WORDS_AND_MARKS))))
 
 
 def simple_tokens(text: Column) -> Column:
@@ -115,7 +115,8 @@ def document_type(text: Column) -> Column:
         for w in words[1:]:
             rule |= low.contains(w)
         out = out.when(rule, F.struct(F.lit(kind).alias("type"), F.lit(confidence).alias("confidence")))
-    return out.otherwise(F.struct(F.lit("other").alias("type"), F.lit(0.55).alias("confidence")))
+    unsure = low.contains("ambiguous") | (F.length(F.trim(low)) < 40)
+    return out.otherwise(F.struct(F.lit("other").alias("type"), F.when(unsure, 0.35).otherwise(0.55).alias("confidence")))
 
 
 def summary(text: Column, longest: int = 150) -> Column:
@@ -145,7 +146,8 @@ def text_support(claim: Column, passage: Column, least: float = 0.25) -> Column:
     c, p = F.lower(claim), F.lower(passage)
     words = F.filter(extract_all(c, TOKEN), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2))
     held = F.filter(words, lambda w: F.array_contains(extract_all(p, TOKEN), w))
-    return (c != "") & (p != "") & (p.contains(c) | ((F.size(words) > 0) & (F.size(held) >= least * F.size(words))))
+    trimmed = F.trim(c)
+    return (trimmed != "") & (F.trim(p) != "") & (p.contains(trimmed) | ((F.size(words) > 0) & (F.size(held) >= least * F.size(words))))
 
 
 def pieces(text: Column, width: int = 200) -> Column:

@@ -13,7 +13,7 @@ from quern.sources import views as V
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(r"SELECT doc_id, greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) AS n_tokens, len(regexp_extract_all(lower(text), '[0-9a-z]+')) AS n_simple FROM documents")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*$') THEN 0 ELSE greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))) END AS n_tokens, len(regexp_extract_all(lower(text), '[0-9a-z]+')) AS n_simple FROM documents")
 def token_counts(spark, sf):
     t = F.col("text")
     return V.table(spark, sf, "documents").select("doc_id", T.count_tokens(t).alias("n_tokens"), F.size(T.simple_tokens(t)).alias("n_simple"))
@@ -94,7 +94,7 @@ def topics(spark, sf):
 _CASE = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN {{{k}}}" for k, (_, _, words) in enumerate(T.TYPES))
 
 
-@query(f"SELECT doc_id, CASE {_CASE.format(*(repr(t) for t, _, _ in T.TYPES))} ELSE 'other' END AS document_type, CAST(CASE {_CASE.format(*(c for _, c, _ in T.TYPES))} ELSE 0.55 END AS DOUBLE) AS confidence, CAST(CASE {_CASE.format(*(c for _, c, _ in T.TYPES))} ELSE 0.55 END AS DOUBLE) < 0.5 AS low_confidence FROM documents")
+@query(f"SELECT doc_id, CASE {_CASE.format(*(repr(t) for t, _, _ in T.TYPES))} ELSE 'other' END AS document_type, CAST(CASE {_CASE.format(*(c for _, c, _ in T.TYPES))} ELSE CASE WHEN contains(lower(text), 'ambiguous') OR length(trim(text)) < 40 THEN 0.35 ELSE 0.55 END END AS DOUBLE) AS confidence, CAST(CASE {_CASE.format(*(c for _, c, _ in T.TYPES))} ELSE CASE WHEN contains(lower(text), 'ambiguous') OR length(trim(text)) < 40 THEN 0.35 ELSE 0.55 END END AS DOUBLE) < 0.5 AS low_confidence FROM documents")
 def classify_documents(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", T.document_type(F.col("text")).alias("t"))
     return d.select("doc_id", F.col("t.type").alias("document_type"), "t.confidence", (F.col("t.confidence") < 0.5).alias("low_confidence"))
@@ -170,7 +170,7 @@ def extractive_qa(spark, sf):
 
 @query(f"""WITH {CHUNKS}, c AS (SELECT b.item_id, b.text AS passage, s.pos, s.chunk_text FROM benchmark b JOIN chunks s ON s.document_id = b.item_id),
 w AS (SELECT *, list_filter(regexp_extract_all(lower(chunk_text), '[0-9a-z]+'), lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, regexp_extract_all(lower(passage), '[0-9a-z]+') AS pw FROM c)
-SELECT item_id, pos, contains(lower(passage), lower(chunk_text)) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: list_contains(pw, x))) >= 0.25 * len(cw)) AS supported FROM w""")
+SELECT item_id, pos, contains(lower(passage), trim(lower(chunk_text))) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: list_contains(pw, x))) >= 0.25 * len(cw)) AS supported FROM w""")
 def claim_text_support(spark, sf):
     """Whether each sentence of a document is supported by the benchmark passage of the same number."""
     c = V.chunks(spark, sf).join(V.table(spark, sf, "benchmark").select(F.col("item_id").alias("document_id"), F.col("text").alias("passage")), "document_id")
