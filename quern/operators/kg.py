@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as T
+from quern.sources.stored import cut
 
 # Labels, relationships and patterns of the graph.
 NAMED, FACTS = ["Organization", "Person", "Topic"], ["DateFact", "Amount"]
@@ -156,7 +157,7 @@ def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, resolved: DataF
     seen, met = frontier, None
     for hop in range(hops):
         step = frontier.join(both, "x").join(ends, "y").join(scope, ["question_id", "document_id"], "left")
-        step = step.where(admitted(F.col("w"), F.col("label"), F.coalesce("in_scope", F.lit(False)), F.col("rel_type"), F.col("workspace_id")))
+        step = cut(step.where(admitted(F.col("w"), F.col("label"), F.coalesce("in_scope", F.lit(False)), F.col("rel_type"), F.col("workspace_id"))).select("question_id", "workspace_id", "y", "rel_type", "start_id", "end_id"), "hop")
         found = step.select("question_id", "rel_type", "start_id", "end_id")
         met = found if met is None else met.unionByName(found)
         if hop + 1 < hops:
@@ -193,7 +194,7 @@ def related(seeds: DataFrame, amends: DataFrame, hops: int = 5) -> DataFrame:
     seen = seeds.select(F.col("node_id").alias("origin"), "node_id")
     frontier = seen
     for _ in range(hops):
-        frontier = frontier.join(both, F.col("node_id") == F.col("x")).select("origin", F.col("y").alias("node_id")).distinct().join(seen, ["origin", "node_id"], "left_anti")
+        frontier = cut(frontier.join(both, F.col("node_id") == F.col("x")).select("origin", F.col("y").alias("node_id")).distinct().join(seen, ["origin", "node_id"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

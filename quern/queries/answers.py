@@ -26,14 +26,6 @@ def keyword_rank(spark, sf):
     return words.select("document_id", "pos", websearch.rank(SEARCH)("t").alias("score"))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT document_id, pos, regexp_extract(line, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1) AS number, line FROM lines), n AS (SELECT * FROM m WHERE number <> '') SELECT a.document_id, a.pos, a.number, max(b.pos) AS parent_pos FROM n a LEFT JOIN n b ON a.document_id = b.document_id AND b.number = regexp_replace(a.number, '\\.?\\d+$', '') AND b.number <> '' GROUP BY ALL""")
-def module_hierarchy(spark, sf):
-    """Numbered headings and their parents: the number without its last part."""
-    n = V.lines(spark, sf).select("document_id", "pos", F.regexp_extract("line", T.HEADING_NUMBER, 1).alias("number")).where("number <> ''")
-    parents = n.groupBy("document_id", F.col("number").alias("parent")).agg(F.max("pos").alias("parent_pos"))
-    return n.withColumn("parent", F.regexp_replace("number", r"\.?\d+$", "")).join(parents, ["document_id", "parent"], "left").select("document_id", "pos", "number", "parent_pos")
-
-
 @query(f"""WITH {CHUNKS}, b AS (SELECT c.document_id, c.pos, c.chunk_text, c.token_count FROM tokens c), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY token_count DESC, pos) AS rn FROM b)
 SELECT r.document_id, string_agg('[' || r.pos || '] ' || r.chunk_text, chr(10) ORDER BY r.token_count DESC, r.pos) AS prompt, count(*) AS n_chunks, sum(r.token_count)::BIGINT AS n_tokens FROM r WHERE rn <= 3 GROUP BY r.document_id""")
 def prompt_build(spark, sf):
@@ -51,15 +43,6 @@ def rules_answer(spark, sf):
     return V.chunks(spark, sf).where(F.length("chunk_text") > 10).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("document_id", "pos", F.col("chunk_text").alias("claim"))
 
 
-@query(f"""WITH {CHUNKS}, w AS (SELECT document_id, pos, len(regexp_extract_all(lower(chunk_text), '[0-9a-z]+')) AS n FROM chunks), s AS (SELECT document_id, avg(CASE WHEN n > 8 THEN 1 ELSE 0 END) AS ratio, count(*) AS n_claims, least(1, max(n) / 40) AS top FROM w GROUP BY 1)
-SELECT document_id, n_claims, round(least(1.0, greatest(0.1, 0.7 * ratio + 0.3 * top))::DOUBLE, 6) AS confidence FROM s""")
-def agg_claim_support(spark, sf):
-    """Confidence of an answer: seven tenths the share of supported claims, three tenths the best score, between 0.1 and 1."""
-    n = F.size(T.simple_tokens(F.col("chunk_text")))
-    s = V.chunks(spark, sf).groupBy("document_id").agg(F.avg((n > 8).cast("int")).alias("ratio"), F.count(F.lit(1)).alias("n_claims"), F.least(F.lit(1.0), F.max(n) / 40).alias("top"))
-    return s.select("document_id", "n_claims", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), 0.7 * F.col("ratio") + 0.3 * F.col("top"))), 6).alias("confidence"))
-
-
 @query("""WITH p AS (SELECT conv_id, turn, 'citation' AS type, role AS payload, 1 AS o FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'token', substr(text, 1, 200), 0 FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'done', '', 2 FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, CAST(o AS INTEGER) AS ordinal, type, payload FROM p""")
 def answer_events(spark, sf):
@@ -86,12 +69,6 @@ def empty_scope_package(spark, sf):
     return q.join(e, "workspace_id", "left").select("workspace_id", F.coalesce("ready", F.lit(0)).alias("n_chunks"), (F.coalesce("ready", F.lit(0)) == 0).alias("empty"))
 
 
-@query(f"""WITH {CHUNKS}, m AS (SELECT document_id, pos, trim(regexp_extract(chunk_text, '^([A-Za-z ]+),', 1)) AS party FROM chunks), d AS (SELECT *, row_number() OVER (PARTITION BY document_id, lower(party) ORDER BY pos) AS rn FROM m WHERE party <> '') SELECT document_id, pos, party FROM d WHERE rn = 1""")
-def dedupe_entities(spark, sf):
-    m = V.chunks(spark, sf).select("document_id", "pos", F.trim(F.regexp_extract("chunk_text", "^([A-Za-z ]+),", 1)).alias("party")).where("party <> ''")
-    return extraction.first_of(m, ["document_id", F.lower("party")], ["pos"])
-
-
 @query("SELECT doc_id, regexp_replace(trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g')), ' $', '') AS clean FROM documents")
 def normalize_whitespace(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.trim(F.regexp_replace(F.translate("text", "\u00a0", " "), r"\s+", " ")).alias("clean"))

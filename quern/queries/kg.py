@@ -12,6 +12,7 @@ from quern.queries import fields as FQ
 from quern.registry import query
 from quern.sources import store as S
 from quern.sources import views as V
+from quern.sources.stored import stored
 
 A, C = S.AGREEMENTS, S.CLAUSES
 
@@ -51,43 +52,51 @@ edges AS (SELECT DISTINCT rel_type, CASE WHEN rel_type = 'SIGNED' THEN node_id E
 def field_rows(spark, sf):
     c = S.clauses(spark, sf)
     both = F.concat(R.universal_fields(F.col("chunk_text")), R.type_fields(F.col("chunk_text"), FQ._kind_of()))
-    return c.select("chunk_id", "document_id", "page_number", F.inline(both))
+    return c.select("chunk_id", "document_id", "page_number", F.inline_outer(both))
 
 
 def candidates_of_fields(spark, sf):
     f = field_rows(spark, sf)
-    return f.select("chunk_id", "document_id", "page_number", F.inline(K.from_field(F.col("field_name"), F.col("field_value"))))
+    return f.select("chunk_id", "document_id", "page_number", F.inline_outer(K.from_field(F.col("field_name"), F.col("field_value")))).where("kind is not null")
 
 
 def candidates_of_text(spark, sf):
-    return S.clauses(spark, sf).select("chunk_id", "document_id", "page_number", F.inline(K.from_text(F.col("chunk_text"))))
+    return S.clauses(spark, sf).select("chunk_id", "document_id", "page_number", F.inline_outer(K.from_text(F.col("chunk_text")))).where("kind is not null")
 
 
 def live(spark, sf):
     return S.live(spark, sf).select("document_id", "workspace_id", "title", (F.col("document_id") * 2).alias("chunk_id"), "processing_status")
 
 
+def _candidates(spark, sf):
+    docs = S.live(spark, sf).select("document_id", "workspace_id")
+    return K.with_ids(candidates_of_fields(spark, sf).unionByName(candidates_of_text(spark, sf)).join(docs, "document_id"))
+
+
+def _named_amendments(spark, sf):
+    docs = live(spark, sf)
+    named = S.clauses(spark, sf).select("document_id", F.explode_outer(K.amended_titles(F.col("chunk_text"))).alias("title")).where("title is not null").join(docs.select("document_id", "workspace_id"), "document_id")
+    return K.amends_edges(named, docs)
+
+
+# the graph is built once and read by all questions to it
+
+
 def marked(spark, sf):
-    """All candidates of live documents with their node ids; one pass over the chunks."""
-    t = F.col("chunk_text")
-    fields = F.concat(R.universal_fields(t), R.type_fields(t, FQ._kind_of()))
-    every = F.concat(F.flatten(F.transform(fields, lambda f: K.from_field(f["field_name"], f["field_value"]))), K.from_text(t))
-    c = S.clauses(spark, sf).join(S.live(spark, sf).select("document_id", "workspace_id"), "document_id")
-    return K.with_ids(c.select("chunk_id", "document_id", "page_number", "workspace_id", F.inline(every)))
+    """All candidates of live documents with their node ids."""
+    return stored(spark, sf, "candidates", _candidates)
 
 
 def nodes(spark, sf):
-    return K.entity_nodes(marked(spark, sf)).unionByName(K.document_nodes(live(spark, sf)))
+    return stored(spark, sf, "nodes", lambda s, d: K.entity_nodes(marked(s, d)).unionByName(K.document_nodes(live(s, d))))
 
 
 def amends(spark, sf):
-    docs = live(spark, sf)
-    named = S.clauses(spark, sf).select("document_id", F.explode(K.amended_titles(F.col("chunk_text"))).alias("title")).join(docs.select("document_id", "workspace_id"), "document_id")
-    return K.amends_edges(named, docs)
+    return stored(spark, sf, "amends", _named_amendments)
 
 
 def edges(spark, sf):
-    return K.within_workspace(K.entity_edges(marked(spark, sf)).unionByName(amends(spark, sf)), nodes(spark, sf))
+    return stored(spark, sf, "edges", lambda s, d: K.within_workspace(K.entity_edges(marked(s, d)).unionByName(amends(s, d)), nodes(s, d)))
 
 
 _SHOW = "kind, name, rel_type, fact_label, value, currency"
@@ -204,7 +213,7 @@ def related_documents(spark, sf):
     return _near(spark, sf)
 
 
-@query(f"WITH {_REL.split('seeds AS')[0].rstrip(', ')}, facts AS (SELECT DISTINCT m.node_id, m.kind AS label, m.fact_label, m.value, m.document_id FROM marked m WHERE kind IN ('DateFact', 'Amount')) SELECT document_id, label, fact_label, value FROM facts")
+@query(f"WITH {_REL.split('seeds AS')[0].rstrip(', ')}, facts AS (SELECT DISTINCT m.node_id, m.kind AS label, m.fact_label, m.value, m.document_id FROM marked m WHERE kind IN ('DateFact', 'Amount')) SELECT DISTINCT document_id, label, fact_label, value FROM facts")
 def facts_for_document(spark, sf):
     return _facts(spark, sf).select("document_id", "label", "fact_label", "value").distinct()
 

@@ -115,11 +115,6 @@ def protect_floor(spark, sf):
     return fusion.top(V.chunks(spark, sf).select("document_id", "pos", "token_count"), 2, [F.desc("token_count"), F.col("pos")], ["document_id"]).drop("rank")
 
 
-@query("SELECT CAST(label AS BIGINT) AS label, count(*) AS n, count(*) FILTER (WHERE embedding IS NULL) AS missing FROM embeddings GROUP BY label")
-def anti_missing_embeddings(spark, sf):
-    return V.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("embedding").isNull()).alias("missing"))
-
-
 _SLOT = "list_transform(CASE WHEN len(regexp_extract_all(lower({0}), '[0-9a-z]+')) = 0 THEN [''] ELSE regexp_extract_all(lower({0}), '[0-9a-z]+') END, lambda t: CASE WHEN t = '' THEN 0 ELSE ('0x' || substr(sha256(t), 1, 8))::BIGINT % 1024 END)"
 
 
