@@ -30,13 +30,23 @@ def set_similarity(x: Column, y: Column) -> Column:
 def hashed_slots(text: Column, size: int = 1024) -> Column:
     """The slot of each token of a bag-of-words embedding; text without tokens has slot 0."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
-    slots = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % size)
-    return F.when(F.size(slots) > 0, slots).otherwise(F.array(F.lit(0).cast("long")))
+    some = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))
+    return F.transform(some, lambda t: F.when(t == "", 0).otherwise(F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % size))
 
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the count vectors of two lists of slots."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    norm = lambda xs: F.sqrt(F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda s, v: s + count(xs, v) * count(xs, v)))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, v: s + count(a, v) * count(b, v))
-    return both / (norm(a) * norm(b))
+def slot_counts(slots: Column) -> Column:
+    """map of slot to count."""
+    return F.map_from_entries(F.transform(F.array_distinct(slots), lambda v: F.struct(v, F.size(F.filter(slots, lambda x: x == v)).cast("double"))))
+
+
+def squared_norm(slots: Column) -> Column:
+    """The sum of the squared counts of a list of slots, in one pass over the sorted list."""
+    start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda a, x: F.when(a["slot"] == x, F.struct(a["slot"].alias("slot"), (a["run"] + 1).alias("run"), (a["sum"] + 2 * a["run"] + 1).alias("sum"))).otherwise(F.struct(x.alias("slot"), F.lit(1.0).alias("run"), (a["sum"] + 1).alias("sum")))
+    return F.aggregate(F.array_sort(slots), start, step, lambda a: a["sum"])
+
+
+def bag_cosine(slots: Column, weights: Column, norm: Column) -> Column:
+    """Cosine of the counts of a list of slots with those of a map of slots (norm: its squared norm): one pass over the list."""
+    dot = F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(weights, x), F.lit(0.0)))
+    return dot / (F.sqrt(squared_norm(slots)) * F.sqrt(norm))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as T
 from quern.functions import websearch
-from quern.operators import extraction
+from quern.operators import fusion
 from quern.registry import CHUNKS, DOCS, LINES, query
 from quern.sources import views as V
 
@@ -19,11 +19,49 @@ def websearch_match(spark, sf):
     return V.chunks(spark, sf).where(websearch.matches(T.simple_tokens(F.col("chunk_text")), SEARCH)).select("document_id", "pos")
 
 
-@query()
+#: A search for each benchmark item: two of its words, or two others side by side; one is left out.
+_SEARCHES = "s AS (SELECT item_id AS question_id, string_split(text, ' ') AS w FROM benchmark), searches AS (SELECT question_id, w[2] || ' ' || w[3] || ' ' || w[2] || ' OR \"' || w[5] || ' ' || w[6] || '\" -' || w[7] AS query FROM s)"
+_RUN = r"""bits AS (SELECT question_id, unnest(range(len(regexp_extract_all(query, '"[^"]*"|[^\s"]+')))) AS ix, unnest(regexp_extract_all(query, '"[^"]*"|[^\s"]+')) AS item FROM searches),
+alts AS (SELECT *, sum(CASE WHEN lower(item) = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY ix) AS alt FROM bits), keep AS (SELECT * FROM alts WHERE lower(item) <> 'or' AND NOT starts_with(item, '-')),
+phr AS (SELECT question_id, alt, regexp_extract_all(lower(item), '[0-9a-z]+') AS ws, starts_with(item, '"') AS side FROM keep), need AS (SELECT question_id, alt, w, count(*) AS times FROM (SELECT question_id, alt, unnest(ws) AS w FROM phr) GROUP BY ALL),
+tot AS (SELECT question_id, alt, sum(times) AS n_words, count(*) AS n_distinct, list({'w': w, 'm': times}) AS req FROM need GROUP BY ALL), beside AS (SELECT question_id, alt, list(' ' || array_to_string(ws, ' ') || ' ') FILTER (WHERE side AND len(ws) > 1) AS ps FROM phr GROUP BY ALL),
+toks AS (SELECT document_id, pos, regexp_extract_all(lower(chunk_text), '[0-9a-z]+') AS t FROM chunks), ex AS (SELECT document_id, pos, unnest(t) AS w, unnest(range(len(t))) AS ix FROM toks),
+pl AS (SELECT document_id, pos, w, list_sort(list(ix)) AS places FROM ex WHERE w IN (SELECT w FROM need) GROUP BY ALL), hit AS (SELECT p.*, n.question_id, n.alt, n.times FROM pl p JOIN need n ON n.w = p.w AND len(p.places) >= n.times),
+wa AS (SELECT document_id, pos, question_id, alt, count(*) AS n, list({'m': times, 'p': places}) AS hits, list_distinct(flatten(list(places))) AS starts FROM hit GROUP BY document_id, pos, question_id, alt),
+wl AS (SELECT wa.* FROM wa JOIN tot t ON t.question_id = wa.question_id AND t.alt = wa.alt AND t.n_distinct = wa.n),
+good AS (SELECT f.*, t.n_words FROM wl f JOIN tot t ON t.question_id = f.question_id AND t.alt = f.alt JOIN beside b ON b.question_id = f.question_id AND b.alt = f.alt JOIN toks k ON k.document_id = f.document_id AND k.pos = f.pos WHERE b.ps IS NULL OR len(list_filter(b.ps, lambda x: NOT contains(' ' || array_to_string(k.t, ' ') || ' ', x))) = 0),
+sc AS (SELECT question_id, document_id, pos, n_words / list_min(list_transform(starts, lambda s: list_max(list_transform(hits, lambda h: coalesce(list_filter(h.p, lambda p: p >= s)[h.m], 1073741824))) - s + 1)) AS score FROM good),
+kr AS (SELECT question_id, document_id, pos, max(score) AS score FROM sc GROUP BY ALL)"""
+
+
+def _searches(spark, sf):
+    w = F.split("text", " ")
+    query = F.concat(w[1], F.lit(" "), w[2], F.lit(" "), w[1], F.lit(' OR "'), w[4], F.lit(" "), w[5], F.lit('" -'), w[6])
+    return V.table(spark, sf, "benchmark").where(F.size(w) >= 7).select(F.col("item_id").alias("question_id"), query.alias("query"))
+
+
+def _keyword_scores(spark, sf):
+    words = V.chunks(spark, sf).select("document_id", "pos", T.simple_tokens(F.col("chunk_text")).alias("tokens"))
+    return websearch.ranked(_searches(spark, sf), words, ["document_id", "pos"])
+
+
+@query(f"WITH {CHUNKS}, {_SEARCHES}, {_RUN} SELECT question_id, document_id, pos, round(score, 6) AS score FROM kr")
 def keyword_rank(spark, sf):
-    """Every chunk that matches, ranked by its smallest window; the native match runs first, so few rows reach Python."""
-    words = V.chunks(spark, sf).select("document_id", "pos", T.simple_tokens(F.col("chunk_text")).alias("t")).where(websearch.matches(F.col("t"), SEARCH))
-    return words.select("document_id", "pos", websearch.rank(SEARCH)("t").alias("score"))
+    """Every chunk that matches a search, ranked by the shortest run of its words that has all that is asked for."""
+    return _keyword_scores(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {CHUNKS}, {_SEARCHES}, {_RUN}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id, pos) AS rank FROM kr) SELECT question_id, document_id, pos, rank FROM r WHERE rank <= 20")
+def topk_keyword(spark, sf):
+    """The twenty best chunks of each search."""
+    return fusion.top(_keyword_scores(spark, sf), 20, [F.desc("score"), F.col("document_id"), F.col("pos")], ["question_id"]).select("question_id", "document_id", "pos", "rank")
+
+
+@query(f"WITH {CHUNKS}, {DOCS}, {_SEARCHES}, {_RUN}, o AS (SELECT k.*, d.workspace_id FROM kr k JOIN docs d ON d.document_id = k.document_id WHERE d.processing_status = 'READY'), r AS (SELECT *, row_number() OVER (PARTITION BY question_id, workspace_id ORDER BY score DESC, document_id, pos) AS rank FROM o) SELECT question_id, workspace_id, document_id, pos, rank FROM r WHERE rank <= 20")
+def topk_keyword_scoped(spark, sf):
+    """The same for each workspace by itself, of READY documents only: the scope applies before the limit."""
+    ready = V.documents(spark, sf).where("processing_status = 'READY'").select("document_id", "workspace_id")
+    return fusion.top(_keyword_scores(spark, sf).join(ready, "document_id"), 20, [F.desc("score"), F.col("document_id"), F.col("pos")], ["question_id", "workspace_id"]).select("question_id", "workspace_id", "document_id", "pos", "rank")
 
 
 @query(f"""WITH {CHUNKS}, b AS (SELECT c.document_id, c.pos, c.chunk_text, c.token_count FROM tokens c), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY token_count DESC, pos) AS rn FROM b)

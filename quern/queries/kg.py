@@ -242,7 +242,7 @@ def contradictions_in_scope(spark, sf):
 
 # questions to the graph: one a workspace
 
-_QUES = "ques AS (SELECT CAST(n_nationkey AS BIGINT) AS question_id, 'w' || n_nationkey AS workspace_id, CASE n_nationkey % 5 WHEN 0 THEN 'What did Vela  Corp sign with Stone Inc?' WHEN 1 THEN 'Compare these two' WHEN 2 THEN 'Which documents speak of storage' WHEN 3 THEN 'When does it expire?' ELSE 'ADA LOVELACE owns which policy' END AS question, CASE n_nationkey % 5 WHEN 1 THEN 'comparison' WHEN 2 THEN 'cross-document' ELSE 'fact' END AS kind FROM nation)"
+_QUES = """ques AS (SELECT CAST(n_nationkey AS BIGINT) AS question_id, 'w' || n_nationkey AS workspace_id, CASE n_nationkey % 5 WHEN 0 THEN 'What did "Vela Corp" sign with Stone Inc on 2001-06-30?' WHEN 1 THEN 'Compare these two' WHEN 2 THEN 'Which documents speak of storage' WHEN 3 THEN CASE WHEN n_nationkey % 10 = 3 THEN 'Please summarise the terms' ELSE 'When does it expire?' END ELSE 'ADA LOVELACE owns which policy' END AS question, CASE WHEN n_nationkey % 5 = 1 THEN 'comparison' WHEN n_nationkey % 5 = 2 THEN 'cross-document' WHEN n_nationkey % 10 = 3 THEN 'summary' ELSE 'fact' END AS kind FROM nation)"""
 _GR = rf"""{_KG}, {_QUES}, resolved AS (SELECT q.question_id, l.document_id FROM ques q JOIN live l ON l.workspace_id = q.workspace_id WHERE l.processing_status = 'READY'),
 es AS (SELECT q.question_id, n.workspace_id, n.node_id FROM ques q JOIN nodes n ON n.workspace_id = q.workspace_id AND n.normalized_name <> '' AND contains(regexp_replace(lower(trim(q.question)), '\s+', ' ', 'g'), n.normalized_name)),
 sd AS (SELECT * FROM es UNION SELECT q.question_id, q.workspace_id, sha256('Document|' || r.document_id) FROM ques q JOIN resolved r USING (question_id) WHERE q.kind IN ('comparison', 'cross-document') OR q.question_id NOT IN (SELECT question_id FROM es)),
@@ -256,7 +256,7 @@ met AS (SELECT DISTINCT question_id, rel_type, start_id, end_id FROM (SELECT * F
 
 def graph_questions(spark, sf):
     n = F.col("n_nationkey")
-    text = F.when(n % 5 == 0, "What did Vela  Corp sign with Stone Inc?").when(n % 5 == 1, "Compare these two").when(n % 5 == 2, "Which documents speak of storage").when(n % 5 == 3, "When does it expire?").otherwise("ADA LOVELACE owns which policy")
+    text = F.when(n % 5 == 0, 'What did "Vela Corp" sign with Stone Inc on 2001-06-30?').when(n % 5 == 1, "Compare these two").when(n % 5 == 2, "Which documents speak of storage").when(n % 10 == 3, "Please summarise the terms").when(n % 5 == 3, "When does it expire?").otherwise("ADA LOVELACE owns which policy")
     q = V.table(spark, sf, "nation").select(n.cast("long").alias("question_id"), F.concat(F.lit("w"), n.cast("string")).alias("workspace_id"), text.alias("question"))
     return q.withColumn("kind", R.question_kind(F.col("question")))
 

@@ -24,13 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, pos, chunk_text, token_count: a sentence is a chunk."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.sentences(F.col("text")).alias("s"))
-    return docs.select("document_id", F.posexplode("s").alias("pos", "chunk_text")).withColumn("token_count", T.count_tokens(F.col("chunk_text")))
+    # outer: an inner one would split every text twice, to find out whether there is a part
+    return docs.select("document_id", F.posexplode_outer("s").alias("pos", "chunk_text")).where("chunk_text is not null").withColumn("token_count", T.count_tokens(F.col("chunk_text")))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, pos, page_number, line."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.lines(F.col("text")).alias("l"))
-    return docs.select("document_id", F.posexplode("l").alias("pos", "line")).withColumn("page_number", (F.floor(F.col("pos") / 40) + 1).cast("int"))
+    return docs.select("document_id", F.posexplode_outer("l").alias("pos", "line")).where("line is not null").withColumn("page_number", (F.floor(F.col("pos") / 40) + 1).cast("int"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
