@@ -52,8 +52,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay."""
-    rows = keyed(docs)
+    """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay; only those that may hold a span are scanned and joined."""
+    suspect = F.coalesce(F.col("text").cast("string").rlike(secrets.SUSPECT), F.lit(False))
+    rows = keyed(docs.where(suspect))
     numbered = rows.select(F.col("_row").alias("doc_id"), "text", *(c for c in ("source",) if c in docs.columns))
     spans = secrets.scan(numbered).where("size(spans) > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("spans").alias("_spans"))
     held = rows.join(spans, "_row", "left")
@@ -62,7 +63,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     text = F.when(F.col("_spans").isNotNull(), ends).otherwise(F.col("text"))
     out = held.withColumn("_new", text)
     columns = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(columns)
+    return out.select(columns).unionByName(docs.where(~suspect))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
