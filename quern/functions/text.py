@@ -151,16 +151,13 @@ def text_support(claim: Column, passage: Column, least: float = 0.25) -> Column:
 
 
 def pieces(text: Column, width: int = 200) -> Column:
-    """Pieces of `width` characters at most, cut after the last space."""
-    step = lambda acc, _: F.when(F.length(acc["rest"]) == 0, acc).otherwise(_cut(acc, width))
-    start = F.struct(F.array().cast("array<string>").alias("out"), text.alias("rest"))
-    rounds = F.sequence(F.lit(0), F.length(text).cast("int"), F.lit(max(1, width // 2)))
-    return F.aggregate(rounds, start, step, lambda acc: F.when(F.length(acc["rest"]) > 0, F.concat(acc["out"], F.array(acc["rest"]))).otherwise(acc["out"]))
-
-
-def _cut(acc: Column, width: int) -> Column:
-    rest = acc["rest"]
-    head = F.substring(rest, 1, width)
-    space = F.length(head) - F.coalesce(F.nullif(F.locate(" ", F.reverse(head)), F.lit(0)), F.lit(1)) + 1
-    n = F.when(F.length(rest) <= width, F.length(rest)).otherwise(F.greatest(space, F.lit(1)))
-    return F.struct(F.concat(acc["out"], F.array(rest.substr(F.lit(1), n))).alias("out"), rest.substr(n + 1, F.length(rest)).alias("rest"))
+    """Pieces of `width` characters at most, cut after the last space: each round finds where the next piece begins, and no text is copied but the pieces."""
+    head = lambda at: F.substr(text, at, F.lit(width))
+    # of a full head: its length up to the last space, all of it where there is none
+    size = lambda at: F.when(F.length(text) - at + 1 <= width, F.length(text) - at + 1).otherwise(width + 1 - F.coalesce(F.nullif(F.locate(" ", F.reverse(head(at))), F.lit(0)), F.lit(1)))
+    starts = F.struct(F.array(F.lit(1)).alias("at"), F.lit(1).alias("next"))
+    # two pieces in a row have more than `width` characters
+    rounds = F.sequence(F.lit(0), F.length(text) + width, F.lit(max(1, width // 2)))
+    step = lambda a, _: F.when(a["next"] > F.length(text), a).otherwise(F.struct(F.array_append(a["at"], a["next"] + size(a["next"])).alias("at"), (a["next"] + size(a["next"])).alias("next")))
+    cuts = F.aggregate(rounds, starts, step, lambda a: a["at"])
+    return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda at, i: F.substr(text, at, F.element_at(cuts, i + 2) - at))

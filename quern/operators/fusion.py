@@ -23,10 +23,18 @@ def rrf(channels: DataFrame, key: list[str], k: int = 60) -> DataFrame:
 
 
 def diverse(scored: DataFrame, section: str, ident: str, budget: int) -> DataFrame:
-    """The first chunk of each section first, then the others; chunks without a section are never deferred."""
-    within = F.row_number().over(Window.partitionBy(section).orderBy(F.desc("score"), ident))
-    ranked = scored.withColumn("deferred", (within > 1) & F.col(section).isNotNull())
-    return ranked.orderBy("deferred", F.desc("score"), ident).limit(budget).drop("deferred")
+    """The first chunk of each section first, then the others; chunks without a section are never deferred.
+
+    Each section's first is a partial maximum. Where the firsts don't fill the budget, they are fewer than it, so whatever
+    else is taken is among the best 2 * budget of all.
+    """
+    by, rest = [F.desc("score"), F.col(ident)], [c for c in scored.columns if c not in ("score", ident)]
+    best = F.min(F.struct((-F.col("score")).alias("_score"), ident, *rest)).alias("_best")
+    firsts = scored.where(F.col(section).isNotNull()).groupBy(F.col(section).alias("_section")).agg(best).select(F.expr("-_best._score").alias("score"), *(F.col(f"_best.{c}").alias(c) for c in (ident, *rest))).select(scored.columns)
+    free = scored.where(F.col(section).isNull())
+    others = scored.where(F.col(section).isNotNull()).orderBy(*by).limit(2 * budget).join(firsts.select(ident), ident, "left_anti").select(scored.columns)
+    parts = [x.orderBy(*by).limit(budget).withColumn("deferred", F.lit(late)) for x, late in ((firsts, False), (free, False), (others, True))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("deferred", *by).limit(budget).drop("deferred")
 
 
 def quota(scored: DataFrame, ident: str, budget: int, share: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.operators import writes
 from quern.registry import DOCS, query
 from quern.sources import files
 from quern.sources import views as V
@@ -31,7 +32,7 @@ def module_counts(spark, sf):
     """Documents of every module of every workspace, empty ones too: workspaces and modules are few rows."""
     d = V.table(spark, sf, "documents").select(F.col("source").alias("workspace_id"), F.col("lang").alias("group_id"))
     n = d.groupBy("workspace_id", "group_id").agg(F.count(F.lit(1)).alias("n"))
-    modules = d.select("workspace_id").distinct().join(F.broadcast(d.agg(F.sort_array(F.collect_set("group_id")).alias("g")))).select("workspace_id", F.explode("g").alias("group_id"))
+    modules = d.select("workspace_id").distinct().crossJoin(d.select("group_id").distinct())  # a row for each pair is what is asked for
     return modules.join(n, ["workspace_id", "group_id"], "left").select("workspace_id", "group_id", F.coalesce("n", F.lit(0)).alias("files_count"))
 
 
@@ -101,12 +102,11 @@ def top_level_folder(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/]+/([^/?#]+)/", 1).alias("folder"), F.lower(F.regexp_extract(F.regexp_extract("url", "^https?://[^?#]+", 0), r"\.([^./]+)$", 1)).alias("extension"))
 
 
-@query("WITH n AS (SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT item_id, 1, 0 FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY toxic DESC, quality) AS rn FROM n) SELECT doc_id, quality, toxic FROM r WHERE rn = 1")
+@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT DISTINCT item_id, 1, 0 FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)")
 def seed_insert_on_conflict(spark, sf):
-    """New rows join old ones; where both have a key, the order decides and one stays."""
-    new = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    both = V.table(spark, sf, "labels").select("doc_id", "quality", "toxic").unionByName(new)
-    return both.groupBy("doc_id").agg(F.min(F.struct((-F.col("toxic")).alias("t"), "quality")).alias("r")).select("doc_id", F.col("r.quality").alias("quality"), (-F.col("r.t")).alias("toxic"))
+    """New rows join the old ones; where a key is there, its row stays as it is."""
+    new = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).distinct()
+    return writes.insert_missing(V.table(spark, sf, "labels").select("doc_id", "quality", "toxic"), new, ["doc_id"])
 
 
 @query("SELECT d.doc_id, CASE WHEN b.item_id IS NULL THEN md5(d.text) ELSE md5(b.text) END AS digest FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
@@ -114,7 +114,7 @@ def replace_by_document(spark, sf):
     """Documents replaced by new versions of the same number: anti-join and union."""
     new = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.md5("text").alias("digest"))
     docs = V.table(spark, sf, "documents")
-    return docs.join(F.broadcast(new.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.md5("text").alias("digest")).unionByName(new.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    return docs.join(new.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.md5("text").alias("digest")).unionByName(new.join(docs.select("doc_id"), "doc_id", "left_semi"))
 
 
 @query("SELECT conv_id, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY conv_id")

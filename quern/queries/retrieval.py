@@ -47,17 +47,15 @@ def select_quota(spark, sf):
     return fusion.quota(scored, "vec_id", 8, 0.6).select("vec_id", "document_id", "rn")
 
 
-@query(f"""WITH {_Q}, d AS (SELECT e.vec_id, e.label, {_COS} AS distance FROM embeddings e, q),
-v AS (SELECT label, 'vector' AS channel, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM d), k AS (SELECT label, 'keyword' AS channel, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM d),
-b AS (SELECT label, channel, min(rank) AS rank FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY ALL) SELECT label, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, 'vector,keyword' AS provenance FROM b GROUP BY label""")
+@query(f"""WITH {_Q}, d AS (SELECT e.vec_id, {_COS} AS distance FROM embeddings e, q),
+v AS (SELECT vec_id, 'vector' AS channel, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 20), k AS (SELECT vec_id, 'keyword' AS channel, row_number() OVER (ORDER BY vec_id) AS rank FROM d WHERE distance < 1 QUALIFY rank <= 20),
+b AS (SELECT vec_id, channel, min(rank) AS rank FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY ALL) SELECT vec_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, string_agg(channel, ',' ORDER BY channel DESC) AS provenance FROM b GROUP BY vec_id""")
 def rrf_merge(spark, sf):
-    """Two rankings of chunks, fused by document."""
+    """Two rankings of chunks, twenty of each, fused."""
     d = _distances(spark, sf)
-    best = d.groupBy("label").agg(F.min(F.struct("distance", "vec_id")).alias("v"), F.max("vec_id").alias("k"))
-    # a document's best rank in a channel is how many chunks come before its best one
-    v = d.select("distance", "vec_id").join(F.broadcast(best.select("label", "v")), F.struct("distance", "vec_id") <= F.col("v")).groupBy("label").agg(F.count(F.lit(1)).alias("rank")).withColumn("channel", F.lit("vector"))
-    k = d.select("vec_id").join(F.broadcast(best.select("label", "k")), F.col("vec_id") >= F.col("k")).groupBy("label").agg(F.count(F.lit(1)).alias("rank")).withColumn("channel", F.lit("keyword"))
-    return fusion.rrf(v.unionByName(k), ["label"]).withColumn("rrf_score", F.round("rrf_score", 9))
+    lists = {"vector": fusion.top(d.select("vec_id", "distance"), 20, [F.col("distance"), F.col("vec_id")]), "keyword": fusion.top(d.where("distance < 1").select("vec_id", "distance"), 20, [F.col("vec_id")])}
+    both = [x.select("vec_id", "rank", F.lit(name).alias("channel")) for name, x in lists.items()]
+    return fusion.rrf(both[0].unionByName(both[1]), ["vec_id"]).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 _ONE = "one AS (SELECT text AS question, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')) AS qt FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))"

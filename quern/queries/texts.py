@@ -55,7 +55,10 @@ def scanned_pages(spark, sf):
     return layout.pages(V.lines(spark, sf)).select("document_id", "page_number", (F.length(F.trim("raw_text")) < 80).alias("scanned"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, items AS (SELECT document_id AS g, pos + 1 AS k, chunk_text, token_count AS n FROM tokens), walk AS (SELECT g, k, n AS size, 0 AS chunk FROM items WHERE k = 1 UNION ALL SELECT i.g, i.k, CASE WHEN w.size + i.n > 500 THEN i.n ELSE w.size + i.n END, CASE WHEN w.size + i.n > 500 THEN w.chunk + 1 ELSE w.chunk END FROM walk w JOIN items i ON i.g = w.g AND i.k = w.k + 1)
+SELECT w.g AS document_id, w.chunk, string_agg(i.chunk_text, ' ' ORDER BY i.k) AS text, sum(i.n)::BIGINT AS token_count FROM walk w JOIN items i ON i.g = w.g AND i.k = w.k GROUP BY ALL"""
+)
 def pack_chunks(spark, sf):
     """Greedy packing of sentences into chunks of 500 tokens at most; a single longer one stays whole."""
     return layout.packed(V.chunks(spark, sf), 500)
@@ -131,7 +134,10 @@ def noise_lines(spark, sf):
     return V.lines(spark, sf).groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.is_noise(line)).alias("n_noise"))
 
 
-@query()
+_CUT = "CASE WHEN length(rest) <= 200 THEN length(rest) WHEN contains(substr(rest, 1, 200), ' ') THEN 201 - instr(reverse(substr(rest, 1, 200)), ' ') ELSE 200 END"
+
+
+@query(f"WITH RECURSIVE cut AS (SELECT conv_id, turn, -1 AS pos, '' AS piece, text AS rest FROM conversations UNION ALL SELECT conv_id, turn, pos + 1, substr(rest, 1, {_CUT}), substr(rest, {_CUT} + 1) FROM cut WHERE length(rest) > 0) SELECT conv_id, turn, pos, piece FROM cut WHERE pos >= 0")
 def token_chunking(spark, sf):
     """Answer text in pieces of 200 characters at most, cut after a space, numbered."""
     return V.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(T.pieces(F.col("text"))).alias("pos", "piece"))
