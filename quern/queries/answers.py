@@ -81,15 +81,14 @@ def rules_answer(spark, sf):
     return V.chunks(spark, sf).where(F.length("chunk_text") > 10).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("document_id", "pos", F.col("chunk_text").alias("claim"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, 'citation' AS type, role AS payload, 1 AS o FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'token', substr(text, 1, 200), 0 FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 'done', '', 2 FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, CAST(o AS INTEGER) AS ordinal, type, payload FROM p""")
-def answer_events(spark, sf):
-    """An answer replayed as event rows: text, citation, end."""
-    events = F.array(F.struct(F.lit("token").alias("type"), F.substring("text", 1, 200).alias("payload")), F.struct(F.lit("citation").alias("type"), F.col("role").alias("payload")), F.struct(F.lit("done").alias("type"), F.lit("").alias("payload")))
-    return V.table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(events).alias("ordinal", "e")).select("conv_id", "turn", "ordinal", "e.type", "e.payload")
+_CUT = "CASE WHEN length(rest) <= 200 THEN length(rest) WHEN contains(substr(rest, 1, 200), ' ') THEN 201 - instr(reverse(substr(rest, 1, 200)), ' ') ELSE 200 END"
+_REPLAY = f"""WITH RECURSIVE a AS (SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '\\S') THEN text ELSE '' END AS t FROM conversations WHERE role = 'assistant'),
+cut AS (SELECT conv_id, turn, -1 AS pos, '' AS piece, t AS rest FROM a UNION ALL SELECT conv_id, turn, pos + 1, substr(rest, 1, {_CUT}), substr(rest, {_CUT} + 1) FROM cut WHERE length(rest) > 0),
+n AS (SELECT conv_id, turn, CAST(max(pos) + 1 AS INTEGER) AS n FROM cut GROUP BY ALL)
+SELECT conv_id, turn, pos AS ordinal, 'token' AS type, piece AS payload FROM cut WHERE pos >= 0 UNION ALL SELECT a.conv_id, a.turn, n.n, 'citation', a.role FROM a JOIN n ON n.conv_id = a.conv_id AND n.turn = a.turn UNION ALL SELECT conv_id, turn, n + 1, 'done', '' FROM n"""
 
 
-@query()
+@query(_REPLAY)
 def answer_replay(spark, sf):
     """A whole answer replayed as event rows: its text in pieces as token events (none if it is blank), then citation and end."""
     text = F.coalesce("text", F.lit(""))
@@ -99,6 +98,12 @@ def answer_replay(spark, sf):
     return V.table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(events).alias("ordinal", "e")).select("conv_id", "turn", "ordinal", "e.type", "e.payload")
 
 
+@query(_REPLAY)
+def answer_events(spark, sf):
+    """The events of an answer: all of its text, citation, end."""
+    return answer_replay(spark, sf)
+
+
 @query(f"""WITH {DOCS}, q AS (SELECT DISTINCT conv_id % 20 AS k FROM conversations), e AS (SELECT workspace_id, count(*) FILTER (WHERE processing_status = 'READY') AS ready FROM docs GROUP BY 1) SELECT 'src' || k AS workspace_id, coalesce(ready, 0) AS n_chunks, coalesce(ready, 0) = 0 AS empty FROM q LEFT JOIN e ON e.workspace_id = 'src' || k""")
 def empty_scope_package(spark, sf):
     """Sessions' workspaces with their evidence; an empty scope gives an empty package, not an error."""
