@@ -33,7 +33,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 or more characters
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: What every span has in it: a text without it has none, of any kind.
-SUSPECT = r"[A-Za-z0-9+/_-]{20,}|[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+SUSPECT = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}|[pPsStTaA](?:(?<=[pP])[aA][sS][sS][wW]|(?<=[sS])[eE][cC][rR][eE][tT]|(?<=[tT])[oO][kK][eE][nN]|(?<=[aA])[pP][iI]_?[kK][eE][yY])"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("token", TOKEN, 0, 20))
 ORDER = {name: k for k, (name, *_) in enumerate(KINDS)}
 

@@ -298,6 +298,8 @@ def test_secrets(docs, spark):
         want.append((r.doc_id, *map(len, found), hashlib.sha256(base.encode()).hexdigest()))
     out = secrets.digests(both)
     same([tuple(r) for r in out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()], want)
+    suspect = {r.doc_id for r in both.where(F.col("text").rlike(secrets.SUSPECT)).collect()}
+    assert {r.doc_id for r in secrets.scan(both, shared=99, copied=10**9).collect() if r.spans} <= suspect
     spans = {r.doc_id: r.spans for r in out.collect()}
     assert spans[101] == "" and spans[106].startswith("assign:")  # three owners: an example
     two = secrets.digests(both.where("doc_id in (101, 102)")).collect()
