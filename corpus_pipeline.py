@@ -54,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan keeps is replaced; n_chars is counted anew in the changed texts. All documents stay; only those that may hold a span are scanned and joined."""
     suspect = F.coalesce(F.col("text").cast("string").rlike(secrets.SUSPECT), F.lit(False))
-    rows = keyed(docs.where(suspect))
+    rows = keyed(written(docs.where(suspect), "suspects"))
     numbered = rows.select(F.col("_row").alias("doc_id"), "text", *(c for c in ("source",) if c in docs.columns))
     spans = secrets.scan(numbered).where("size(spans) > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.max("spans").alias("_spans"))
     held = rows.join(spans, "_row", "left")
