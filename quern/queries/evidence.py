@@ -131,10 +131,11 @@ def package(spark, sf):
     return E.package(kept(spark, sf), questions(spark, sf), facts, excluded)
 
 
-@query(f"WITH {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE}, {_PICK} SELECT question_id, count(*) AS n_outside FROM kept k LEFT JOIN resolved r USING (question_id, document_id) WHERE r.document_id IS NULL GROUP BY 1")
+@query(f"WITH {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE}, {_PICK} SELECT k.question_id, count(*) AS n_chunks, count(*) FILTER (WHERE r.document_id IS NULL) AS n_outside FROM kept k LEFT JOIN resolved r ON r.question_id = k.question_id AND r.document_id = k.document_id GROUP BY 1")
 def isolation_check(spark, sf):
-    """Chunks of a package from outside its question's scope: none, whatever the data."""
-    return kept(spark, sf).join(G.graph_scope(spark, sf), ["question_id", "document_id"], "left_anti").groupBy("question_id").agg(F.count(F.lit(1)).alias("n_outside"))
+    """Chunks of each package, and how many are from outside its question's scope (none, whatever the data)."""
+    scope = G.graph_scope(spark, sf).withColumn("inside", F.lit(True))
+    return kept(spark, sf).join(scope, ["question_id", "document_id"], "left").groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("inside").isNull()).alias("n_outside"))
 
 
 @query(f"WITH {DOCS}, {RQ._Q}, d AS (SELECT e.vec_id, d.workspace_id, d.document_id, {RQ._COS} AS distance FROM embeddings e JOIN docs d ON d.document_id = e.label CROSS JOIN q WHERE d.processing_status = 'READY'), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY distance, vec_id) AS rank FROM d) SELECT workspace_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 20")
