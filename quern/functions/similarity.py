@@ -43,7 +43,7 @@ def squared_norm(slots: Column) -> Column:
     """The sum of the squared counts of a list of slots, in one pass over the sorted list."""
     start = F.struct(F.lit(-1).cast("long").alias("slot"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
     step = lambda a, x: F.when(a["slot"] == x, F.struct(a["slot"].alias("slot"), (a["run"] + 1).alias("run"), (a["sum"] + 2 * a["run"] + 1).alias("sum"))).otherwise(F.struct(x.alias("slot"), F.lit(1.0).alias("run"), (a["sum"] + 1).alias("sum")))
-    return F.aggregate(F.array_sort(slots), start, step, lambda a: a["sum"])
+    return F.aggregate(F.sort_array(slots), start, step, lambda a: a["sum"])
 
 
 def bag_cosine(slots: Column, weights: Column, norm: Column) -> Column:

@@ -21,9 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their scan has fewer partitions than there are: a file of one row group is one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, pos, chunk_text, token_count: a sentence is a chunk."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.sentences(F.col("text")).alias("s"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document_id"), T.sentences(F.col("text")).alias("s"))
     # outer: an inner one would split every text twice, to find out whether there is a part
     return docs.select("document_id", F.posexplode_outer("s").alias("pos", "chunk_text")).where("chunk_text is not null").withColumn("token_count", T.count_tokens(F.col("chunk_text")))
 
