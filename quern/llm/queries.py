@@ -78,6 +78,12 @@ def op10_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import simhash
+
+    return simhash.linked(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
