@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import sql
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,6 +86,12 @@ def op11_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(documents(spark, sf_dir))
 
 
+def op12_kdtree_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import kdtree
+
+    return kdtree.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_kdtree_filtering": sql.clusters()}
