@@ -92,6 +92,12 @@ def op12_kdtree_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_radix_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import divergence
+
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_kdtree_filtering": sql.clusters()}
+    return {"op12_kdtree_filtering": sql.clusters(), "op13_radix_divergence": sql.DIVERGENCE}
