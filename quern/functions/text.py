@@ -25,9 +25,10 @@ TYPES = [
 STOPWORDS = ["a", "an", "the", "in", "on", "of", "for", "to", "and", "or", "is", "are", "was", "were", "be", "been", "by", "that", "this", "it", "as", "at", "with"]
 WORDS_AND_MARKS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 TOKEN = "[0-9a-z]+"
+BARE_WORD = r"(?<![\p{L}\p{N}_])[0-9a-z]+(?![\p{L}\p{N}_])"
 HEADING_NUMBER = r"^(\d+(?:\.\d+)*)[.)]?\s+\S"
 HYPHENATED = r"\b[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b"
-AMOUNT = r"(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)"
+AMOUNT = r"(?i)(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)"
 ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
 
 
@@ -141,13 +142,25 @@ def title_case_share(line: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) / F.size(words)).otherwise(0.0)
 
 
-def text_support(claim: Column, passage: Column, least: float = 0.25) -> Column:
-    """Whether a passage supports a claim: as a substring, or by the share of its significant words."""
-    c, p = F.lower(claim), F.lower(passage)
-    words = F.filter(extract_all(c, TOKEN), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2))
-    held = F.filter(words, lambda w: F.array_contains(extract_all(p, TOKEN), w))
-    trimmed = F.trim(c)
-    return (trimmed != "") & (F.trim(p) != "") & (p.contains(trimmed) | ((F.size(words) > 0) & (F.size(held) >= least * F.size(words))))
+def bare_words(text: Column) -> Column:
+    """Runs of a-z and digits that no other letter, digit or underscore touches."""
+    return extract_all(F.lower(text), BARE_WORD)
+
+
+def claim_words(claim: Column) -> Column:
+    """The significant words of a claim."""
+    return F.filter(bare_words(claim), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2))
+
+
+def text_support(claim: Column, words: Column, passage: Column, tokens: Column, least: float = 0.25) -> Column:
+    """Whether a passage supports a claim: as a substring, or by the share of its significant words.
+
+    words are claim_words of the claim, tokens bare_words of the passage: columns of their own, below the join that brings
+    the two together, or they would be taken anew for each pair.
+    """
+    c, p = F.trim(F.lower(claim)), F.lower(passage)
+    held = F.filter(words, lambda w: F.array_contains(tokens, w))
+    return (c != "") & (F.trim(p) != "") & (p.contains(c) | ((F.size(words) > 0) & (F.size(held) >= least * F.size(words))))
 
 
 def pieces(text: Column, width: int = 200) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.kg import inside
 
 TAG = r"(?i)\[chunk:(\d+)\]"
 NOTHING_FOUND = "no supporting evidence found"
@@ -23,22 +24,36 @@ def draft_claims(text: Column) -> Column:
     return F.when((F.trim(text) != "") & ~F.lower(text).contains(NOTHING_FOUND) & (F.size(kept) > 0), kept)
 
 
+def ruled_out(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """question_id, pos of the claims that a contradiction of their question rules out: those that have both values, or the label and one of them.
+
+    Such a claim has one of the values; the values of all contradictions are looked up in the claims by their rarest gram.
+    """
+    lower = conflicts.select("question_id", *(F.lower(c).alias(c) for c in ("label", "left_value", "right_value"))).distinct()
+    sides = lower.select("question_id", "label", F.inline(F.array(F.struct(F.col("left_value").alias("value"), F.col("right_value").alias("other")), F.struct(F.col("right_value").alias("value"), F.col("left_value").alias("other")))))
+    values = sides.select(F.struct("question_id", "value").alias("short_id"), "question_id", F.col("value").alias("text")).distinct()
+    said = claims.select(F.struct("question_id", "pos").alias("long_id"), "question_id", F.lower("claim").alias("text"))
+    met = inside(values, said, "question_id").select("short_id.question_id", "short_id.value", "long_id.pos")
+    c = met.join(sides, ["question_id", "value"]).join(claims.select("question_id", "pos", F.lower("claim").alias("low")), ["question_id", "pos"])
+    return c.where(F.col("low").contains(F.col("label")) | F.col("low").contains(F.col("other"))).select("question_id", "pos").distinct()
+
+
 def verify(claims: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
     """claims(question_id, pos, claim, cited) with cited, supported_by_text, supported_by_graph, is_supported.
 
     evidence(question_id, chunk_id, place, text): a claim that cites one of its question's chunks is held against that one,
-    any other against all of them, and takes the first that supports it. conflicts(question_id, label, left_value, right_value):
-    a claim that has both values, or the label and one of them, isn't supported by the graph.
+    any other against all of them, and takes the first that supports it. conflicts(question_id, label, left_value, right_value)
+    are the graph's contradictions, see ruled_out.
     """
-    e = evidence.select("question_id", "chunk_id", "place", F.col("text").alias("passage"))
-    own = e.select("question_id", F.col("chunk_id").alias("cited"), F.lit(True).alias("known"))
-    c = claims.join(own, ["question_id", "cited"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    held = c.join(e, "question_id").where(~F.col("known") | (F.col("cited") == F.col("chunk_id"))).where(T.text_support(F.col("claim"), F.col("passage")))
-    first = held.groupBy("question_id", "pos").agg(F.min_by("chunk_id", F.struct("place", "chunk_id")).alias("support"))
-    low = F.lower("claim")
-    side = lambda v: low.contains(F.lower(v))
-    against = (side("left_value") & side("right_value")) | (side("label") & (side("left_value") | side("right_value")))
-    bad = claims.join(conflicts, "question_id").where(against).select("question_id", "pos").distinct().withColumn("conflict", F.lit(True))
+    e = evidence.select("question_id", "chunk_id", "place", F.col("text").alias("passage"), T.bare_words(F.col("text")).alias("tokens"))
+    own = evidence.select("question_id", F.col("chunk_id").alias("cited"), F.lit(True).alias("known"))
+    c = claims.withColumn("words", T.claim_words(F.col("claim"))).join(own, ["question_id", "cited"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    supports = T.text_support(F.col("claim"), F.col("words"), F.col("passage"), F.col("tokens"))
+    # a citation is a join key of its own: only claims that cite nothing known meet all of the evidence
+    cited = c.where("known").join(e.withColumnRenamed("chunk_id", "cited"), ["question_id", "cited"]).where(supports).select("question_id", "pos", "place", F.col("cited").alias("chunk_id"))
+    free = c.where("NOT known").join(e, "question_id").where(supports).select("question_id", "pos", "place", "chunk_id")
+    first = cited.unionByName(free).groupBy("question_id", "pos").agg(F.min_by("chunk_id", F.struct("place", "chunk_id")).alias("support"))
+    bad = ruled_out(claims, conflicts).withColumn("conflict", F.lit(True))
     out = c.join(first, ["question_id", "pos"], "left").join(bad, ["question_id", "pos"], "left")
     text, graph = F.col("support").isNotNull(), F.col("conflict").isNull()
     return out.select("question_id", "pos", "claim", F.when(F.col("known"), F.col("cited")).otherwise(F.col("support")).alias("cited"), text.alias("supported_by_text"), graph.alias("supported_by_graph"), (text & graph).alias("is_supported"))
@@ -54,3 +69,16 @@ def answers(verified: DataFrame, top_score: DataFrame) -> DataFrame:
     share = F.col("n_supported") / F.col("n_claims") * 0.7 + F.coalesce("top", F.lit(0.5)) * 0.3
     found = F.col("n_supported") > 0
     return a.join(top_score, "question_id", "left").select("question_id", F.when(found, F.col("answer")).otherwise("").alias("answer"), "n_claims", "n_supported", F.when(found, F.least(F.lit(1.0), F.greatest(F.lit(0.1), share))).otherwise(0.0).alias("confidence"), (~found).alias("is_not_found"))
+
+
+def events(answered: DataFrame) -> DataFrame:
+    """question_id, type, ordinal, payload of answered(question_id, answer, is_not_found): the answer's text in pieces as token events, then done."""
+    event = lambda kind, payload: F.struct(F.lit(kind).alias("type"), payload.alias("payload"))
+    tokens = F.when(F.length("answer") > 0, F.transform(T.pieces(F.col("answer")), lambda p: event("token", p)))
+    done = F.array(event("done", F.col("is_not_found").cast("string")))
+    every = F.when(tokens.isNull(), done).otherwise(F.concat(tokens, done))
+    return answered.select("question_id", F.posexplode(every).alias("ordinal", "e")).select("question_id", "e.type", "ordinal", "e.payload")
+
+
+def error_event(code: str) -> list[Column]:
+    return [F.lit("error").alias("type"), F.lit(0).alias("ordinal"), F.lit(code).alias("payload")]

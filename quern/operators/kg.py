@@ -17,7 +17,7 @@ from quern.sources.stored import cut
 # Labels, relationships and patterns of the graph.
 NAMED, FACTS = ["Organization", "Person", "Topic"], ["DateFact", "Amount"]
 ORGANIZATION = r"\b([A-Z][A-Za-z0-9&'.-]*(?:\s+[A-Z][A-Za-z0-9&'.-]*)*\s+(?:Corp|Ltd|LLC|Inc)\.?)\b"
-SIGNED_BY = r"(?:[sS]igned by|[sS]ignatory|[pP]olicy owner)\s*[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+SIGNED_BY = r"(?i)(?:signed by|signatory|policy owner)\s*[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
 AMENDS = r"(?i)\bamends\s+([A-Za-z0-9][A-Za-z0-9 ._-]{2,80})"
 LABELLED_DATE = r"(?i)(expiry date|expiration date|effective date)\s*[:\s]+(\d{4}-\d{2}-\d{2})"
 DATE_FIELD, AMOUNT_FIELD = r"(?i)date|expir|effective", r"(?i)amount|price|revenue|ebitda|value"
@@ -99,31 +99,40 @@ def entity_edges(marked: DataFrame) -> DataFrame:
     return marked.select("rel_type", F.when(signed, F.col("node_id")).otherwise(F.col("doc_node")).alias("start_id"), F.when(signed, F.col("doc_node")).otherwise(F.col("node_id")).alias("end_id")).distinct()
 
 
-def grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: text.substr(i, F.lit(GRAM))))
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct substrings of so many characters; a shorter text is its own."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: text.substr(i, F.lit(size))))
 
 
 def inside(short: DataFrame, long: DataFrame, scope: str) -> DataFrame:
-    """short_id, long_id of the pairs of one scope where short's text lies inside long's. short(short_id, scope, text), long(long_id, scope, text).
+    """short_id, long_id of the pairs of one scope where short's text lies inside long's. short(short_id, scope, text), long(long_id, scope, text); ids are distinct.
 
     What lies inside has all its grams there. A short text is looked up by the one of its grams that fewest long ones have,
-    then the texts are compared. Texts shorter than a gram are looked up by every gram that begins with them.
+    then the texts are compared. Only ids and the grams that some short text has are shuffled; texts join the pairs that are
+    left. A text shorter than a gram is a gram of its own size; long texts are cut into those sizes only where there is one.
     """
-    held = long.select("long_id", scope, F.col("text").alias("long_text"), F.explode(grams(F.col("text"))).alias("gram"))
-    counts = held.groupBy(scope, "gram").agg(F.count(F.lit(1)).alias("n"))
-    tiny = short.where(F.length("text").between(1, GRAM - 1))
-    mine = short.where(F.length("text") >= GRAM).select("short_id", scope, F.col("text").alias("short_text"), F.explode(grams(F.col("text"))).alias("gram"))
-    rare = mine.join(counts, [scope, "gram"], "left").groupBy("short_id", scope, "short_text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("short_id", scope, "short_text", "r.gram")
-    pairs = rare.join(held, [scope, "gram"]).where(F.col("long_text").contains(F.col("short_text"))).select("short_id", "long_id")
-    heads = counts.select(scope, "gram", F.explode(F.array(*(F.substring("gram", i, n) for n in range(1, GRAM) for i in range(1, GRAM + 1)))).alias("text")).distinct()
-    few = tiny.join(heads, [scope, "text"]).join(held, [scope, "gram"]).select("short_id", "long_id").distinct()
-    return pairs.unionByName(few)
+    size = F.least(F.length("text"), F.lit(GRAM))
+    some = short.where(F.length("text") > 0)
+    sizes = [r[0] for r in some.select(size).distinct().collect()]  # GRAM rows at most
+    if not sizes:
+        return some.select("short_id").join(long.select("long_id"), F.lit(False))
+    mine = some.select("short_id", scope, size.alias("size"), grams(F.col("text")).alias("g")).select("short_id", scope, "size", F.size("g").alias("total"), F.explode("g").alias("gram"))
+    asked, held = mine.select(scope, "size", "gram").distinct(), None
+    for n in sizes:
+        cut_up = long.select("long_id", scope, F.lit(n).alias("size"), F.explode(grams(F.col("text"), n)).alias("gram"))
+        held = cut_up if held is None else held.unionByName(cut_up)
+    held = held.join(asked, [scope, "size", "gram"], "left_semi")
+    counts = held.groupBy(scope, "size", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = mine.join(counts, [scope, "size", "gram"]).groupBy("short_id", scope, "size", "total").agg(F.min(F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("there"))
+    near = rare.where("there = total").select("short_id", scope, "size", "r.gram").join(held, [scope, "size", "gram"]).select("short_id", "long_id")
+    both = near.join(some.select("short_id", F.col("text").alias("short_text")), "short_id").join(long.select("long_id", F.col("text").alias("long_text")), "long_id")
+    return both.where(F.col("long_text").contains(F.col("short_text"))).select("short_id", "long_id")
 
 
 def amends_edges(amending: DataFrame, docs: DataFrame) -> DataFrame:
     """AMENDS edges of amending(document_id, workspace_id, title): to the other documents of the workspace whose title, without its extension, holds the given one or lies in it."""
-    needles = amending.select("document_id", "workspace_id", normalized(F.col("title")).alias("text")).where("text <> ''").distinct()
-    stems = docs.select("document_id", "workspace_id", F.regexp_replace(normalized(F.col("title")), r"\.[^.]*$", "").alias("text"))
+    needles = cut(amending.select("document_id", "workspace_id", normalized(F.col("title")).alias("text")).where("text <> ''").distinct(), "needles")
+    stems = cut(docs.select("document_id", "workspace_id", F.regexp_replace(normalized(F.col("title")), r"\.[^.]*$", "").alias("text")), "stems")
     n = needles.select(F.struct("document_id", "text").alias("id"), "workspace_id", "text")
     s = stems.select(F.col("document_id").alias("id"), "workspace_id", "text")
     a = inside(n.withColumnRenamed("id", "short_id"), s.withColumnRenamed("id", "long_id"), "workspace_id").select(F.col("short_id.document_id").alias("a"), F.col("long_id").alias("b"))
@@ -199,6 +208,16 @@ def related(seeds: DataFrame, amends: DataFrame, hops: int = 5) -> DataFrame:
     return seen
 
 
+def contradiction_edges(found: DataFrame) -> DataFrame:
+    """CONTRADICTS edges of contradictions, from the smaller node; the expansion refuses to step over them."""
+    return found.select(F.lit("CONTRADICTS").alias("rel_type"), F.col("left_node").alias("start_id"), F.col("right_node").alias("end_id")).distinct()
+
+
+def facts_with_documents(nodes: DataFrame) -> DataFrame:
+    """doc_node, node_id, label, fact_label, value, document_id, workspace_id of the fact nodes."""
+    return nodes.where(F.col("label").isin(FACTS)).select(document_node(F.col("document_id")).alias("doc_node"), "node_id", "label", "fact_label", "value", "document_id", "workspace_id")
+
+
 def contradictions(near: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs of facts of one type and label with different values, one of them of the document that asks and the other of it or a related one; the smaller node first.
 

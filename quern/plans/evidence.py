@@ -13,44 +13,73 @@ from quern.functions import similarity as S
 from quern.functions import text as T
 from quern.functions import websearch
 from quern.operators import fusion
+from quern.operators import textindex as TI
+from quern.sources.stored import few
 
 # The funnel's sizes.
 CHANNEL_K, MERGED, RERANKED, RRF_K, BUDGET, SUMMARY_BUDGET, TOKENS, SHARE = 20, 40, 30, 60, 8, 12, 3000, 0.6
 CAP = max(1, -int(-BUDGET * SHARE // 1))
 CHANNELS = ["vector", "keyword", "graph"]
+QUESTION = ["question_id"]
+# Kinds that take documents in turns; the most documents that are fetched one by one.
+TURNS, FANOUT = ["comparison", "cross-document"], 6
 
 
-def vector_channel(questions: DataFrame, chunks: DataFrame, scope: DataFrame) -> DataFrame:
-    """question_id, chunk_id, rank: the nearest of the question's scope by the cosine of hashed bags. questions(question_id, search), chunks(chunk_id, document_id, chunk_text), scope(question_id, document_id)."""
+def vector_channel(questions: DataFrame, chunks: DataFrame, scope: DataFrame, k: int = CHANNEL_K, by: list[str] = QUESTION) -> DataFrame:
+    """by..., chunk_id, rank: the nearest of the question's scope, or of each of its documents, by the cosine of hashed bags. questions(question_id, search), chunks(chunk_id, document_id, chunk_text), scope(question_id, document_id)."""
     q = questions.select("question_id", S.hashed_slots(F.col("search")).alias("qs")).select("question_id", S.slot_counts(F.col("qs")).alias("weights"), S.squared_norm(F.col("qs")).alias("norm"))
     bags = chunks.select("chunk_id", "document_id", S.hashed_slots(F.col("chunk_text")).alias("cs"))
-    scored = bags.join(scope, "document_id").join(q, "question_id").select("question_id", "chunk_id", F.round(S.bag_cosine(F.col("cs"), F.col("weights"), F.col("norm")), 9).alias("score"))
-    return fusion.top(scored, CHANNEL_K, [F.desc("score"), F.col("chunk_id")], ["question_id"]).select("question_id", "chunk_id", "rank")
-
-
-def keyword_channel(searches: DataFrame, chunks: DataFrame, scope: DataFrame) -> DataFrame:
-    """question_id, chunk_id, rank: a question's searches(question_id, query) are ranked each by itself; a chunk's best rank counts."""
-    several = searches.select(F.struct("question_id", "query").alias("question_id"), "query")
-    words = chunks.select("chunk_id", T.simple_tokens(F.col("chunk_text")).alias("tokens"))
-    hits = websearch.ranked(several, words, ["chunk_id"]).select(F.col("question_id.question_id").alias("question_id"), F.col("question_id.query").alias("query"), "chunk_id", F.round("score", 9).alias("score"))
+    # few questions are broadcast: a question with a large scope is then scored wherever its chunks are
+    scored = bags.join(scope, "document_id").join(few(q), "question_id").select("question_id", "document_id", "chunk_id", F.round(S.bag_cosine(F.col("cs"), F.col("weights"), F.col("norm")), 9).alias("score"))
+    return fusion.top(scored, k, [F.desc("score"), F.col("chunk_id")], by).select(*by, "chunk_id", "rank")
+
+
+def keyword_channel(searches: DataFrame, postings: DataFrame, chunks: DataFrame, scope: DataFrame, k: int = CHANNEL_K, by: list[str] = QUESTION) -> DataFrame:
+    """by..., chunk_id, rank: a question's searches(question_id, query, route) are ranked each by itself, identifiers (route trigram) by their trigrams, others by their words; a chunk's best rank counts. postings(bucket, word, chunk_id, places)."""
+    several = searches.select(F.struct("question_id", "query").alias("question_id"), "query", "route")
+    phrases = websearch.phrases_of(several.where("route = 'keyword'"))
+    words = websearch.ranked(phrases, TI.of_words(postings, websearch.asked_words(phrases)), ["chunk_id"]).select("question_id", "chunk_id", "score")
+    identifiers = several.where("route = 'trigram'")
+    docs = scope.join(identifiers.select("question_id.question_id").distinct(), "question_id", "left_semi").select("document_id").distinct()
+    near = chunks.join(docs, "document_id", "left_semi").select("chunk_id", "chunk_text")
+    alike = TI.similar(identifiers, TI.gram_postings(near, ["chunk_id"]), near, ["chunk_id"]).select("question_id", "chunk_id", "score")
+    hits = words.unionByName(alike).select(F.col("question_id.question_id").alias("question_id"), F.col("question_id.query").alias("query"), "chunk_id", F.round("score", 9).alias("score"))
     inside = hits.join(chunks.select("chunk_id", "document_id"), "chunk_id").join(scope, ["question_id", "document_id"], "left_semi")
-    lists = fusion.top(inside, CHANNEL_K, [F.desc("score"), F.col("chunk_id")], ["question_id", "query"])
-    best = lists.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("best"))
-    return fusion.top(best, CHANNEL_K, [F.col("best"), F.col("chunk_id")], ["question_id"]).select("question_id", "chunk_id", "rank")
+    lists = fusion.top(inside, k, [F.desc("score"), F.col("chunk_id")], [*by, "query"])
+    best = lists.groupBy(*by, "chunk_id").agg(F.min("rank").alias("best"))
+    return fusion.top(best, k, [F.col("best"), F.col("chunk_id")], by).select(*by, "chunk_id", "rank")
 
 
-def merged(channels: DataFrame) -> DataFrame:
-    """question_id, chunk_id, rrf_score, provenance: the forty best of channels(question_id, chunk_id, channel, rank)."""
-    fused = fusion.rrf(channels, ["question_id", "chunk_id"], RRF_K).withColumn("rrf_score", F.round("rrf_score", 12))
-    return fusion.top(fused, MERGED, [F.desc("rrf_score"), F.col("chunk_id")], ["question_id"])
+def merged(channels: DataFrame, by: list[str] = QUESTION) -> DataFrame:
+    """by..., chunk_id, rrf_score, provenance: the forty best of channels(by..., chunk_id, channel, rank)."""
+    fused = fusion.rrf(channels, [*by, "chunk_id"], RRF_K).withColumn("rrf_score", F.round("rrf_score", 12))
+    return fusion.top(fused, MERGED, [F.desc("rrf_score"), F.col("chunk_id")], by)
 
 
 def reranked(candidates: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """The thirty best with score, the overlap of their words with the search; the others go."""
     q = questions.select("question_id", "kind", F.array_distinct(T.simple_tokens(F.col("search"))).alias("qt"))
     text = chunks.select("chunk_id", "document_id", "section", "token_count", "chunk_text")
-    few = candidates.where(F.col("rank") <= RERANKED).join(text, "chunk_id").join(q, "question_id")
-    return few.withColumn("score", F.round(fusion.overlap(F.col("qt"), T.simple_tokens(F.col("chunk_text"))), 9)).drop("qt", "rank")
+    best = candidates.where(F.col("rank") <= RERANKED).drop("document_id").join(text, "chunk_id").join(few(q), "question_id")
+    return best.withColumn("score", F.round(fusion.overlap(F.col("qt"), T.simple_tokens(F.col("chunk_text"))), 9)).drop("qt", "rank", "chunk_text")
+
+
+def missing(candidates: DataFrame, questions: DataFrame, scope: DataFrame, most: int = FANOUT) -> DataFrame:
+    """question_id, document_id: what a comparison, or a crossing of documents, over 2 to `most` documents has no candidate of."""
+    turns = questions.where(F.col("kind").isin(TURNS)).select("question_id")
+    small = scope.join(turns, "question_id", "left_semi").groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most))
+    return scope.select("question_id", "document_id").join(small, "question_id", "left_semi").join(candidates.select("question_id", "document_id").distinct(), ["question_id", "document_id"], "left_anti")
+
+
+def fanout(lacking: DataFrame, questions: DataFrame, searches: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = CHANNEL_K) -> DataFrame:
+    """Candidates of each lacking(question_id, document_id), retrieved, fused and reranked document by document; the limits apply before the shuffle."""
+    by = ["question_id", "document_id"]
+    ours = questions.join(lacking.select("question_id").distinct(), "question_id", "left_semi")
+    asked = searches.join(lacking.select("question_id").distinct(), "question_id", "left_semi")
+    few_chunks = chunks.join(lacking.select("document_id").distinct(), "document_id", "left_semi")
+    near = vector_channel(ours, few_chunks, lacking, k, by).withColumn("channel", F.lit("vector"))
+    words = keyword_channel(asked, postings, few_chunks, lacking, k, by).withColumn("channel", F.lit("keyword"))
+    return reranked(merged(near.unionByName(words), by), ours, chunks)
 
 
 def balanced(scored: DataFrame) -> DataFrame:
@@ -58,7 +87,7 @@ def balanced(scored: DataFrame) -> DataFrame:
     question, by = Window.partitionBy("question_id"), [F.desc("score"), F.col("chunk_id")]
     rows = scored.withColumn("rn", F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(*by))).withColumn("rs", F.row_number().over(Window.partitionBy("question_id", "section").orderBy(*by)))
     rows = rows.withColumn("docs", F.sum((F.col("rn") == 1).cast("int")).over(question)).withColumn("over", F.sum((F.col("rn") == CAP + 1).cast("int")).over(question))
-    turns, summary = F.col("kind").isin("comparison", "cross-document"), F.col("kind") == "summary"
+    turns, summary = F.col("kind").isin(TURNS), F.col("kind") == "summary"
     fit = rows.where(~turns | (F.col("rn") <= CAP) | (F.col("docs") == 1) | (F.col("over") == 1))
     first = F.when(turns, F.col("rn")).when(summary & (F.col("rs") > 1) & F.col("section").isNotNull(), 1).otherwise(0)
     place = F.row_number().over(question.orderBy(first, F.when(turns, F.col("document_id")).otherwise(0), *by))
@@ -72,10 +101,16 @@ def protected(selected: DataFrame) -> DataFrame:
     return selected.withColumn("protected", (F.col("kind") == "comparison") & (rn <= F.floor(F.lit(BUDGET) / docs)))
 
 
-def package(kept: DataFrame, questions: DataFrame, facts: DataFrame, excluded: DataFrame) -> DataFrame:
-    """A row for each question: chunks (array of struct, best first), per_document_counts (map), n_facts, excluded (ids); a question without chunks has an empty package."""
-    one = F.struct("place", "chunk_id", "document_id", "score", "provenance")
-    chunks = kept.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
+def package(kept: DataFrame, questions: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame, contradictions: DataFrame, excluded: DataFrame, counts: DataFrame) -> DataFrame:
+    """A row for each question: chunks (array of struct, best first, with names and headings), per_document_counts (map), n_facts, contradictions (array of struct), excluded (ids), counts (map of each channel's and the merged candidates); a question without chunks has an empty package."""
+    named = kept.join(chunks.select("chunk_id", "page_number", F.col("section").alias("section_heading"), F.col("chunk_text").alias("text")), "chunk_id").join(documents.select("document_id", F.col("title").alias("document_name")), "document_id")
+    one = F.struct("place", "chunk_id", "document_id", "document_name", "page_number", "section_heading", "text", "score", "provenance")
+    some = named.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
     n = kept.groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("n")).groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("document_id", "n"))).alias("per_document_counts"))
-    q = questions.select("question_id", "kind", "search").join(chunks, "question_id", "left").join(n, "question_id", "left").join(facts, "question_id", "left").join(excluded, "question_id", "left")
-    return q.select("question_id", "kind", "search", F.coalesce("chunks", F.expr("array()")).alias("chunks"), F.coalesce("per_document_counts", F.expr("map()")).alias("per_document_counts"), F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("excluded", F.array().cast("array<bigint>")).alias("excluded"))
+    pair = F.struct("fact_type", "label", "left_value", "right_value", "left_document_id", "right_document_id", "left_source_chunk_id", "right_source_chunk_id", "left_source_page", "right_source_page")
+    against = contradictions.groupBy("question_id").agg(F.array_sort(F.collect_list(pair)).alias("contradictions"))
+    found = counts.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "n"))).alias("counts"))
+    q = questions.select("question_id", "kind", "search")
+    for part in (some, n, facts, against, excluded, found):
+        q = q.join(part, "question_id", "left")
+    return q.select("question_id", "kind", "search", *(F.coalesce(c, F.expr("array()")).alias(c) for c in ("chunks", "contradictions")), *(F.coalesce(c, F.expr("map()")).alias(c) for c in ("per_document_counts", "counts")), F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("excluded", F.array().cast("array<bigint>")).alias("excluded"))

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from quern.functions import text as T
 from quern.functions import websearch
 from quern.operators import fusion
+from quern.operators import textindex as TI
 from quern.registry import CHUNKS, DOCS, LINES, query
 from quern.sources import views as V
+from quern.sources.stored import stored
 
 SEARCH = '"of the" and OR to -for the'
 
@@ -19,11 +21,11 @@ def websearch_match(spark, sf):
     return V.chunks(spark, sf).where(websearch.matches(T.simple_tokens(F.col("chunk_text")), SEARCH)).select("document_id", "pos")
 
 
-#: A search for each benchmark item: two of its words, or two others side by side; one is left out.
-_SEARCHES = "s AS (SELECT item_id AS question_id, string_split(text, ' ') AS w FROM benchmark), searches AS (SELECT question_id, w[2] || ' ' || w[3] || ' ' || w[2] || ' OR \"' || w[5] || ' ' || w[6] || '\" -' || w[7] AS query FROM s)"
-_RUN = r"""bits AS (SELECT question_id, unnest(range(len(regexp_extract_all(query, '"[^"]*"|[^\s"]+')))) AS ix, unnest(regexp_extract_all(query, '"[^"]*"|[^\s"]+')) AS item FROM searches),
+#: A search for each benchmark item: two of its words, or two others side by side; one is left out. A short item is a search as it is.
+_SEARCHES = "s AS (SELECT item_id AS question_id, string_split(text, ' ') AS w FROM benchmark), searches AS (SELECT question_id, CASE WHEN len(w) >= 7 THEN w[2] || ' ' || w[3] || ' ' || w[2] || ' OR \"' || w[5] || ' ' || w[6] || '\" -' || w[7] ELSE array_to_string(w, ' ') END AS query FROM s WHERE w IS NOT NULL)"
+_RUN = r"""bits AS (SELECT question_id, unnest(range(len(regexp_extract_all(query, '"[^"]+"|\S+')))) AS ix, unnest(regexp_extract_all(query, '"[^"]+"|\S+')) AS item FROM searches),
 alts AS (SELECT *, sum(CASE WHEN lower(item) = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY question_id ORDER BY ix) AS alt FROM bits), keep AS (SELECT * FROM alts WHERE lower(item) <> 'or' AND NOT starts_with(item, '-')),
-phr AS (SELECT question_id, alt, regexp_extract_all(lower(item), '[0-9a-z]+') AS ws, starts_with(item, '"') AS side FROM keep), need AS (SELECT question_id, alt, w, count(*) AS times FROM (SELECT question_id, alt, unnest(ws) AS w FROM phr) GROUP BY ALL),
+phr AS (SELECT question_id, alt, regexp_extract_all(lower(item), '[0-9a-z]+') AS ws, starts_with(item, '"') AND ends_with(item, '"') AS side FROM keep), need AS (SELECT question_id, alt, w, count(*) AS times FROM (SELECT question_id, alt, unnest(ws) AS w FROM phr) GROUP BY ALL),
 tot AS (SELECT question_id, alt, sum(times) AS n_words, count(*) AS n_distinct, list({'w': w, 'm': times}) AS req FROM need GROUP BY ALL), beside AS (SELECT question_id, alt, list(' ' || array_to_string(ws, ' ') || ' ') FILTER (WHERE side AND len(ws) > 1) AS ps FROM phr GROUP BY ALL),
 toks AS (SELECT document_id, pos, regexp_extract_all(lower(chunk_text), '[0-9a-z]+') AS t FROM chunks), ex AS (SELECT document_id, pos, unnest(t) AS w, unnest(range(len(t))) AS ix FROM toks),
 pl AS (SELECT document_id, pos, w, list_sort(list(ix)) AS places FROM ex WHERE w IN (SELECT w FROM need) GROUP BY ALL), hit AS (SELECT p.*, n.question_id, n.alt, n.times FROM pl p JOIN need n ON n.w = p.w AND len(p.places) >= n.times),
@@ -37,12 +39,17 @@ kr AS (SELECT question_id, document_id, pos, max(score) AS score FROM sc GROUP B
 def _searches(spark, sf):
     w = F.split("text", " ")
     query = F.concat(w[1], F.lit(" "), w[2], F.lit(" "), w[1], F.lit(' OR "'), w[4], F.lit(" "), w[5], F.lit('" -'), w[6])
-    return V.table(spark, sf, "benchmark").where(F.size(w) >= 7).select(F.col("item_id").alias("question_id"), query.alias("query"))
+    return V.table(spark, sf, "benchmark").where("text is not null").select(F.col("item_id").alias("question_id"), F.when(F.size(w) >= 7, query).otherwise(F.col("text")).alias("query"))
+
+
+def sentence_postings(spark, sf):
+    """The words of all sentences with their places, stored by the hash of the word."""
+    return stored(spark, sf, "postings", lambda s, d: TI.postings(V.chunks(s, d), ["document_id", "pos"]), "bucket")
 
 
 def _keyword_scores(spark, sf):
-    words = V.chunks(spark, sf).select("document_id", "pos", T.simple_tokens(F.col("chunk_text")).alias("tokens"))
-    return websearch.ranked(_searches(spark, sf), words, ["document_id", "pos"])
+    phrases = websearch.phrases_of(_searches(spark, sf))
+    return websearch.ranked(phrases, TI.of_words(sentence_postings(spark, sf), websearch.asked_words(phrases)), ["document_id", "pos"])
 
 
 @query(f"WITH {CHUNKS}, {_SEARCHES}, {_RUN} SELECT question_id, document_id, pos, round(score, 6) AS score FROM kr")

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from quern.functions import text as T
 from quern.operators import claims as C
-from quern.queries.texts import _LIST
+from quern.queries.answers import _CUT
+from quern.queries.texts import _BARE, _LIST
 from quern.registry import query
 from quern.sources import store as S
 from quern.sources import views as V
@@ -18,18 +19,23 @@ A, CL = S.AGREEMENTS, S.CLAUSES
 _DRAFT = "concat(title, ' is in force. [chunk:', CAST(2 * document_id AS STRING), '] The expiry date is 2001-06-30 or 2002-06-30 [chunk:', CAST(2 * document_id + CASE WHEN document_id % 3 = 0 THEN 1 ELSE 0 END AS STRING), ']. Vela Corp keeps the keys. Nothing whatever grows underneath purple mountains [chunk:7].')"
 _TEXT = f"CASE WHEN document_id % 13 = 0 THEN 'No supporting evidence found.' WHEN document_id % 17 = 0 THEN ' ' ELSE {_DRAFT} END"
 _DR = f"drafts AS (SELECT document_id AS question_id, {_TEXT.replace('AS STRING', 'AS VARCHAR')} AS draft FROM agreements WHERE processing_status = 'READY' AND NOT deleted)"
-_CLAIMS = rf"""{A}, {CL}, {_DR}, moved AS (SELECT question_id, regexp_replace(trim(draft), '\.\s*\[chunk:(\d+)\]', ' [chunk:\1].', 'g') AS m FROM drafts WHERE trim(draft) <> '' AND NOT contains(lower(draft), 'no supporting evidence found')),
+#: From drafts(question_id, draft) to claims(question_id, pos, claim, cited).
+PARSE = r"""moved AS (SELECT question_id, regexp_replace(trim(draft), '\.\s*\[chunk:(\d+)\]', ' [chunk:\1].', 'g') AS m FROM drafts WHERE trim(draft) <> '' AND NOT contains(lower(draft), 'no supporting evidence found')),
 sent AS (SELECT question_id, list_filter(list_filter(list_transform(string_split(regexp_replace(m, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: NOT starts_with(x, '[chunk:')) AS s FROM moved),
 one AS (SELECT question_id, unnest(range(len(s))) AS pos, unnest(s) AS t FROM sent),
 claims AS (SELECT question_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(t, '\[chunk:\d+\]', '', 'g'), '\s+', ' ', 'g')) AS claim, TRY_CAST(nullif(regexp_extract(t, '\[chunk:(\d+)\]', 1), '') AS BIGINT) AS cited FROM one)"""
-_VER = f"""{_CLAIMS}, ev AS (SELECT document_id AS question_id, chunk_id, page_number AS place, chunk_text AS passage FROM clauses),
-k AS (SELECT c.*, e.chunk_id IS NOT NULL AS known FROM claims c LEFT JOIN ev e ON e.question_id = c.question_id AND e.chunk_id = c.cited),
-w AS (SELECT k.*, e.chunk_id, e.place, lower(trim(k.claim)) AS lc, lower(e.passage) AS lp, list_filter(regexp_extract_all(lower(k.claim), '[0-9a-z]+'), lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, regexp_extract_all(lower(e.passage), '[0-9a-z]+') AS pw FROM k JOIN ev e ON e.question_id = k.question_id AND (NOT k.known OR k.cited = e.chunk_id)),
+#: From claims, ev(question_id, chunk_id, place, passage) and con(question_id, label, lv, rv) to ver.
+JUDGE = f"""k AS (SELECT c.*, e.chunk_id IS NOT NULL AS known FROM claims c LEFT JOIN ev e ON e.question_id = c.question_id AND e.chunk_id = c.cited),
+w AS (SELECT k.*, e.chunk_id, e.place, lower(trim(k.claim)) AS lc, lower(e.passage) AS lp, list_filter({_BARE.format('k.claim')}, lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, {_BARE.format('e.passage')} AS pw FROM k JOIN ev e ON e.question_id = k.question_id AND (NOT k.known OR k.cited = e.chunk_id)),
 h AS (SELECT * FROM w WHERE contains(lp, lc) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: list_contains(pw, x))) >= 0.25 * len(cw))),
 f AS (SELECT question_id, pos, arg_min(chunk_id, place * 1000000000 + chunk_id) AS support FROM h GROUP BY ALL),
-con AS (SELECT document_id AS question_id, 'expiry date' AS label, '2001-06-30' AS lv, '2002-06-30' AS rv FROM agreements WHERE document_id % 2 = 0),
 bad AS (SELECT DISTINCT c.question_id, c.pos FROM claims c JOIN con ON con.question_id = c.question_id WHERE (contains(lower(claim), lv) AND contains(lower(claim), rv)) OR (contains(lower(claim), label) AND (contains(lower(claim), lv) OR contains(lower(claim), rv)))),
 ver AS (SELECT k.question_id, k.pos, k.claim, CASE WHEN k.known THEN k.cited ELSE f.support END AS cited, f.support IS NOT NULL AS supported_by_text, bad.pos IS NULL AS supported_by_graph, f.support IS NOT NULL AND bad.pos IS NULL AS is_supported FROM k LEFT JOIN f ON f.question_id = k.question_id AND f.pos = k.pos LEFT JOIN bad ON bad.question_id = k.question_id AND bad.pos = k.pos)"""
+#: From ver and top(question_id, top) to ans.
+ANSWER = "a AS (SELECT question_id, count(*) AS n_claims, count(*) FILTER (WHERE is_supported) AS n_supported, string_agg(claim, ' ' ORDER BY pos) FILTER (WHERE is_supported) AS answer FROM ver GROUP BY 1), ans AS (SELECT a.question_id, coalesce(answer, '') AS answer, n_claims, n_supported, round(CASE WHEN n_supported > 0 THEN least(1, greatest(0.1, 0.7 * n_supported / n_claims + 0.3 * coalesce(top, 0.5))) ELSE 0 END::DOUBLE, 6) AS confidence, n_supported = 0 AS is_not_found FROM a LEFT JOIN top ON top.question_id = a.question_id)"
+_CLAIMS = f"{A}, {CL}, {_DR}, {PARSE}"
+_VER = f"""{_CLAIMS}, ev AS (SELECT document_id AS question_id, chunk_id, page_number AS place, chunk_text AS passage FROM clauses),
+con AS (SELECT document_id AS question_id, 'expiry date' AS label, '2001-06-30' AS lv, '2002-06-30' AS rv FROM agreements WHERE document_id % 2 = 0), {JUDGE}"""
 
 
 def drafts(spark, sf):
@@ -76,7 +82,7 @@ def _tops(spark, sf):
     return S.clauses(spark, sf).where("document_id % 9 <> 4").groupBy(F.col("document_id").alias("question_id")).agg(F.max(F.col("chunk_id") % 10 / 10).alias("top"))
 
 
-_ANS = f"{_VER}, {_TOP}, a AS (SELECT question_id, count(*) AS n_claims, count(*) FILTER (WHERE is_supported) AS n_supported, string_agg(claim, ' ' ORDER BY pos) FILTER (WHERE is_supported) AS answer FROM ver GROUP BY 1), ans AS (SELECT a.question_id, coalesce(answer, '') AS answer, n_claims, n_supported, round(CASE WHEN n_supported > 0 THEN least(1, greatest(0.1, 0.7 * n_supported / n_claims + 0.3 * coalesce(top, 0.5))) ELSE 0 END::DOUBLE, 6) AS confidence, n_supported = 0 AS is_not_found FROM a LEFT JOIN top ON top.question_id = a.question_id)"
+_ANS = f"{_VER}, {_TOP}, {ANSWER}"
 
 
 def answers(spark, sf):
@@ -125,14 +131,14 @@ def stub_answer(spark, sf):
     return S.ready(spark, sf).select("document_id").join(first, "document_id", "left").select(F.col("document_id").alias("question_id"), F.lit("See the first passage in scope.").alias("answer"), "chunk_id")
 
 
-@query(f"WITH {_ANS} SELECT question_id, 'token' AS type, 0 AS ordinal, answer AS payload FROM ans WHERE length(answer) BETWEEN 1 AND 200 UNION ALL SELECT question_id, 'done', 9, CAST(is_not_found AS VARCHAR) FROM ans UNION ALL SELECT question_id, 'error', 9, 'EMPTY_DRAFT' FROM drafts WHERE trim(draft) = ''")
+@query(
+    f"""WITH RECURSIVE {_ANS}, cut AS (SELECT question_id, -1 AS pos, '' AS piece, answer AS rest FROM ans UNION ALL SELECT question_id, pos + 1, substr(rest, 1, {_CUT}), substr(rest, {_CUT} + 1) FROM cut WHERE length(rest) > 0),
+n AS (SELECT question_id, CAST(max(pos) + 1 AS INTEGER) AS n FROM cut GROUP BY ALL)
+SELECT question_id, 'token' AS type, pos AS ordinal, piece AS payload FROM cut WHERE pos >= 0 UNION ALL SELECT n.question_id, 'done', n.n, CAST(is_not_found AS VARCHAR) FROM ans JOIN n ON n.question_id = ans.question_id UNION ALL SELECT question_id, 'error', 0, 'EMPTY_DRAFT' FROM drafts WHERE trim(draft) = ''"""
+)
 def event_constructors(spark, sf):
-    """Token, done and error events; an answer of more than one piece is in answer_replay."""
-    a = answers(spark, sf)
-    token = a.where(F.length("answer").between(1, 200)).select("question_id", F.lit("token").alias("type"), F.lit(0).alias("ordinal"), F.col("answer").alias("payload"))
-    done = a.select("question_id", F.lit("done").alias("type"), F.lit(9).alias("ordinal"), F.col("is_not_found").cast("string").alias("payload"))
-    error = drafts(spark, sf).where("trim(draft) = ''").select("question_id", F.lit("error").alias("type"), F.lit(9).alias("ordinal"), F.lit("EMPTY_DRAFT").alias("payload"))
-    return token.unionByName(done).unionByName(error)
+    """The events of each answer: token events with all of its text, in pieces, then done; an error where the draft is empty."""
+    return C.events(answers(spark, sf)).unionByName(drafts(spark, sf).where("trim(draft) = ''").select("question_id", *C.error_event("EMPTY_DRAFT")))
 
 
 @query("WITH a AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'assistant') SELECT conv_id AS session_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS n_events FROM a GROUP BY 1")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
-from quern.functions import similarity as SIM
 from quern.functions import text as T
 from quern.operators import fusion
+from quern.operators import textindex as TI
+from quern.plans import answer as AP
 from quern.plans import evidence as E
 from quern.queries import answers as AQ
 from quern.queries import fields as FQ
@@ -16,7 +17,7 @@ from quern.queries import retrieval as RQ
 from quern.registry import CHUNKS, DOCS, query
 from quern.sources import store as S
 from quern.sources import views as V
-from quern.sources.stored import stored
+from quern.sources.stored import cut, stored
 
 _TOK = r"len(regexp_extract_all(chunk_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
 _BASE = f"""{G._GR}, {G._FA},
@@ -24,15 +25,19 @@ sq AS (SELECT question_id, workspace_id, kind, CASE kind WHEN 'comparison' THEN
 cl AS (SELECT chunk_id, document_id, CASE WHEN page_number = 2 THEN 'annex' END AS section, {_TOK} AS token_count, chunk_text FROM clauses)"""
 _COUNT = "list_sum(list_transform(list_distinct({0}), lambda v: len(list_filter({0}, lambda x: x = v)) ** 2))"
 _VEC = f"""vq AS (SELECT question_id, {RQ._SLOT.format("search")} AS qs FROM sq), vc AS (SELECT chunk_id, document_id, {RQ._SLOT.format("chunk_text")} AS cs FROM cl),
-vs AS (SELECT r.question_id, c.chunk_id, round(coalesce(list_sum(list_transform(list_distinct(list_intersect(cs, qs)), lambda v: len(list_filter(cs, lambda x: x = v)) * len(list_filter(qs, lambda x: x = v)))), 0) / (sqrt({_COUNT.format("cs")}) * sqrt({_COUNT.format("qs")})), 9) AS score FROM vc c JOIN resolved r ON r.document_id = c.document_id JOIN vq q ON q.question_id = r.question_id),
+vs AS (SELECT r.question_id, c.document_id, c.chunk_id, round(coalesce(list_sum(list_transform(list_distinct(list_intersect(cs, qs)), lambda v: len(list_filter(cs, lambda x: x = v)) * len(list_filter(qs, lambda x: x = v)))), 0) / (sqrt({_COUNT.format("cs")}) * sqrt({_COUNT.format("qs")})), 9) AS score FROM vc c JOIN resolved r ON r.document_id = c.document_id JOIN vq q ON q.question_id = r.question_id),
 vr AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= 20)"""
-# a question's searches: its rewritten text, and its quoted terms as phrases
+# a question's searches: its rewritten text, and each of its verbatim terms; identifiers without a space go by trigrams, the rest by words, terms as phrases
+_PURE = r"(length(trim({0})) BETWEEN 3 AND 64 AND regexp_matches({0}, '[0-9]') AND NOT regexp_matches(trim({0}), '\s'))"
 _KEY = (
-    """one AS (SELECT question_id AS qid, search AS query FROM sq UNION SELECT question_id, '"Vela Corp"' FROM ques WHERE contains(question, '"Vela Corp"')), numbered AS (SELECT row_number() OVER (ORDER BY qid, query) AS question_id, qid, query FROM one), searches AS (SELECT question_id, query FROM numbered),
+    rf"""terms AS (SELECT question_id, unnest({FQ._TERMS}) AS term FROM ques), one AS (SELECT question_id AS qid, search AS query, {_PURE.format("search")} AS pure FROM sq UNION SELECT question_id, CASE WHEN {_PURE.format("term")} THEN trim(term) ELSE '"' || trim(term) || '"' END, {_PURE.format("term")} FROM terms WHERE trim(term) <> ''),
+numbered AS (SELECT row_number() OVER (ORDER BY qid, query) AS question_id, qid, query, pure FROM one), searches AS (SELECT question_id, query FROM numbered WHERE NOT pure),
 chunks AS (SELECT document_id, chunk_id AS pos, chunk_text FROM cl), """
     + AQ._RUN
-    + """,
-ki AS (SELECT n.qid AS question_id, n.query, k.pos AS chunk_id, round(k.score, 9) AS score FROM kr k JOIN numbered n ON n.question_id = k.question_id JOIN resolved r ON r.question_id = n.qid AND r.document_id = k.document_id),
+    + f""",
+tg AS (SELECT n.qid AS question_id, n.query, c.document_id, c.chunk_id, {RQ._TG.format("c.chunk_text")} AS a, {RQ._TG.format("n.query")} AS b FROM numbered n JOIN resolved r ON r.question_id = n.qid JOIN cl c ON c.document_id = r.document_id WHERE n.pure),
+ki AS (SELECT n.qid AS question_id, n.query, k.document_id, k.pos AS chunk_id, round(k.score, 9) AS score FROM kr k JOIN numbered n ON n.question_id = k.question_id JOIN resolved r ON r.question_id = n.qid AND r.document_id = k.document_id
+ UNION ALL SELECT question_id, query, document_id, chunk_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 9) FROM tg WHERE len(a) > 0 AND len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) > 0.3),
 kl AS (SELECT *, row_number() OVER (PARTITION BY question_id, query ORDER BY score DESC, chunk_id) AS rank FROM ki QUALIFY rank <= 20), kb AS (SELECT question_id, chunk_id, min(rank) AS best FROM kl GROUP BY ALL),
 kw AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY best, chunk_id) AS rank FROM kb QUALIFY rank <= 20)"""
 )
@@ -47,7 +52,7 @@ b4 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN
 sel AS (SELECT question_id, chunk_id, document_id, kind, provenance, token_count, score, place FROM b4 WHERE place <= CASE WHEN kind = 'summary' THEN 12 ELSE 8 END),
 p1 AS (SELECT *, count(DISTINCT document_id) OVER (PARTITION BY question_id) AS nd, row_number() OVER (PARTITION BY question_id, document_id ORDER BY score DESC, chunk_id) AS rd FROM sel), p2 AS (SELECT *, kind = 'comparison' AND rd <= floor(8 / nd) AS protected FROM p1),
 p3 AS (SELECT *, sum(token_count) OVER (PARTITION BY question_id) AS total, coalesce(sum(CASE WHEN protected THEN 0 ELSE token_count END) OVER (PARTITION BY question_id ORDER BY score, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM p2), kept AS (SELECT * FROM p3 WHERE protected OR total - gone <= 300)"""
-#: Of the tests' short chunks 3000 tokens are never reached; the queries trim to this many.
+#: Of these short chunks the 3000 tokens of the default are never reached; the queries trim to this many.
 BUDGET = 300
 
 
@@ -59,19 +64,26 @@ def questions(spark, sf):
 
 def chunks(spark, sf):
     t = F.col("chunk_text")
-    return S.clauses(spark, sf).select("chunk_id", "document_id", F.when(F.col("page_number") == 2, "annex").alias("section"), T.count_tokens(t).alias("token_count"), "chunk_text")
+    return S.clauses(spark, sf).select("chunk_id", "document_id", "page_number", F.when(F.col("page_number") == 2, "annex").alias("section"), T.count_tokens(t).alias("token_count"), "chunk_text")
+
+
+def postings(spark, sf):
+    """The words of all chunks with their places, stored by the hash of the word."""
+    return stored(spark, sf, "chunk-postings", lambda s, d: TI.postings(S.clauses(s, d), ["chunk_id"]), "bucket")
 
 
 def searches(spark, sf):
-    """A question's rewritten text, and each of its quoted terms as a phrase."""
+    """A question's rewritten text, and each of its verbatim terms: an identifier by its trigrams, others as a phrase."""
     q = questions(spark, sf)
-    quoted = q.select("question_id", F.explode(T.extract_all(F.col("question"), '"[^"]+"')).alias("query"))
-    return q.select("question_id", F.col("search").alias("query")).unionByName(quoted).distinct()
+    route = lambda c: F.when(R.is_pure_identifier(c), "trigram").otherwise("keyword").alias("route")
+    term = q.select("question_id", F.explode(T.verbatim_terms(F.col("question"))).alias("term")).select("question_id", F.trim("term").alias("term")).where("term <> ''")
+    query = F.when(R.is_pure_identifier(F.col("term")), F.col("term")).otherwise(F.concat(F.lit('"'), "term", F.lit('"')))
+    return q.select("question_id", F.col("search").alias("query"), route(F.col("search"))).unionByName(term.select("question_id", query.alias("query"), route(F.col("term")))).distinct()
 
 
 def channels(spark, sf):
     scope, c = G.graph_scope(spark, sf), chunks(spark, sf)
-    lists = {"vector": E.vector_channel(questions(spark, sf), c, scope), "keyword": E.keyword_channel(searches(spark, sf), c, scope), "graph": G.graph_channel(spark, sf)}
+    lists = {"vector": E.vector_channel(questions(spark, sf), c, scope), "keyword": E.keyword_channel(searches(spark, sf), postings(spark, sf), c, scope), "graph": G.graph_channel(spark, sf)}
     out = None
     for name, ranked in lists.items():
         ranked = ranked.select("question_id", "chunk_id", "rank", F.lit(name).alias("channel"))
@@ -83,12 +95,25 @@ def _all_channels(spark, sf):
     return stored(spark, sf, "channels", channels)
 
 
+def candidates(spark, sf):
+    """The reranked candidates of every question; and of comparisons over a few documents what is fetched of those without any."""
+
+    def make(s, d):
+        q, c, scope = questions(s, d), chunks(s, d), G.graph_scope(s, d)
+        first = cut(E.reranked(E.merged(_all_channels(s, d)), q, c), "reranked")
+        lacking = cut(E.missing(first, q, scope), "lacking")
+        return first.unionByName(E.fanout(lacking, q, searches(s, d), postings(s, d), c).select(first.columns))
+
+    return stored(spark, sf, "candidates-of-questions", make)
+
+
 def selected(spark, sf):
-    return E.balanced(E.reranked(E.merged(_all_channels(spark, sf)), questions(spark, sf), chunks(spark, sf)))
+    return E.balanced(candidates(spark, sf))
 
 
-def kept(spark, sf):
-    return fusion.trim(E.protected(selected(spark, sf)), "chunk_id", BUDGET)
+def kept(spark, sf, tokens=BUDGET):
+    """The package's chunks, trimmed to so many tokens."""
+    return fusion.trim(E.protected(selected(spark, sf)), "chunk_id", tokens)
 
 
 @query(f"WITH {_BASE}, {_VEC} SELECT * FROM vr")
@@ -100,7 +125,7 @@ def vector_channel(spark, sf):
 @query(f"WITH {_BASE}, {_KEY} SELECT * FROM kw")
 def keyword_channel(spark, sf):
     """For every question the twenty best chunks of its scope over its searches."""
-    return E.keyword_channel(searches(spark, sf), chunks(spark, sf), G.graph_scope(spark, sf))
+    return E.keyword_channel(searches(spark, sf), postings(spark, sf), chunks(spark, sf), G.graph_scope(spark, sf))
 
 
 @query(f"WITH {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE} SELECT question_id, chunk_id, rrf_score, provenance, rank FROM mg")
@@ -115,20 +140,62 @@ def balance(spark, sf):
     return selected(spark, sf).select("question_id", "chunk_id", "place", "score")
 
 
-@query(f"WITH {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE}, {_PICK}, nf AS (SELECT question_id, least(count(*), 30) AS n_facts FROM fs GROUP BY 1), xc AS (SELECT q.question_id, list(l.document_id ORDER BY l.document_id) AS ids FROM ques q JOIN live l ON l.workspace_id = q.workspace_id WHERE l.processing_status <> 'READY' GROUP BY 1), ck AS (SELECT question_id, string_agg(chunk_id || '=' || provenance, ';' ORDER BY place) AS shown FROM kept GROUP BY 1), pd AS (SELECT question_id, string_agg(document_id || '=' || n, ',' ORDER BY document_id) AS counts FROM (SELECT question_id, document_id, count(*) AS n FROM kept GROUP BY ALL) GROUP BY 1) SELECT s.question_id, s.kind, s.search, coalesce(shown, '') AS chunks, coalesce(counts, '') AS counts, coalesce(n_facts, 0) AS n_facts, coalesce(len(xc.ids), 0) AS n_excluded FROM sq s LEFT JOIN ck USING (question_id) LEFT JOIN pd USING (question_id) LEFT JOIN nf USING (question_id) LEFT JOIN xc USING (question_id)")
+# the contradictions of each question's scope: CONTRADICTS edges both of whose documents are in it
+_CONS = """twa AS (SELECT start_id AS x, end_id AS y FROM amends UNION SELECT end_id, start_id FROM amends),
+walk AS (SELECT sha256('Document|' || document_id) AS origin, sha256('Document|' || document_id) AS node_id, 0 AS d FROM live UNION SELECT w.origin, t.y, w.d + 1 FROM walk w JOIN twa t ON t.x = w.node_id WHERE w.d < 5), near AS (SELECT DISTINCT origin, node_id FROM walk),
+ff AS (SELECT DISTINCT m.doc_node, m.node_id, m.kind AS label, m.fact_label, m.value, m.document_id, m.workspace_id FROM marked m WHERE kind IN ('DateFact', 'Amount')),
+cp AS (SELECT DISTINCT f.label AS fact_type, f.fact_label AS label, CASE WHEN f.node_id < g.node_id THEN f.value ELSE g.value END AS lv, CASE WHEN f.node_id < g.node_id THEN g.value ELSE f.value END AS rv, least(f.node_id, g.node_id) AS ln, greatest(f.node_id, g.node_id) AS rn, CASE WHEN f.node_id < g.node_id THEN f.document_id ELSE g.document_id END AS ld, CASE WHEN f.node_id < g.node_id THEN g.document_id ELSE f.document_id END AS rd
+ FROM near n JOIN ff f ON f.doc_node = n.origin JOIN ff g ON g.doc_node = n.node_id AND g.label = f.label AND g.fact_label = f.fact_label AND g.value <> f.value AND g.workspace_id = f.workspace_id),
+con AS (SELECT a.question_id, cp.* FROM cp JOIN resolved a ON a.document_id = cp.ld JOIN resolved b ON b.question_id = a.question_id AND b.document_id = cp.rd)"""
+_WHOLE = f"WITH RECURSIVE {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE}, {_PICK}, {_CONS}"
+
+
+def contradictions(spark, sf):
+    return AP.contradictions_in_scope(G.graph_scope(spark, sf), G.contradicts(spark, sf), G.nodes(spark, sf))
+
+
+@query(f"""{_WHOLE}, nf AS (SELECT question_id, least(count(*), 30) AS n_facts FROM fs GROUP BY 1), nc AS (SELECT question_id, count(*) AS n FROM con GROUP BY 1),
+xc AS (SELECT q.question_id, list(l.document_id ORDER BY l.document_id) AS ids FROM ques q JOIN live l ON l.workspace_id = q.workspace_id WHERE l.processing_status <> 'READY' GROUP BY 1), ck AS (SELECT question_id, string_agg(chunk_id || '=' || provenance, ';' ORDER BY place) AS shown, string_agg(DISTINCT a.title, ';' ORDER BY a.title) AS names, count(*) FILTER (WHERE section IS NOT NULL) AS n_headings FROM kept JOIN (SELECT chunk_id, section FROM cl) USING (chunk_id) JOIN agreements a USING (document_id) GROUP BY 1),
+pd AS (SELECT question_id, string_agg(document_id || '=' || n, ',' ORDER BY document_id) AS counts FROM (SELECT question_id, document_id, count(*) AS n FROM kept GROUP BY ALL) GROUP BY 1),
+dg AS (SELECT question_id, string_agg(channel || '=' || n, ',' ORDER BY channel) AS diagnostics FROM (SELECT question_id, channel, count(*) AS n FROM ch GROUP BY ALL UNION ALL SELECT question_id, 'merged', count(*) FROM mg GROUP BY ALL) GROUP BY 1)
+SELECT s.question_id, s.kind, s.search, coalesce(shown, '') AS chunks, coalesce(names, '') AS names, coalesce(n_headings, 0) AS n_headings, coalesce(counts, '') AS counts, coalesce(n_facts, 0) AS n_facts, coalesce(nc.n, 0) AS n_contradictions, coalesce(len(xc.ids), 0) AS n_excluded, coalesce(diagnostics, '') AS diagnostics FROM sq s LEFT JOIN ck USING (question_id) LEFT JOIN pd USING (question_id) LEFT JOIN nf USING (question_id) LEFT JOIN nc USING (question_id) LEFT JOIN xc USING (question_id) LEFT JOIN dg USING (question_id)""")
 def build_package(spark, sf):
-    """The evidence package of every question: guard, rewriting, three channels, fusion, rerank, balance, trim, facts, what was excluded."""
+    """The evidence package of every question: guard, rewriting, three channels, fusion, rerank, fan-out, balance, trim, facts, contradictions, names, headings, diagnostics, what was excluded."""
     p = package(spark, sf)
     shown = F.array_join(F.transform("chunks", lambda c: F.concat(c["chunk_id"].cast("string"), F.lit("="), c["provenance"])), ";")
-    counts = F.array_join(F.transform(F.array_sort(F.map_entries("per_document_counts")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    return p.select("question_id", "kind", "search", shown.alias("chunks"), counts.alias("counts"), "n_facts", F.size("excluded").cast("long").alias("n_excluded"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("chunks", lambda c: c["document_name"]))), ";")
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    headings = F.size(F.filter("chunks", lambda c: c["section_heading"].isNotNull())).cast("long")
+    return p.select("question_id", "kind", "search", shown.alias("chunks"), names.alias("names"), headings.alias("n_headings"), flat("per_document_counts").alias("counts"), "n_facts", F.size("contradictions").cast("long").alias("n_contradictions"), F.size("excluded").cast("long").alias("n_excluded"), flat("counts").alias("diagnostics"))
 
 
 def package(spark, sf):
     facts = G.K.facts_of(G._met(spark, sf), G.nodes(spark, sf), G.graph_scope(spark, sf)).groupBy("question_id").agg(F.least(F.count(F.lit(1)), F.lit(30)).alias("n_facts"))
     out = G.live(spark, sf).where("processing_status <> 'READY'").select("workspace_id", "document_id")
     excluded = questions(spark, sf).select("question_id", "workspace_id").join(out, "workspace_id").groupBy("question_id").agg(F.array_sort(F.collect_list("document_id")).alias("excluded"))
-    return E.package(kept(spark, sf), questions(spark, sf), facts, excluded)
+    n = F.count(F.lit(1)).alias("n")
+    counts = _all_channels(spark, sf).groupBy("question_id", "channel").agg(n).unionByName(E.merged(_all_channels(spark, sf)).groupBy("question_id", F.lit("merged").alias("channel")).agg(n))
+    return E.package(kept(spark, sf), questions(spark, sf), chunks(spark, sf), G.live(spark, sf), facts, contradictions(spark, sf), excluded, counts)
+
+
+_FEW = 2
+_RRF = "round(sum(1.0 / (60 + rank)), 12) AS rrf_score, string_agg(channel, ',' ORDER BY CASE channel WHEN 'vector' THEN 0 ELSE 1 END) AS provenance"
+
+
+@query(f"""WITH {_BASE}, {_VEC}, {_KEY}, cq AS (SELECT question_id FROM ques WHERE kind = 'comparison'),
+v2 AS (SELECT question_id, document_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM vs SEMI JOIN cq USING (question_id) QUALIFY rank <= {_FEW}),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY question_id, query ORDER BY score DESC, chunk_id) AS rank FROM ki SEMI JOIN cq USING (question_id) QUALIFY rank <= {_FEW}), k2 AS (SELECT question_id, document_id, row_number() OVER (PARTITION BY question_id ORDER BY best, chunk_id) AS rank FROM (SELECT question_id, document_id, chunk_id, min(rank) AS best FROM l2 GROUP BY ALL) QUALIFY rank <= {_FEW}),
+there AS (SELECT question_id, document_id FROM v2 UNION SELECT question_id, document_id FROM k2), miss AS (SELECT question_id, document_id FROM resolved SEMI JOIN cq USING (question_id) ANTI JOIN there USING (question_id, document_id)),
+dv AS (SELECT question_id, document_id, chunk_id, row_number() OVER (PARTITION BY question_id, document_id ORDER BY score DESC, chunk_id) AS rank FROM vs SEMI JOIN miss USING (question_id, document_id) QUALIFY rank <= {_FEW}),
+dl AS (SELECT *, row_number() OVER (PARTITION BY question_id, document_id, query ORDER BY score DESC, chunk_id) AS rank FROM ki SEMI JOIN miss USING (question_id, document_id) QUALIFY rank <= {_FEW}), dk AS (SELECT question_id, document_id, chunk_id, row_number() OVER (PARTITION BY question_id, document_id ORDER BY best, chunk_id) AS rank FROM (SELECT question_id, document_id, chunk_id, min(rank) AS best FROM dl GROUP BY ALL) QUALIFY rank <= {_FEW})
+SELECT question_id, document_id, chunk_id, {_RRF} FROM (SELECT *, 'vector' AS channel FROM dv UNION ALL SELECT *, 'keyword' FROM dk) GROUP BY question_id, document_id, chunk_id""")
+def fanout_comparison(spark, sf):
+    """Comparisons whose channels are so short that some of their six documents have no candidate: those are fetched document by document."""
+    q, c, scope = questions(spark, sf).where("kind = 'comparison'"), chunks(spark, sf), G.graph_scope(spark, sf)
+    asked = searches(spark, sf).join(q.select("question_id"), "question_id", "left_semi")
+    lists = [E.vector_channel(q, c, scope, _FEW), E.keyword_channel(asked, postings(spark, sf), c, scope, _FEW)]
+    first = lists[0].unionByName(lists[1]).join(c.select("chunk_id", "document_id"), "chunk_id")
+    return E.fanout(cut(E.missing(first, q, scope), "lacking"), q, asked, postings(spark, sf), c, _FEW).select("question_id", "document_id", "chunk_id", "rrf_score", "provenance")
 
 
 @query(f"WITH {_BASE}, {_VEC}, {_KEY}, {_GRAPH}, {_MERGE}, {_PICK} SELECT k.question_id, count(*) AS n_chunks, count(*) FILTER (WHERE r.document_id IS NULL) AS n_outside FROM kept k LEFT JOIN resolved r ON r.question_id = k.question_id AND r.document_id = k.document_id GROUP BY 1")
@@ -146,12 +213,9 @@ def topk_vector_scoped(spark, sf):
     return fusion.top(d, 20, [F.col("distance"), F.col("vec_id")], ["workspace_id"]).select("workspace_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"""WITH {CHUNKS}, {DOCS}, w AS (SELECT array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS question FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), s AS (SELECT c.document_id, d.workspace_id, c.pos, {RQ._TG.format("chunk_text")} AS a, {RQ._TG.format("question")} AS b FROM chunks c JOIN docs d ON d.document_id = c.document_id CROSS JOIN w WHERE d.processing_status = 'READY'),
-t AS (SELECT workspace_id, document_id, pos, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS similarity FROM s WHERE len(a) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY similarity DESC, document_id, pos) AS rank FROM t WHERE similarity > 0.3) SELECT workspace_id, document_id, pos, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 20""")
+@query(f"""WITH {CHUNKS}, {DOCS}, {RQ._ALIKE}, r AS (SELECT t.*, d.workspace_id, row_number() OVER (PARTITION BY item_id, d.workspace_id ORDER BY similarity DESC, document_id, pos) AS rank FROM t JOIN docs d USING (document_id) WHERE d.processing_status = 'READY') SELECT item_id, workspace_id, document_id, pos, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 20""")
 def topk_trigram_scoped(spark, sf):
-    """The twenty most similar sentences of each workspace's READY documents, above 0.3."""
-    q = V.table(spark, sf, "benchmark").orderBy("item_id").limit(1).select(SIM.trigrams(F.array_join(F.slice(F.split("text", " "), 1, 12), " ")).alias("b"))
+    """For every benchmark item the twenty most similar sentences of each workspace's READY documents, above 0.3: the scope applies before the limit."""
     docs = V.documents(spark, sf).where("processing_status = 'READY'").select("document_id", "workspace_id")
-    s = V.chunks(spark, sf).select("document_id", "pos", SIM.trigrams(F.col("chunk_text")).alias("a")).where("size(a) > 0").join(F.broadcast(q))  # q: one row
-    t = s.select("document_id", "pos", SIM.set_similarity(F.col("a"), F.col("b")).alias("similarity")).where("similarity > 0.3").join(docs, "document_id")
-    return fusion.top(t, 20, [F.desc("similarity"), F.col("document_id"), F.col("pos")], ["workspace_id"]).select("workspace_id", "document_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")
+    t = RQ.alike(spark, sf).join(docs, "document_id")
+    return fusion.top(t, 20, [F.desc("similarity"), F.col("document_id"), F.col("pos")], ["item_id", "workspace_id"]).select("item_id", "workspace_id", "document_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")

@@ -29,7 +29,7 @@ def questions(spark, sf):
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in R.QUERY_STOPWORDS) + "]"
 _KEYS = f"array_to_string(list_filter(regexp_extract_all(question, '[0-9A-Za-z]+(?:-[0-9A-Za-z]+)*'), lambda w: NOT list_contains({_STOP}, lower(w))), ' ')"
 _KIND = "CASE WHEN contains(lower(question), 'what''s different between these two contracts?') OR contains(lower(question), 'different') OR contains(lower(question), 'difference') OR contains(lower(question), 'compare') OR contains(lower(question), 'versus') OR contains(lower(question), ' vs ') THEN 'comparison' WHEN contains(lower(question), 'summar') THEN 'summary' WHEN contains(lower(question), 'across documents') OR contains(lower(question), 'cross-document') OR contains(lower(question), 'which documents') THEN 'cross-document' ELSE 'fact' END"
-_TERMS = r"list_distinct(list_concat(list_transform(regexp_extract_all(question, '\"([^\"]+)\"', 1), lambda x: trim(x)), list_filter(regexp_extract_all(question, '\b[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b'), lambda x: regexp_matches(x, '[0-9]')), regexp_extract_all(question, '(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)'), regexp_extract_all(question, '\b\d{4}-\d{2}-\d{2}\b')))".replace('\\"', '"')
+_TERMS = r"list_distinct(list_concat(list_transform(regexp_extract_all(question, '\"([^\"]+)\"', 1), lambda x: trim(x)), list_filter(regexp_extract_all(question, '\b[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b'), lambda x: regexp_matches(x, '[0-9]')), regexp_extract_all(question, '(?i)(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)'), regexp_extract_all(question, '\b\d{4}-\d{2}-\d{2}\b')))".replace('\\"', '"')
 _SORTED = "array_to_string(list_sort({0}), '|')"
 
 
@@ -78,12 +78,12 @@ def keyword_channel_terms(spark, sf):
     return whole.unionByName(term.select("question_id", F.when(is_id, F.col("term")).otherwise(F.concat(F.lit('"'), "term", F.lit('"'))).alias("search"), F.when(is_id, "trigram").otherwise("keyword").alias("route"))).distinct()
 
 
-@query("WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, 'Classify the question.' || chr(10) || string_agg(role || ': ' || substr(text, 1, 40), chr(10) ORDER BY turn) AS prompt FROM r WHERE rn <= 3 GROUP BY conv_id")
+@query("WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) SELECT conv_id, 'Classify the question.' || chr(10) || string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM r WHERE rn <= 3 GROUP BY conv_id")
 def classification_prompt(spark, sf):
     """The classifier's prompt: the last three turns, no text of a document."""
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     few = V.table(spark, sf, "conversations").withColumn("rn", F.row_number().over(last)).where("rn <= 3")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 40)).alias("t")))), lambda x: x["t"])
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"])
     return few.groupBy("conv_id").agg(F.concat(F.lit("Classify the question.\n"), F.array_join(said, "\n")).alias("prompt"))
 
 
@@ -144,13 +144,13 @@ def validate_provenance(spark, sf):
     return universal(spark, sf).where("page_number >= 1 AND trim(field_value) <> ''").groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query(f"WITH {C}, r AS (SELECT document_id % 40 AS folder, document_id, page_number, chunk_id, chunk_text, row_number() OVER (PARTITION BY document_id % 40 ORDER BY page_number, chunk_id) AS rn FROM clauses) SELECT folder, md5(string_agg('[chunk:' || chunk_id || ' page=' || page_number || '] ' || chunk_text, chr(10) ORDER BY page_number, chunk_id)) AS digest, count(*) AS n FROM r WHERE rn <= 50 GROUP BY folder")
+@query(f"WITH {C}, r AS (SELECT document_id, page_number, chunk_id, chunk_text, row_number() OVER (PARTITION BY document_id ORDER BY page_number, chunk_id) AS rn FROM clauses) SELECT document_id, md5(string_agg('[chunk:' || chunk_id || ' page=' || page_number || '] ' || chunk_text, chr(10) ORDER BY page_number, chunk_id)) AS digest, count(*) AS n FROM r WHERE rn <= 50 GROUP BY document_id")
 def classification_text(spark, sf):
-    """The classifier's text: the first fifty chunks by page, with their tags. (The limit is the classifier's.)"""
-    w = Window.partitionBy("folder").orderBy("page_number", "chunk_id")
-    c = S.clauses(spark, sf).withColumn("folder", F.col("document_id") % 40).withColumn("rn", F.row_number().over(w)).where("rn <= 50")
+    """The classifier's text of each document: its first fifty chunks by page, with their tags. (The limit is the classifier's.)"""
+    w = Window.partitionBy("document_id").orderBy("page_number", "chunk_id")
+    c = S.clauses(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 50")
     part = F.struct("page_number", "chunk_id", F.concat(F.lit("[chunk:"), F.col("chunk_id").cast("string"), F.lit(" page="), F.col("page_number").cast("string"), F.lit("] "), "chunk_text").alias("t"))
-    return c.groupBy("folder").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
+    return c.groupBy("document_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {C}, {_UNI}, p AS (SELECT chunk_id, unnest(list_transform(string_split_regex(field_value, '(?i),|\\band\\b'), lambda x: trim(x, ' .'))) AS name FROM univ WHERE field_name IN ('Parties', 'Topics')) SELECT chunk_id, name, count(*) AS n FROM p WHERE name <> '' GROUP BY ALL")

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import rules as R
 from quern.functions import text as T
+from quern.operators import fusion
 from quern.operators import kg as K
+from quern.operators import kg_store as KS
 from quern.queries import fields as FQ
 from quern.registry import query
 from quern.sources import store as S
 from quern.sources import views as V
 from quern.sources.stored import stored
+from quern.streaming.jobs import base_folder
 
 A, C = S.AGREEMENTS, S.CLAUSES
 
 # SQL of the candidates
 _ORG = r"regexp_extract_all(chunk_text, '\b([A-Z][A-Za-z0-9&''.-]*(?:\s+[A-Z][A-Za-z0-9&''.-]*)*\s+(?:Corp|Ltd|LLC|Inc)\.?)\b', 1)"
-_SIGN = r"regexp_extract_all(chunk_text, '(?:[sS]igned by|[sS]ignatory|[pP]olicy owner)\s*[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)', 1)"
+_SIGN = r"regexp_extract_all(chunk_text, '(?i)(?:signed by|signatory|policy owner)\s*[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)', 1)"
 _DL = r"'(?i)(expiry date|expiration date|effective date)\s*[:\s]+(\d{4}-\d{2}-\d{2})'"
 _LAB = r"CASE WHEN contains(lower({0}), 'expir') THEN 'expiry date' WHEN contains(lower({0}), 'effective') THEN 'effective date' ELSE lower(trim({0})) END"
 _NUMB = r"replace(regexp_extract(field_value, '([\d,]+(?:\.\d+)?)', 1), ',', '')"
@@ -99,6 +104,16 @@ def edges(spark, sf):
     return stored(spark, sf, "edges", lambda s, d: K.within_workspace(K.entity_edges(marked(s, d)).unionByName(amends(s, d)), nodes(s, d)))
 
 
+def contradicts(spark, sf):
+    """CONTRADICTS edges between the facts of every live document and those of the documents that amendments relate it to."""
+
+    def make(s, d):
+        seeds = live(s, d).select(K.document_node(F.col("document_id")).alias("node_id"))
+        return K.within_workspace(K.contradiction_edges(K.contradictions(K.related(seeds, amends(s, d)), _facts(s, d))), nodes(s, d))
+
+    return stored(spark, sf, "contradicts", make)
+
+
 _SHOW = "kind, name, rel_type, fact_label, value, currency"
 
 
@@ -240,10 +255,44 @@ def contradictions_in_scope(spark, sf):
     return c.where("workspace_id = w").select("workspace_id", "fact_label", "left_node", "right_node")
 
 
+# contradictions of every document, as edges; and the graph merged in batches
+
+_ALL = f"""{_KG}, two AS (SELECT start_id AS x, end_id AS y FROM amends UNION SELECT end_id, start_id FROM amends),
+walk AS (SELECT sha256('Document|' || document_id) AS origin, sha256('Document|' || document_id) AS node_id, 0 AS d FROM live UNION SELECT w.origin, t.y, w.d + 1 FROM walk w JOIN two t ON t.x = w.node_id WHERE w.d < 5), near AS (SELECT DISTINCT origin, node_id FROM walk),
+facts AS (SELECT DISTINCT m.doc_node, m.node_id, m.kind AS label, m.fact_label, m.value, m.document_id, m.workspace_id FROM marked m WHERE kind IN ('DateFact', 'Amount')),
+con AS (SELECT DISTINCT f.label, f.fact_label, least(f.node_id, g.node_id) AS left_node, greatest(f.node_id, g.node_id) AS right_node FROM near n JOIN facts f ON f.doc_node = n.origin JOIN facts g ON g.doc_node = n.node_id AND g.label = f.label AND g.fact_label = f.fact_label AND g.value <> f.value),
+ce AS (SELECT DISTINCT 'CONTRADICTS' AS rel_type, left_node AS start_id, right_node AS end_id, a.workspace_id FROM con JOIN nodes a ON a.node_id = left_node JOIN nodes b ON b.node_id = right_node WHERE a.workspace_id = b.workspace_id)"""
+
+
+@query(f"WITH RECURSIVE {_ALL} SELECT rel_type, start_id, end_id, workspace_id FROM ce")
+def merge_contradiction(spark, sf):
+    """The CONTRADICTS edges of the graph: each pair once, from the smaller node."""
+    return contradicts(spark, sf)
+
+
+def merged_graph(spark, sf):
+    """Where the graph lies that is merged from three batches: the odd documents, the even ones, and every seventh anew."""
+    docs = live(spark, sf).drop("processing_status")
+    titles = S.clauses(spark, sf).select("document_id", F.explode_outer(K.amended_titles(F.col("chunk_text"))).alias("title")).where("title is not null").join(docs.select("document_id", "workspace_id"), "document_id")
+    root = f"{base_folder(spark)}/graph-{uuid.uuid4().hex[:12]}"
+    for part in (F.col("document_id") % 2 == 1, F.col("document_id") % 2 == 0, F.col("document_id") % 7 == 0):
+        KS.merge(root, docs.where(part), marked(spark, sf).where(part), titles.where(part))
+    return root
+
+
+@query(f"WITH RECURSIVE {_ALL} SELECT workspace_id, 'node' AS what, label AS kind, count(*) AS n, sum(('0x' || substr(node_id, 1, 8))::BIGINT)::BIGINT AS digest FROM nodes GROUP BY ALL UNION ALL SELECT workspace_id, 'edge', rel_type, count(*), sum(('0x' || substr(sha256(start_id || '>' || end_id), 1, 8))::BIGINT)::BIGINT FROM (SELECT rel_type, start_id, end_id, workspace_id FROM edges UNION ALL SELECT * FROM ce) GROUP BY ALL")
+def kg_merge_batches(spark, sf):
+    """The graph merged batch by batch is the one of a single build: nodes and edges of each workspace and kind, counted, with a digest of their keys."""
+    root = merged_graph(spark, sf)
+    digest = lambda c: F.sum(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"))
+    n = KS.nodes(spark, root).groupBy("workspace_id", F.lit("node").alias("what"), F.col("label").alias("kind")).agg(F.count(F.lit(1)).alias("n"), digest(F.col("node_id")).alias("digest"))
+    return n.unionByName(KS.edges(spark, root).groupBy("workspace_id", F.lit("edge").alias("what"), F.col("rel_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), digest(F.sha2(F.concat("start_id", F.lit(">"), "end_id"), 256)).alias("digest")))
+
+
 # questions to the graph: one a workspace
 
 _QUES = """ques AS (SELECT CAST(n_nationkey AS BIGINT) AS question_id, 'w' || n_nationkey AS workspace_id, CASE n_nationkey % 5 WHEN 0 THEN 'What did "Vela Corp" sign with Stone Inc on 2001-06-30?' WHEN 1 THEN 'Compare these two' WHEN 2 THEN 'Which documents speak of storage' WHEN 3 THEN CASE WHEN n_nationkey % 10 = 3 THEN 'Please summarise the terms' ELSE 'When does it expire?' END ELSE 'ADA LOVELACE owns which policy' END AS question, CASE WHEN n_nationkey % 5 = 1 THEN 'comparison' WHEN n_nationkey % 5 = 2 THEN 'cross-document' WHEN n_nationkey % 10 = 3 THEN 'summary' ELSE 'fact' END AS kind FROM nation)"""
-_GR = rf"""{_KG}, {_QUES}, resolved AS (SELECT q.question_id, l.document_id FROM ques q JOIN live l ON l.workspace_id = q.workspace_id WHERE l.processing_status = 'READY'),
+_GR = rf"""{_KG}, {_QUES}, resolved AS (SELECT question_id, document_id FROM (SELECT q.question_id, q.kind, l.document_id, row_number() OVER (PARTITION BY q.question_id ORDER BY l.document_id) AS rn FROM ques q JOIN live l ON l.workspace_id = q.workspace_id WHERE l.processing_status = 'READY') WHERE kind <> 'comparison' OR rn <= 6),
 es AS (SELECT q.question_id, n.workspace_id, n.node_id FROM ques q JOIN nodes n ON n.workspace_id = q.workspace_id AND n.normalized_name <> '' AND contains(regexp_replace(lower(trim(q.question)), '\s+', ' ', 'g'), n.normalized_name)),
 sd AS (SELECT * FROM es UNION SELECT q.question_id, q.workspace_id, sha256('Document|' || r.document_id) FROM ques q JOIN resolved r USING (question_id) WHERE q.kind IN ('comparison', 'cross-document') OR q.question_id NOT IN (SELECT question_id FROM es)),
 two AS (SELECT start_id AS x, end_id AS y, rel_type, start_id, end_id FROM edges UNION ALL SELECT end_id, start_id, rel_type, start_id, end_id FROM edges),
@@ -262,7 +311,10 @@ def graph_questions(spark, sf):
 
 
 def graph_scope(spark, sf):
-    return graph_questions(spark, sf).select("question_id", "workspace_id").join(live(spark, sf).where("processing_status = 'READY'").select("workspace_id", "document_id"), "workspace_id").select("question_id", "document_id")
+    """question_id, document_id: the READY documents of the question's workspace; of a comparison its first six, as if they were chosen."""
+    every = graph_questions(spark, sf).select("question_id", "workspace_id", "kind").join(live(spark, sf).where("processing_status = 'READY'").select("workspace_id", "document_id"), "workspace_id").select("question_id", "document_id", "kind")
+    chosen = fusion.top(every.where("kind = 'comparison'"), 6, [F.col("document_id")], ["question_id"])
+    return every.where("kind <> 'comparison'").select("question_id", "document_id").unionByName(chosen.select("question_id", "document_id"))
 
 
 def seeds(spark, sf, every):
@@ -282,8 +334,13 @@ def graph_seeds(spark, sf):
 
 
 def _met(spark, sf):
-    n = nodes(spark, sf)
-    return K.expand(seeds(spark, sf, n), edges(spark, sf), n, graph_scope(spark, sf))
+    """The edges that each question meets, written once; the graph's contradictions are there, and are refused."""
+
+    def make(s, d):
+        n = nodes(s, d)
+        return K.expand(seeds(s, d, n), edges(s, d).unionByName(contradicts(s, d)), n, graph_scope(s, d))
+
+    return stored(spark, sf, "met", make)
 
 
 @query(f"WITH {_GR} SELECT * FROM met")

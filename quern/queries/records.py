@@ -63,11 +63,11 @@ def clear_artifacts(spark, sf):
     return W.delete(S.clauses(spark, sf).select("chunk_id", "document_id"), gone)
 
 
-@query("SELECT e.vec_id, CASE WHEN n.vec_id IS NOT NULL THEN 1.5 ELSE round(CAST(e.embedding[1] AS DOUBLE), 6) END AS first FROM embeddings e LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) n ON n.vec_id = e.vec_id")
+@query("SELECT e.vec_id, CASE WHEN n.vec_id IS NOT NULL THEN list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) / 2) ELSE CAST(e.embedding AS DOUBLE[]) END AS embedding FROM embeddings e LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) n ON n.vec_id = e.vec_id")
 def update_embeddings(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    new = e.where("vec_id % 3 = 0").select("vec_id", F.array(F.lit(1.5), F.lit(0.0)).alias("embedding"))
-    return W.update(e, new, ["vec_id"]).select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"))
+    new = e.where("vec_id % 3 = 0").select("vec_id", F.transform("embedding", lambda x: x / 2).alias("embedding"))
+    return W.update(e, new, ["vec_id"]).select("vec_id", "embedding")
 
 
 @query(f"WITH {A} SELECT document_id, CASE WHEN contains(lower(text), 'revenue') THEN 'financial_report' WHEN document_id % 2 = 0 THEN 'unknown' END AS document_type, CASE WHEN contains(lower(text), 'revenue') THEN 'Overview of ' || title || '.' END AS overview FROM agreements")
@@ -119,7 +119,8 @@ def doc_assign_module(spark, sf):
     k = F.col("document_id")
     a = S.agreements(spark, sf).select("document_id", "workspace_id", "group_id", F.when(k % 3 == 1, "2").when(k % 3 == 2, "none").alias("wish"))
     modules = a.where("group_id is not null").select("workspace_id", F.col("group_id").alias("wish"), F.lit(True).alias("there")).distinct()
-    return a.join(modules, ["workspace_id", "wish"], "left").select("document_id", F.when(F.col("wish").isNull(), None).when(F.col("there"), F.col("wish")).otherwise(F.col("group_id")).alias("group_id"))
+    granted = a.join(modules, ["workspace_id", "wish"], "left").where("wish is null or there").select("document_id", F.col("wish").alias("group_id"))
+    return W.update(a.select("document_id", "group_id"), granted, ["document_id"], nulls=True)
 
 
 @query(f"WITH {A}, w AS (SELECT DISTINCT workspace_id, CAST(substr(workspace_id, 2) AS INTEGER) % 6 = 0 AS archived FROM agreements) SELECT a.document_id, w.workspace_id, CASE WHEN w.archived THEN 'ARCHIVED' ELSE 'ACTIVE' END AS workspace_status, a.deleted OR w.archived AS deleted, CASE WHEN w.archived THEN NULL ELSE a.group_id END AS group_id FROM agreements a JOIN w ON w.workspace_id = a.workspace_id")
@@ -199,10 +200,10 @@ def chunk_row_mapper(spark, sf):
     return stored.select(F.col("id").cast("long").alias("vec_id"), F.col("d").cast("long").alias("document_id"), F.round(e[0], 4).alias("first"), F.size(e).alias("n"))
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.8f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings")
 def vector_literal_codec(spark, sf):
     """The text of a vector: eight decimals in brackets."""
-    return V.table(spark, sf, "embeddings").select("vec_id", V.vector_text(F.slice("embedding", 1, 3)).alias("literal"))
+    return V.table(spark, sf, "embeddings").select("vec_id", V.vector_text(F.col("embedding")).alias("literal"))
 
 
 @query(f"WITH {C} SELECT document_id, string_agg(chunk_text, chr(10) || chr(10) ORDER BY page_number) AS content, count(*) AS n_pages FROM clauses WHERE trim(chunk_text) <> '' GROUP BY document_id")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quern.functions import similarity as S
 from quern.functions import text as T
 from quern.operators import fusion
+from quern.operators import textindex as TI
 from quern.plans import hybrid
 from quern.registry import CHUNKS, DOCS, query
 from quern.sources import views as V
@@ -72,11 +73,23 @@ def rerank_overlap(spark, sf):
     return s.orderBy(F.desc("score"), "document_id", "pos").limit(30).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {CHUNKS}, {_ONE}, s AS (SELECT document_id, pos, {_TG.format("chunk_text")} AS a, {_TG.format("question")} AS b FROM chunks, one), t AS (SELECT document_id, pos, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS similarity FROM s) SELECT document_id, pos, round(similarity, 6) AS similarity FROM t WHERE similarity > 0.3 ORDER BY t.similarity DESC, document_id, pos LIMIT 20""")
+#: Every benchmark item against every sentence; only sizes that allow the similarity are compared.
+_ALIKE = f"""ca AS (SELECT document_id, pos, {_TG.format("chunk_text")} AS a FROM chunks), ib AS (SELECT item_id, {_TG.format("text")} AS b FROM benchmark), near AS (SELECT *, len(list_intersect(a, b)) AS o FROM ca JOIN ib ON len(a) > 0 AND len(a) >= 0.3 * len(b) AND len(b) >= 0.3 * len(a)),
+t AS (SELECT item_id, document_id, pos, o / (len(a) + len(b) - o) AS similarity FROM near WHERE o / (len(a) + len(b) - o) > 0.3)"""
+
+
+def alike(spark, sf):
+    """item_id, document_id, pos, similarity above 0.3 of every benchmark item with every sentence."""
+    items = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+    key = ["document_id", "pos"]
+    sentences = V.chunks(spark, sf).select(*key, "chunk_text")
+    return TI.similar(items, TI.gram_postings(sentences, key), sentences, key).select(F.col("question_id").alias("item_id"), *key, F.col("score").alias("similarity"))
+
+
+@query(f"""WITH {CHUNKS}, {_ALIKE}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, document_id, pos) AS rank FROM t) SELECT item_id, document_id, pos, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 20""")
 def trigram_search(spark, sf):
-    q = _question(spark, sf).select(S.trigrams(F.col("question")).alias("b"))
-    s = V.chunks(spark, sf).select("document_id", "pos", S.trigrams(F.col("chunk_text")).alias("a")).join(F.broadcast(q)).select("document_id", "pos", S.set_similarity(F.col("a"), F.col("b")).alias("similarity"))
-    return s.where("similarity > 0.3").orderBy(F.desc("similarity"), "document_id", "pos").limit(20).withColumn("similarity", F.round("similarity", 6))
+    """For every benchmark item the twenty sentences that are most similar by trigrams, above 0.3."""
+    return fusion.top(alike(spark, sf), 20, [F.desc("similarity"), F.col("document_id"), F.col("pos")], ["item_id"]).select("item_id", "document_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"""WITH {CHUNKS}, t AS (SELECT document_id, pos, regexp_extract_all(lower(chunk_text), '[0-9a-z]+') AS ws FROM chunks) SELECT document_id, pos, len(ws) AS n FROM t WHERE list_contains(ws, 'the') AND list_contains(ws, 'and')""")

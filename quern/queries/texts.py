@@ -72,7 +72,7 @@ def identifier_routing(spark, sf):
     return terms.select("term", is_id.alias("identifier"), F.when(is_id, "trigram").otherwise("keyword").alias("route"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(list_concat(list_transform(regexp_extract_all(text, '"([^"]+)"', 1), lambda x: trim(x)), list_filter(regexp_extract_all(text, '\b[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b'), lambda x: regexp_matches(x, '[0-9]')), regexp_extract_all(text, '(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')))) AS n_terms FROM documents""")
+@query(r"""SELECT doc_id, len(list_distinct(list_concat(list_transform(regexp_extract_all(text, '"([^"]+)"', 1), lambda x: trim(x)), list_filter(regexp_extract_all(text, '\b[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+\b'), lambda x: regexp_matches(x, '[0-9]')), regexp_extract_all(text, '(?i)(?:[$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:USD|EUR|INR)\b)'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')))) AS n_terms FROM documents""")
 def verbatim_terms(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.size(T.verbatim_terms(F.col("text"))).alias("n_terms"))
 
@@ -174,13 +174,18 @@ def extractive_qa(spark, sf):
     return best.select("document_id", (-F.col("b.p")).alias("pos"), F.col("b.chunk_text").alias("answer"), F.col("b.overlap").alias("overlap"), F.round(F.least(F.lit(0.96), 0.75 + 0.08 * F.col("b.overlap")), 6).alias("confidence"))
 
 
+#: SQL of T.bare_words; there is no lookaround, so the text's runs of letters, digits and underscores are taken, and of them those in a-z and digits.
+_BARE = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[0-9a-z]+'))"
+
+
 @query(f"""WITH {CHUNKS}, c AS (SELECT b.item_id, b.text AS passage, s.pos, s.chunk_text FROM benchmark b JOIN chunks s ON s.document_id = b.item_id),
-w AS (SELECT *, list_filter(regexp_extract_all(lower(chunk_text), '[0-9a-z]+'), lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, regexp_extract_all(lower(passage), '[0-9a-z]+') AS pw FROM c)
+w AS (SELECT *, list_filter({_BARE.format("chunk_text")}, lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, {_BARE.format("passage")} AS pw FROM c)
 SELECT item_id, pos, contains(lower(passage), trim(lower(chunk_text))) OR (len(cw) > 0 AND len(list_filter(cw, lambda x: list_contains(pw, x))) >= 0.25 * len(cw)) AS supported FROM w""")
 def claim_text_support(spark, sf):
     """Whether each sentence of a document is supported by the benchmark passage of the same number."""
-    c = V.chunks(spark, sf).join(V.table(spark, sf, "benchmark").select(F.col("item_id").alias("document_id"), F.col("text").alias("passage")), "document_id")
-    return c.select(F.col("document_id").alias("item_id"), "pos", T.text_support(F.col("chunk_text"), F.col("passage")).alias("supported"))
+    passages = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("document_id"), F.col("text").alias("passage"), T.bare_words(F.col("text")).alias("tokens"))
+    sentences = V.chunks(spark, sf).select("document_id", "pos", "chunk_text", T.claim_words(F.col("chunk_text")).alias("words"))
+    return sentences.join(passages, "document_id").select(F.col("document_id").alias("item_id"), "pos", T.text_support(F.col("chunk_text"), F.col("words"), F.col("passage"), F.col("tokens")).alias("supported"))
 
 
 @query(f"WITH {LINES} SELECT document_id, string_agg(line, chr(10) ORDER BY pos) AS clean FROM lines WHERE line <> '' AND NOT regexp_matches(lower(line), '^(page|slide)?\\s*\\d{{1,4}}$') AND NOT contains(line, '@') AND NOT regexp_matches(lower(line), 'https?://|www\\.') AND NOT (regexp_matches(line, '^[+()\\-\\s\\d.]+$') AND length(regexp_replace(line, '\\D', '', 'g')) BETWEEN 8 AND 15) GROUP BY document_id")

@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 
 
 def base_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one where it is unset and there is one machine."""
-    found, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
-    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", master):
-        raise ValueError(f"spark.checkpoint.dir isn't set: the executors of {master} need a folder that they share")
-    return (found or "file://" + tempfile.mkdtemp(prefix="quern-stream-")).rstrip("/")
+    """The shared folder of the cluster, as spark.checkpoint.dir or the context has it; one local folder for the session where neither is set and there is one machine."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            found = current.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir isn't set: the executors of {sc.master} need a folder that they share")
+        else:
+            found = "file://" + tempfile.mkdtemp(prefix="quern-")
+            sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def status(events: DataFrame) -> DataFrame:
