@@ -51,9 +51,9 @@ def verify_package(spark, sf):
 
 
 @query(f"""{_PLAN}, u AS (SELECT DISTINCT question_id, cited AS chunk_id FROM ver WHERE is_supported AND cited IS NOT NULL),
-ct AS (SELECT u.question_id, string_agg(u.chunk_id || '@' || page_number || ' ' || title || ': ' || substr(passage, 1, 200), '|' ORDER BY page_number, u.chunk_id) AS citations FROM u JOIN psg p ON p.question_id = u.question_id AND p.chunk_id = u.chunk_id GROUP BY 1)
+cits AS (SELECT u.question_id, string_agg(u.chunk_id || '@' || page_number || ' ' || title || ': ' || substr(passage, 1, 200), '|' ORDER BY page_number, u.chunk_id) AS citations FROM u JOIN psg p ON p.question_id = u.question_id AND p.chunk_id = u.chunk_id GROUP BY 1)
 SELECT s.question_id, CASE WHEN coalesce(is_not_found, true) THEN 'No supporting evidence was found.' ELSE answer END AS answer, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, round(coalesce(confidence, 0), 2) AS confidence, coalesce(is_not_found, true) AS is_not_found, coalesce(citations, '') AS citations
-FROM sq s LEFT JOIN ans USING (question_id) LEFT JOIN ct USING (question_id)""")
+FROM sq s LEFT JOIN ans USING (question_id) LEFT JOIN cits USING (question_id)""")
 def answer_package(spark, sf):
     """The answer to every question: what is left of its claims, its confidence, and the passages that it rests on."""
     a = AP.answered(EQ.questions(spark, sf), passages(spark, sf), verified(spark, sf))

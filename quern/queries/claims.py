@@ -22,8 +22,8 @@ _DR = f"drafts AS (SELECT document_id AS question_id, {_TEXT.replace('AS STRING'
 #: From drafts(question_id, draft) to claims(question_id, pos, claim, cited).
 PARSE = r"""moved AS (SELECT question_id, regexp_replace(trim(draft), '\.\s*\[chunk:(\d+)\]', ' [chunk:\1].', 'g') AS m FROM drafts WHERE trim(draft) <> '' AND NOT contains(lower(draft), 'no supporting evidence found')),
 sent AS (SELECT question_id, list_filter(list_filter(list_transform(string_split(regexp_replace(m, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: NOT starts_with(x, '[chunk:')) AS s FROM moved),
-one AS (SELECT question_id, unnest(range(len(s))) AS pos, unnest(s) AS t FROM sent),
-claims AS (SELECT question_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(t, '\[chunk:\d+\]', '', 'g'), '\s+', ' ', 'g')) AS claim, TRY_CAST(nullif(regexp_extract(t, '\[chunk:(\d+)\]', 1), '') AS BIGINT) AS cited FROM one)"""
+said AS (SELECT question_id, unnest(range(len(s))) AS pos, unnest(s) AS t FROM sent),
+claims AS (SELECT question_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(t, '\[chunk:\d+\]', '', 'g'), '\s+', ' ', 'g')) AS claim, TRY_CAST(nullif(regexp_extract(t, '\[chunk:(\d+)\]', 1), '') AS BIGINT) AS cited FROM said)"""
 #: From claims, ev(question_id, chunk_id, place, passage) and con(question_id, label, lv, rv) to ver.
 JUDGE = f"""k AS (SELECT c.*, e.chunk_id IS NOT NULL AS known FROM claims c LEFT JOIN ev e ON e.question_id = c.question_id AND e.chunk_id = c.cited),
 w AS (SELECT k.*, e.chunk_id, e.place, lower(trim(k.claim)) AS lc, lower(e.passage) AS lp, list_filter({_BARE.format('k.claim')}, lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x) AND length(x) > 2) AS cw, {_BARE.format('e.passage')} AS pw FROM k JOIN ev e ON e.question_id = k.question_id AND (NOT k.known OR k.cited = e.chunk_id)),
