@@ -12,8 +12,9 @@ count over all documents. So:
    places where the window can't fit; the words are then compared in full.
 
 The benchmark's distinct shingles are broadcast only up to BROADCAST_ROWS of
-them (8 bytes each); beyond it Spark joins by a shuffle. Copies of a shingle's
-text never meet each other: every join is from places to the benchmark.
+them (8 bytes each); beyond it places and shingles meet by a shuffle, without
+the words, which join the places that are wanted. Copies of a shingle's text
+never meet each other: every join is from places to the benchmark.
 
 Defined results: a null or empty text, and one without words, has n_words 0 and
 no hits. Rows with the same doc_id, or none, are judged one by one. Items
@@ -54,13 +55,22 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", "all", F.explode_outer(F.sequence(F.lit(0), n)).alias("w")).select("item_id", "w", F.slice("all", F.col("w") + 1, window).alias("words"))
 
 
+def context_of(window: int, gram: int, n: int) -> list[Column]:
+    """before and context of a row with words and pos: the words around a shingle of n words, enough for any window over it."""
+    most = window - gram if n == gram else 0
+    before = F.least(F.col("pos"), F.lit(most))
+    return [before.alias("before"), F.slice("words", F.greatest(F.col("pos") - before + 1, F.lit(1)), before + n + most).alias("context")]
+
+
 def places_of(docs: DataFrame, grams: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
     """For each row of docs one row with pos null, and one for each place of a wanted shingle: rid, doc_id, n_words, len, gram, pos, before (words of the context ahead of the place), context."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    few = grams.count() <= BROADCAST_ROWS
+    if lengths and not few:
+        return shuffled_places(written(base, "words"), grams, lengths, window, gram)
     hashed = base.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     wanted = [grams.where(F.col("len") == n).select(F.col("gram").alias("wanted")) for n in lengths]
-    few = grams.count() <= BROADCAST_ROWS
-    out = hashed.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("before"), F.lit(None).cast("array<string>").alias("context")) if not lengths else None
+    out = rows_of(hashed) if not lengths else None
     for k, n in enumerate(lengths):
         # the first length also carries the row of the document itself, as an added element at -1
         marks = F.concat(F.array(F.lit(0).cast("long")), grams_of(F.col("h"), n)) if k == 0 else grams_of(F.col("h"), n)
@@ -69,21 +79,33 @@ def places_of(docs: DataFrame, grams: DataFrame, lengths: list[int], window: int
         spread = hashed.withColumn("marks", marks).select("rid", "doc_id", "words", F.posexplode_outer("marks").alias("pos", "gram"))
         if k == 0:
             spread = spread.withColumn("pos", F.col("pos") - 1)
-        right = F.broadcast(wanted[k]) if few else wanted[k]
-        found = spread.join(right, (F.col("gram") == F.col("wanted")) & (F.col("pos") >= 0), "left" if k == 0 else "inner")
+        found = spread.join(F.broadcast(wanted[k]), (F.col("gram") == F.col("wanted")) & (F.col("pos") >= 0), "left" if k == 0 else "inner")
         found = found.where((F.col("pos") < 0) | F.col("wanted").isNotNull())
-        most = F.lit(window - gram if n == gram else 0)
-        before = F.least(F.col("pos"), most)
-        found = found.select(
-            "rid", "doc_id", F.size("words").cast("long").alias("n_words"),
-            F.when(F.col("pos") >= 0, F.lit(n)).alias("len"), F.when(F.col("pos") >= 0, F.col("gram")).alias("gram"), F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"),
-            F.when(F.col("pos") >= 0, before).alias("before"),
-            F.when(F.col("pos") >= 0, F.slice("words", F.greatest(F.col("pos") - before + 1, F.lit(1)), before + n + most)).alias("context"),
-        )
+        there = lambda c, name: F.when(F.col("pos") >= 0, c).alias(name)
+        before, context = context_of(window, gram, n)
+        found = found.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), there(F.lit(n), "len"), there(F.col("gram"), "gram"), there(F.col("pos"), "pos"), there(before, "before"), there(context, "context"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def rows_of(base: DataFrame) -> DataFrame:
+    """The row of each document, without a place."""
+    none = {"len": "int", "gram": "long", "pos": "int", "before": "int", "context": "array<string>"}
+    return base.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), *(F.lit(None).cast(kind).alias(c) for c, kind in none.items()))
+
+
+def shuffled_places(base: DataFrame, grams: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """The same for a benchmark of any size, from a written base(rid, doc_id, words): only (rid, pos, gram) meets the benchmark by a shuffle; what is wanted then joins its words, once."""
+    hashed = base.select("rid", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    out = rows_of(base)
+    for n in lengths:
+        spread = hashed.withColumn("marks", grams_of(F.col("h"), n)).select("rid", F.posexplode_outer("marks").alias("pos", "gram")).where("gram is not null")
+        wanted = grams.where(F.col("len") == n).select("gram")
+        found = spread.join(wanted, "gram", "left_semi").join(base, "rid")
+        out = out.unionByName(found.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.lit(n).alias("len"), "gram", "pos", *context_of(window, gram, n)))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """A row for each row of docs(doc_id, text): rid (a number for the row), doc_id, n_words, n_hit, items (sorted strings)."""
     windows = written(windows_of(benchmark, window), "windows")
