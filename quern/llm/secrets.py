@@ -13,8 +13,8 @@ base spans, whose value looks live.
 A span's place is the length of all pieces and matches before it, a running sum
 over the matches of one row. Defined results: a null or empty text has no spans
 and the checksum of the empty string. Rows with the same doc_id, or none, are
-judged one by one, and count as one repository; a null source counts as no
-owner. Further columns are ignored.
+judged one by one, and count as one repository of their source; a null source counts
+as no owner. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def spans_of(found: DataFrame) -> DataFrame:
 def ownership(spans: DataFrame) -> DataFrame:
     """hash, repositories, owners of every candidate value: distinct ones, counted owner by owner before the owners meet."""
     hashed = spans.select(F.sha2("value", 256).alias("hash"), "source", "doc_id")
-    held = hashed.distinct().groupBy("hash", "source").agg(F.count("doc_id").alias("n"))
+    held = hashed.distinct().groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"))
     return held.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("source").alias("owners"))
 
 

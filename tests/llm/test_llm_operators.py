@@ -62,7 +62,9 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 low = lambda t: (t or "").encode().lower().decode()
 
 
-def test_decontamination(spark, docs, rows):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, rows, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     items = [(1, rows[0][1] or "x y"), (2, PARAGRAPH), (3, "One"), (4, "two WORDS"), (5, "no such words are anywhere in here at all today"), (6, ""), (7, None), (None, PARAGRAPH), (2, "one"), (8, PARAGRAPH[20:])]
     bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, words string")
     windows = collections.defaultdict(set)
@@ -318,6 +320,9 @@ def test_secrets_by_repositories_and_owners(spark):
     assert kept() == [0, 1, 1, 2, *range(20, 32)]  # one owner's values
     assert kept(copied=10) == [0, 1, 1, 2]  # what one owner has in many repositories is a template
     assert kept(shared=5, copied=10) == [0, 1, 1, 2, 10, 11, 12, 13]
+    lost = spark.createDataFrame([(None, f"x {live} y", "own1")] * 5 + [(None, f"x {live} y", "own2"), (1, f"x {live} y", "own1"), (2, f"x {example} y", None)], "doc_id long, text string, source string")
+    held = {r.hash: (r.repositories, r.owners) for r in secrets.ownership(secrets.spans_of(secrets.found_in(lost))).collect()}
+    assert held == {hashlib.sha256(v.encode()).hexdigest(): n for v, n in ((live, (3, 2)), (example, (1, 0)))}  # rows without an id are one repository of their source
 
 
 def test_repeats(docs, rows, spark):
