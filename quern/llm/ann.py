@@ -15,9 +15,10 @@ precision. Where fewer than k rows lie within r, r grows until k do.
 Rotations and r are learned on a bounded sample (SAMPLE distinct vectors, the
 first by a hash); r is the CAUGHT quantile of the distances between codes of
 sampled nearest neighbours. Every row is indexed. Rows are dealt by a hash over
-shards of about SHARD rows, queries over blocks of about BLOCK; each cell of
-shards and blocks is searched by itself and keeps k rows for each query, so that
-copies of one vector never meet in one place.
+shards of about SHARD rows, so that copies of one vector never meet in one place;
+each is sent and indexed once. Queries are written once to the shared folder,
+in batches of BLOCK; a shard's task reads them batch by batch and keeps k rows for
+each query. Their lists are then merged.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part. Equal scores go to the smaller
@@ -27,6 +28,7 @@ query aren't its neighbours; otherwise equal rows are each a candidate.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import written
+from quern.llm.common import open_in, open_out, scratch, written
 
 K, ROTATIONS, BITS = 20, 4, 8
 SAMPLE, ITERATIONS, CAUGHT = 8_192, 25, 0.97
 SHARD, BLOCK = 16_384, 2_048
+#: Rows of a shard at least, where there are fewer shards than cores.
+LEAST = 2_048
 WEIGHT = np.array([bin(v).count("1") for v in range(1 << BITS)], np.uint8)
 
 
@@ -114,10 +118,9 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide(a)[:, None, :] ^ wide(b)[None, :, :]).sum(2, dtype=np.int32)
 
 
-def search(queries: tuple, rows: tuple, model: tuple, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of a cell its id, the ids of the k best rows found, and their scores."""
-    (q_ids, q), (ids, x), (rotations, radius, longest) = queries, rows, model
-    index = Index(codes(directions(x, longest), rotations))
+def search(index: Index, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, model: tuple, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its id, the ids of the k best rows found in a shard (ids, x), and their scores."""
+    rotations, radius, _ = model
     unit = np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
     q_codes = codes(unit, rotations)
     for at in range(0, len(q), 256):
@@ -153,29 +156,59 @@ def fit(rows: DataFrame) -> tuple:
     return rotations, int(np.quantile(far, CAUGHT)), longest
 
 
+def columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors."""
+    t = pa.Table.from_batches([t]) if isinstance(t, pa.RecordBatch) else t
+    return t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+
+def query_files(queries: DataFrame, folder: str) -> list[str]:
+    """Files in the shared folder that hold the queries, in batches of BLOCK: one for each task at most."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, out, sink = f"{folder}/queries/{uuid.uuid4().hex}", None, None  # a name for each attempt; the written rows name the files that count
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                if out is None:
+                    sink = open_out(path)
+                    out = pa.ipc.new_file(sink, batch.schema)
+                out.write_batch(batch.slice(at, BLOCK))
+        if out is not None:
+            out.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    return [r.path for r in written(queries.select("vec_id", "v").mapInArrow(write, "path string"), "queries", folder).collect()]
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row of vectors(vec_id, embedding) that is_query holds for."""
     spark = vectors.sparkSession
+    folder = scratch(spark, "ann")
     rows = usable(vectors)
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if not length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = written(rows.where(F.size("v") == length.d), "vectors")
-    queries = rows.where(is_query)
-    n, m = rows.count(), queries.count()
-    model = spark.sparkContext.broadcast(fit(rows))
-    shards, per = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    place = lambda count, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(count)).cast("int")
+    rows = written(rows.where(F.size("v") == length.d), "vectors", folder)
+    n = rows.count()
+    files = query_files(rows.where(is_query), folder)
+    model = spark.sparkContext.broadcast((fit(rows), files))
+    # small inputs still use all cores
+    shards = max(1, -(-n // SHARD), min(spark.sparkContext.defaultParallelism, n // LEAST))
     spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    left = rows.withColumn("shard", spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    right = queries.withColumn("block", place(per, 1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def cell(_key: tuple, some: pa.Table, asked: pa.Table) -> pa.Table:
-        take = lambda t: (t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1))
-        out = [(q, i, s) for q, ids, scores in search(take(asked), take(some), model.value, k) for i, s in zip(ids, scores, strict=True)] if len(some) and len(asked) else []
-        q, i, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = left.select("shard", "block", "vec_id", "v").groupBy("shard", "block").cogroup(right.select("shard", "block", "vec_id", "v").groupBy("shard", "block")).applyInArrow(cell, "query_id long, vec_id long, score double")
+    def shard(_key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, paths = model.value
+        ids, x = columns(pa.Table.from_batches(batches))
+        index = Index(codes(directions(x, learned[2]), learned[0]))
+        for path in paths:
+            with open_in(path) as source:
+                reader = pa.ipc.open_file(source)
+                for at in range(reader.num_record_batches):
+                    found = list(search(index, ids, x, *columns(reader.get_batch(at)), learned, k))
+                    sizes = [len(i) for _, i, _ in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, *_ in found], sizes), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([s for *_, s in found]), pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = rows.select(spread.alias("shard"), "vec_id", "v").groupBy("shard").applyInArrow(shard, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
