@@ -17,8 +17,8 @@ vocabulary share D1 * V / N. A text begins after an end token. D = n1 / (n1 + 2
 of a shard's pairs, D1 the same of the words.
 
 Counts cover all training documents; pairs are counted task by task and shipped as
-sorted, compressed arrays. A context has at most V children, so no shard is ruled by
-a frequent pair. Defined results: a null text is empty and has the end token alone.
+sorted, compressed arrays, which a shard adds up as they come: it holds its distinct
+pairs, of which a context has at most V, twice at most. Defined results: a null text is empty and has the end token alone.
 A null doc_id counts as '' (training). Without training documents every token has
 probability 1. Rows are scored one by one. Further columns are ignored.
 """
@@ -322,20 +322,29 @@ def _hash(word: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def added_up(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
 def write_pairs(counted: DataFrame, kinds: int, shards: int, folder: str) -> list[str]:
     """The second level, a file for each shard, in order of the shards; '' for a shard without pairs."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [], []
+        keys, n, size, most = [], [], 0, HELD_PAIRS
         for b in batches:
             for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
                 keys.append(np.cumsum(unsqueeze(k.as_py(), np.int64)))
                 n.append(unsqueeze(c.as_py(), np.uint32))
-        keys, n = np.concatenate(keys), np.concatenate(n)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, n = keys[first], np.add.reduceat(n, first)
+                if (size := size + len(keys[-1])) > most:  # the pairs of a frequent context come from every task: what is held is the distinct ones, twice at most
+                    keys, n = ([x] for x in added_up(keys, n))
+                    size = len(keys[0])
+                    most = max(HELD_PAIRS, 2 * size)
+        keys, n = added_up(keys, n)
         context, word = keys >> 32, keys & 0xFFFFFFFF
         starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
         total, size = np.add.reduceat(n, starts), np.diff(np.r_[starts, len(keys)])
