@@ -91,12 +91,17 @@ def preserve_terms(query: Column, terms: Column) -> Column:
 
 
 def field(name: str, value: Column, confidence: float, category: str = "universal") -> Column:
-    return F.when(F.trim(value) != "", F.struct(F.lit(name).alias("field_name"), F.lit(category).alias("field_category"), value.alias("field_value"), F.lit(confidence).alias("confidence")))
+    return F.struct(F.lit(name).alias("field_name"), F.lit(category).alias("field_category"), value.alias("field_value"), F.lit(confidence).alias("confidence"))
+
+
+def with_values(fields: Column) -> Column:
+    """The fields that have a value: filtered when they are made, so each rule runs once."""
+    return F.filter(fields, lambda f: F.trim(f["field_value"]) != "")
 
 
 def parties(text: Column) -> Column:
     companies = F.array_distinct(T.extract_all(text, COMPANY, 1))
-    return F.coalesce(F.trim(first(text, PARTIES)), F.when(F.size(companies) > 0, F.array_join(companies, ", ")))
+    return F.coalesce(F.trim(first(text, PARTIES)), F.nullif(F.array_join(companies, ", "), F.lit("")))
 
 
 def effective_date(text: Column) -> Column:
@@ -137,7 +142,7 @@ def universal_fields(text: Column) -> Column:
     c = UNIVERSAL
     single = [("Title", first_line(text)), ("Parties", parties(text)), ("Effective Date", effective_date(text)), ("Reference Numbers", reference(text)), ("Topics", topics_line(text))]
     found = F.concat(F.array(*(field(n, v, c[n]) for n, v in single)), F.transform(amounts(text), lambda a: field("Amounts", a, c["Amounts"])))
-    return F.filter(found, lambda f: f.isNotNull())
+    return with_values(found)
 
 
 def type_fields(text: Column, kind: Column) -> Column:
@@ -152,7 +157,7 @@ def type_fields(text: Column, kind: Column) -> Column:
     out = F.when(kind == "contract", F.array(*contract))
     for name, rules in BY_TYPE.items():
         out = out.when(kind == name, F.array(*(field(n, (amount_after if money else after_label)(text, label), c, f"{name}_specific") for n, c, label, money in rules)))
-    return F.filter(F.coalesce(out, F.array(field("", F.lit(""), 0.0))), lambda f: f.isNotNull())
+    return with_values(F.coalesce(out, F.array(field("", F.lit(""), 0.0))))
 
 
 # lines and blocks

@@ -6,6 +6,9 @@ heading and the first of the other headings that begin on that page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +61,32 @@ def pieces(paragraph: Column, most: int = TOKEN_MAX) -> Column:
 def chunks(parts: DataFrame, most: int = TOKEN_MAX) -> DataFrame:
     """document_id, section_id, chunk, page_number, chunk_text, token_count: a section's pieces packed in order; a chunk's page is its first piece's.
 
-    A section's paragraphs are folded in order in one aggregate, so a chunk's start depends on all before it.
+    Whether a piece starts a chunk depends on all before it in its section: they stream in order, and only the chunk that grows is held.
     """
-    rows = parts.select("document_id", "section_id", "page_number", "at", F.posexplode_outer(pieces(F.col("paragraph"), most)).alias("k", "piece")).where("piece is not null").withColumn("n", T.count_tokens(F.col("piece")))
-    ordered = rows.groupBy("document_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "at", "k", "piece", "n"))).alias("ps"))
-    item = "array<struct<page:int,text:string>>"
-    start = F.struct(F.array().cast(item).alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("page"), F.lit(0).alias("size"))
-    done = lambda a: F.array_append(a["out"], F.struct(a["page"].alias("page"), F.array_join(a["held"], " ").alias("text")))
-    empty = F.array().cast("array<string>")
-
-    def step(a: Column, p: Column) -> Column:
-        over = (F.size(a["held"]) > 0) & (a["size"] + p["n"] > most)
-        out, held, size = F.when(over, done(a)).otherwise(a["out"]), F.when(over, empty).otherwise(a["held"]), F.when(over, 0).otherwise(a["size"])
-        page = F.when(F.size(held) == 0, p["page_number"].cast("int")).otherwise(a["page"])
-        return F.struct(out.alias("out"), F.array_append(held, p["piece"]).alias("held"), page.alias("page"), (size + p["n"]).alias("size"))
-
-    folded = F.aggregate("ps", start, step, lambda a: F.when(F.size(a["held"]) > 0, done(a)).otherwise(a["out"]))
-    out = ordered.select("document_id", "section_id", F.posexplode(folded).alias("chunk", "c"))
-    return out.select("document_id", "section_id", "chunk", F.col("c.page").alias("page_number"), F.trim("c.text").alias("chunk_text"), T.count_tokens(F.col("c.text")).alias("token_count"))
+    names = ["document_id", "section_id", "chunk", "page_number", "chunk_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, page, held, size = None, 0, 0, [], 0
+        for batch in batches:
+            out: list[tuple] = []
+            for d, s, p, text, n in zip(*(batch.column(c).to_pylist() for c in ("document_id", "section_id", "page_number", "piece", "n")), strict=True):
+                if held and (key != (d, s) or size + n > most):
+                    out.append((*key, number, page, " ".join(held)))
+                    number, held, size = number + 1, [], 0
+                if key != (d, s):
+                    key, number = (d, s), 0
+                page = page if held else p
+                held.append(text)
+                size += n
+            yield table(out)
+        if held:
+            yield table([(*key, number, page, " ".join(held))])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names)
+
+    rows = parts.select(F.col("document_id").cast("long").alias("document_id"), F.col("section_id").cast("long").alias("section_id"), F.col("page_number").cast("int").alias("page_number"), "at", F.posexplode_outer(pieces(F.col("paragraph"), most)).alias("k", "piece")).where("piece is not null").withColumn("n", T.count_tokens(F.col("piece")))
+    ordered = rows.repartition("document_id", "section_id").sortWithinPartitions("document_id", "section_id", "page_number", "at", "k")
+    out = ordered.mapInArrow(run, "document_id long, section_id long, chunk int, page_number int, chunk_text string")
+    return out.select("document_id", "section_id", "chunk", "page_number", F.trim("chunk_text").alias("chunk_text"), T.count_tokens(F.col("chunk_text")).alias("token_count"))

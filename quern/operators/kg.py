@@ -69,10 +69,14 @@ def key_of(c: str = "kind") -> Column:
     return F.when(F.col(c).isin(NAMED), F.concat_ws("|", c, "workspace_id", normalized(F.col("name")))).when(F.col(c) == "DateFact", F.concat_ws("|", F.col(c), "workspace_id", doc, "fact_label", "value")).otherwise(F.concat_ws("|", F.col(c), "workspace_id", doc, "fact_label", "value", "currency"))
 
 
+def is_valid() -> Column:
+    """Whether a candidate can be written: a known kind, a name, a workspace."""
+    return F.col("kind").isin(NAMED + FACTS) & (F.trim("name") != "") & F.col("workspace_id").isNotNull()
+
+
 def with_ids(candidates: DataFrame) -> DataFrame:
     """candidates that are valid (a known kind, a name, a workspace) with node_id and doc_node."""
-    good = candidates.where(F.col("kind").isin(NAMED + FACTS) & (F.trim("name") != "") & F.col("workspace_id").isNotNull())
-    return good.withColumns({"node_id": F.sha2(key_of(), 256), "doc_node": document_node(F.col("document_id"))})
+    return candidates.where(is_valid()).withColumns({"node_id": F.sha2(key_of(), 256), "doc_node": document_node(F.col("document_id"))})
 
 
 def document_node(document_id: Column) -> Column:
@@ -204,6 +208,8 @@ def related(seeds: DataFrame, amends: DataFrame, hops: int = 5) -> DataFrame:
     frontier = seen
     for _ in range(hops):
         frontier = cut(frontier.join(both, F.col("node_id") == F.col("x")).select("origin", F.col("y").alias("node_id")).distinct().join(seen, ["origin", "node_id"], "left_anti"), "frontier")
+        if not frontier.limit(1).count():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import rules as R
 from quern.functions import text as T
 
+# Fixed value: characters of a slide's title.
+LONGEST_TITLE = 100
+
 
 def headings(lines: DataFrame) -> DataFrame:
     line = F.col("line")
@@ -94,3 +98,14 @@ def heading_scores(lines: DataFrame) -> DataFrame:
     scored = lines.withColumn("around", blank(F.lag("line").over(w)) + blank(F.lead("line").over(w))).where("line <> ''")
     score = F.col("around") + F.when(share >= 0.8, 3).when(share >= 0.5, 2).otherwise(0) + F.when(F.size(T.extract_all(line, r"\S+")) <= 6, 2).otherwise(0) + F.when(line.contains("?"), 2).otherwise(0)
     return scored.select("document_id", "pos", score.cast("int").alias("score"))
+
+
+def slide_titles(blocks: DataFrame) -> DataFrame:
+    """document_id, page_number, title of blocks(document_id, page_number, block_id, kind, y, font_size, text): a slide's placeholder; else its largest text that is neither noise nor a sentence, unless that is long; else the topmost of those that aren't; null where there is none."""
+    t, at = F.col("text"), F.struct(F.coalesce("y", F.lit(0.0)), "block_id")
+    fits = ~R.is_noise_page(t) & ~R.is_sentence_page(t)
+    size = F.struct(-F.coalesce("font_size", F.lit(12.0)), at)
+    best = lambda c, order, name: F.min_by(F.when(c, t), F.when(c, order)).alias(name)
+    short = F.length(t) <= LONGEST_TITLE
+    found = blocks.where(F.trim(t) != "").groupBy("document_id", "page_number").agg(best(F.col("kind") == "SLIDE_TITLE", at, "holder"), best(fits, size, "largest"), best(fits & short, at, "topmost"))
+    return found.select("document_id", "page_number", F.coalesce("holder", F.when(F.length("largest") <= LONGEST_TITLE, F.col("largest")), "topmost").alias("title"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern import registry
-from quern.queries import answers, catalog, graph, records, retrieval, texts, lookups, fields, kg, claims, evidence, chunking, answer_plan  # noqa: F401  they register their queries
+from quern.queries import answers, catalog, graph, records, retrieval, texts, lookups, fields, kg, claims, evidence, chunking, answer_plan, evaluation  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import rules as R
 from quern.functions import text as T
-from quern.operators import extraction
+from quern.operators import extraction, layout
 from quern.registry import LINES, query
 from quern.sources import store as S
 from quern.sources import views as V
@@ -309,14 +309,10 @@ def pdf_blocks(spark, sf):
     return b.where("prev IS NULL OR prev <> text").select("document_id", "block_id", "text")
 
 
-@query(f"WITH {B}, c AS (SELECT *, kind = 'SLIDE_TITLE' AS holder FROM blocks WHERE trim(text) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY CASE WHEN holder THEN 0 WHEN NOT {_PNOISE} AND NOT {_PSENT} AND length(text) <= 100 THEN 1 ELSE 2 END, CASE WHEN holder OR {_PNOISE} OR {_PSENT} OR length(text) > 100 THEN 0 ELSE -coalesce(font_size, 12) END, coalesce(y, 0), block_id) AS rn FROM c) SELECT document_id, page_number, text AS title FROM r WHERE rn = 1")
+@query(f"WITH {B}, c AS (SELECT *, kind = 'SLIDE_TITLE' AS holder, NOT {_PNOISE} AND NOT {_PSENT} AS fits FROM blocks WHERE trim(text) <> ''), h AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(y, 0), block_id) AS rn FROM c WHERE holder), l AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(font_size, 12) DESC, coalesce(y, 0), block_id) AS rn FROM c WHERE fits), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(y, 0), block_id) AS rn FROM c WHERE fits AND length(text) <= 100), p AS (SELECT DISTINCT document_id, page_number FROM c) SELECT p.document_id, p.page_number, coalesce(h.text, CASE WHEN length(l.text) <= 100 THEN l.text END, o.text) AS title FROM p LEFT JOIN h ON h.document_id = p.document_id AND h.page_number = p.page_number AND h.rn = 1 LEFT JOIN l ON l.document_id = p.document_id AND l.page_number = p.page_number AND l.rn = 1 LEFT JOIN o ON o.document_id = p.document_id AND o.page_number = p.page_number AND o.rn = 1")
 def pptx_titles(spark, sf):
-    """A slide's title: its placeholder, else the largest text that is neither noise nor a sentence, else the topmost."""
-    t = F.col("text")
-    holder = F.col("kind") == "SLIDE_TITLE"
-    fit = ~R.is_noise_page(t) & ~R.is_sentence_page(t) & (F.length(t) <= 100)
-    order = F.struct(F.when(holder, 0).when(fit, 1).otherwise(2).alias("a"), F.when(holder | ~fit, F.lit(0.0)).otherwise(-F.coalesce("font_size", F.lit(12.0))).alias("b"), F.coalesce("y", F.lit(0.0)).alias("c"), "block_id")
-    return S.blocks(spark, sf).where(F.trim(t) != "").groupBy("document_id", "page_number").agg(F.min_by("text", order).alias("title"))
+    """A slide's title: its placeholder, else the largest text that is neither noise nor a sentence, else the topmost short one."""
+    return layout.slide_titles(S.blocks(spark, sf))
 
 
 @query(f"WITH {LINES}, s AS (SELECT document_id, pos, line AS text, line, lag(line) OVER w AS prev, lead(line) OVER w AS next FROM lines WINDOW w AS (PARTITION BY document_id ORDER BY pos)), g AS (SELECT document_id, pos, line, regexp_extract(line, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(\\S.*)$', 1) AS number, CASE WHEN coalesce(prev, '') = '' THEN 2 ELSE 0 END + CASE WHEN coalesce(next, '') = '' THEN 2 ELSE 0 END + CASE WHEN {_SHARE} >= 0.8 THEN 3 WHEN {_SHARE} >= 0.5 THEN 2 ELSE 0 END + CASE WHEN {_WORDS} <= 6 THEN 2 ELSE 0 END + CASE WHEN contains(line, '?') THEN 2 ELSE 0 END AS score FROM s WHERE line <> '' AND NOT {_NOISE}) SELECT document_id, pos, number, line AS name FROM g WHERE number <> '' OR score >= 5")

@@ -197,13 +197,12 @@ def entity_lookup(spark, sf):
     return nodes(spark, sf).join(wanted, "normalized_name", "left_semi").select("workspace_id", "label", "name")
 
 
-@query("SELECT s_suppkey, s_suppkey % 4 <> 3 AND s_suppkey % 5 <> 0 AND s_nationkey <> 7 AS valid FROM supplier")
+@query(f"WITH {_KG}, x AS (SELECT * FROM cf UNION ALL SELECT * FROM ct) SELECT x.kind, x.kind IN ('Organization', 'Person', 'Topic', 'DateFact', 'Amount') AND trim(x.name) <> '' AND l.workspace_id IS NOT NULL AS valid, count(*) AS n FROM x LEFT JOIN live l ON l.document_id = x.document_id GROUP BY ALL")
 def entity_validation(spark, sf):
-    """An entity needs a known label, a name and a workspace."""
-    k = F.col("s_suppkey")
-    label = F.when(k % 4 == 0, "Organization").when(k % 4 == 1, "Person").when(k % 4 == 2, "Topic").otherwise("Document")
-    name, ws = F.when(k % 5 == 0, "  ").otherwise(F.col("s_name")), F.when(F.col("s_nationkey") != 7, F.col("s_nationkey"))
-    return V.table(spark, sf, "supplier").select("s_suppkey", (label.isin(K.NAMED) & (F.trim(name) != "") & ws.isNotNull()).alias("valid"))
+    """How many candidates can be written: of a known kind, with a name and a workspace (those of deleted documents have none)."""
+    docs = S.live(spark, sf).select("document_id", "workspace_id")
+    every = candidates_of_fields(spark, sf).unionByName(candidates_of_text(spark, sf)).join(docs, "document_id", "left")
+    return every.groupBy("kind", K.is_valid().alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # who asks: documents that are processed anew

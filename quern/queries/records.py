@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
+from quern.operators import embedding as EM
 from quern.operators import writes as W
 from quern.registry import query
 from quern.sources import files
 from quern.sources import store as S
 from quern.sources import views as V
+from quern.streaming import stages
+from quern.streaming.jobs import base_folder
 
 A, C, B, J = S.AGREEMENTS, S.CLAUSES, S.BLOCKS, S.JOBS
 
@@ -266,3 +271,47 @@ def session_documents_delete(spark, sf):
 def export_fields(spark, sf):
     """What an export holds: removed fields are left out."""
     return fields(spark, sf).where("status <> 'REMOVED'").select("field_id", "field_name", "field_value")
+
+
+def hashed_bags():
+    """A stand-in for a model: texts to counts of their words' hashes, over 64 slots."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    def encode(texts):
+        out = np.zeros((len(texts), 64), np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall("[0-9a-z]+", t.lower()):
+                out[i, int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        return out
+
+    return encode
+
+
+@query(f"WITH {C}, e AS (SELECT chunk_id, CASE WHEN bool_or(document_id % 2 = 0) OVER (PARTITION BY chunk_text) THEN 1 ELSE 2 END AS version, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(chunk_text), '[0-9a-z]+'), lambda w: ('0x' || substr(sha256(w), 1, 8))::BIGINT % 64))), ',') AS slots FROM clauses) SELECT chunk_id, version, slots, 0 AS n_again FROM e")
+def embed_missing(spark, sf):
+    """Chunks get vectors in two runs, of the even documents and of all; the second encodes only what lacks one, and a third finds nothing."""
+    c = S.clauses(spark, sf).select("chunk_id", "document_id", "chunk_text")
+    root = f"{base_folder(spark)}/vectors-{uuid.uuid4().hex[:12]}"
+    EM.encode_missing(root, c.where("document_id % 2 = 0"), hashed_bags, 64)
+    EM.encode_missing(root, c, hashed_bags, 64)
+    again = EM.encode_missing(root, c, hashed_bags, 64)
+    slots = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return EM.with_vectors(c, root).select("chunk_id", "version", F.array_join(slots.cast("array<string>"), ",").alias("slots"), F.lit(again).alias("n_again"))
+
+
+_STAGES = """ev AS (SELECT document_id, job_id AS event_id, stage, status FROM jobs), st AS (SELECT document_id, stage, arg_max(status, event_id) AS status, max(event_id) AS last, count(DISTINCT CASE WHEN status = 'FAILED' THEN event_id END) AS failures FROM ev GROUP BY ALL),
+pl AS (SELECT *, CASE stage WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 END AS place FROM st),
+do AS (SELECT document_id, max(last) AS last_event, min(CASE WHEN status = 'FAILED' AND failures >= 3 THEN place END) AS given_up, min(CASE WHEN status = 'FAILED' THEN place END) AS failing, list(place) FILTER (WHERE status = 'COMPLETED' AND place IS NOT NULL) AS done FROM pl GROUP BY 1),
+op AS (SELECT *, list_min(list_filter([1, 2, 3], lambda p: NOT coalesce(list_contains(done, p), false))) AS open FROM do)"""
+
+
+@query(f"WITH {J}, {_STAGES} SELECT document_id, CASE WHEN given_up IS NOT NULL THEN 'FAILED' WHEN failing IS NOT NULL THEN 'RETRYING' WHEN open IS NOT NULL THEN 'PROCESSING' ELSE 'READY' END AS status, ['click', 'purchase', 'view'][coalesce(given_up, failing, open)] AS stage, last_event FROM op")
+def stage_stream(spark, sf):
+    """Each document's status from a stream of its stages' events, with state by document and retries."""
+    read = spark.readStream.schema(V.table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    job = S._JOB
+    events = read.selectExpr(f"{job['document_id']} document_id", f"{job['job_id']} event_id", f"{job['stage']} stage", f"{job['status']} status", "cast(ts as timestamp) ts")
+    return stages.run(spark, events, f"{base_folder(spark)}/stages-{uuid.uuid4().hex[:12]}", stall_ms=1 << 42)

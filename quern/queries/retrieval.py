@@ -142,8 +142,8 @@ def hybrid_retrieval(spark, sf):
 
 
 @query(f"""WITH {DOCS}, m AS (SELECT group_id AS mode, processing_status = 'READY' AS ok FROM docs) SELECT mode, count(*) AS n_questions, count(*) FILTER (WHERE ok) AS n_correct, round(count(*) FILTER (WHERE ok) / count(*) - (SELECT count(*) FILTER (WHERE ok) / count(*) FROM m), 6) AS delta FROM m GROUP BY mode""")
-def evaluation_report(spark, sf):
-    """Correct answers by mode, and each mode's difference to the whole."""
+def ready_by_language(spark, sf):
+    """READY documents by language, and each language's difference to the whole."""
     by = V.documents(spark, sf).groupBy(F.col("group_id").alias("mode")).agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("processing_status") == "READY").alias("n_correct"))
     every = Window.partitionBy(F.lit(1))  # a row for each mode
     return by.withColumn("delta", F.round(F.col("n_correct") / F.col("n_questions") - F.sum("n_correct").over(every) / F.sum("n_questions").over(every), 6))

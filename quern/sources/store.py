@@ -68,7 +68,8 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks: chunk_id, document_id, page_number, chunk_text."""
     o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
     both = F.expr(f"array(struct(2 * o_orderkey AS chunk_id, o_orderkey AS document_id, 1 AS page_number, {TEXT} AS chunk_text), CASE WHEN o_orderkey % 2 = 0 THEN struct(2 * o_orderkey + 1 AS chunk_id, o_orderkey AS document_id, 2 AS page_number, {ANNEX} AS chunk_text) END)")
-    return o.select(F.explode(both).alias("c")).where("c is not null").select("c.*")
+    # outer: an inner one would make the texts twice, to find out whether there is one
+    return o.select(F.explode_outer(both).alias("c")).where("c is not null").select("c.*")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
