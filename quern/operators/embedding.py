@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import providers as P
 from quern.operators.kg_store import exists
 
+#: Hexadecimal digits of the hash that name a partition: a join of new texts reads as many.
+DIGITS = 1
 VECTORS = "text_hash string, embedding array<float>, version int, bucket string"
 
 
@@ -34,7 +36,7 @@ def encode_missing(root: str, chunks: DataFrame, make: Callable[[], Callable[[li
     spark = chunks.sparkSession
     texts = chunks.where(F.trim("chunk_text") != "").select(text_hash(F.col("chunk_text")).alias("text_hash"), "chunk_text").dropDuplicates(["text_hash"])
     known = vectors(spark, root)
-    new = texts.withColumn("bucket", F.concat(F.lit("h"), F.substring("text_hash", 1, 2))).join(known.select("bucket", "text_hash"), ["bucket", "text_hash"], "left_anti")
+    new = texts.withColumn("bucket", F.concat(F.lit("h"), F.substring("text_hash", 1, DIGITS))).join(known.select("bucket", "text_hash"), ["bucket", "text_hash"], "left_anti").hint("rebalance", "bucket")
     version = 1 + (known.agg(F.max("version")).first()[0] or 0)
     made = new.select("text_hash", P.encoder(make, dimension)("chunk_text").alias("embedding"), F.lit(version).alias("version"), "bucket")
     made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{root}/vectors")

@@ -125,7 +125,7 @@ def inside(short: DataFrame, long: DataFrame, scope: str) -> DataFrame:
     for n in sizes:
         cut_up = long.select("long_id", scope, F.lit(n).alias("size"), F.explode(grams(F.col("text"), n)).alias("gram"))
         held = cut_up if held is None else held.unionByName(cut_up)
-    held = held.join(asked, [scope, "size", "gram"], "left_semi")
+    held = cut(held.join(asked, [scope, "size", "gram"], "left_semi"), "held")
     counts = held.groupBy(scope, "size", "gram").agg(F.count(F.lit(1)).alias("n"))
     rare = mine.join(counts, [scope, "size", "gram"]).groupBy("short_id", scope, "size", "total").agg(F.min(F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("there"))
     near = rare.where("there = total").select("short_id", scope, "size", "r.gram").join(held, [scope, "size", "gram"]).select("short_id", "long_id")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions import similarity as S
 from quern.functions import text as T
-from quern.sources.stored import few
+from quern.sources.stored import cut, few
 
 #: Partitions of the postings, by the hash of the word.
 BUCKETS = 64
@@ -46,17 +46,20 @@ def similar(queries: DataFrame, grams: DataFrame, chunks: DataFrame, key: list[s
     """question_id, query, key..., score of the chunks(key..., chunk_text) whose trigrams are more than `least` similar to those of a query; grams: see gram_postings.
 
     Of a query's m trigrams more than least * m must be shared, so one of its rarest m - floor(least * m) is: only these are
-    joined, and only where the sizes allow the similarity. The sets of the pairs that are left are then compared in full.
+    joined, and only where the sizes allow the similarity. Pairs that share too few of them for the rest to make up are dropped,
+    the sets of those that are left are compared in full.
     """
     q = queries.select("question_id", "query", S.trigrams(F.col("query")).alias("b")).where("size(b) > 0")
     wanted = q.select(F.explode("b").alias("gram")).distinct()
-    held = grams.join(few(wanted), "gram", "left_semi")
+    held = cut(grams.join(few(wanted), "gram", "left_semi"), "held")
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
     each = q.select("question_id", "query", F.size("b").alias("m"), F.explode("b").alias("gram")).join(counts, "gram", "left")
     by_rarity = Window.partitionBy("question_id", "query").orderBy(F.coalesce("held", F.lit(0)), "gram")
     prefix = each.withColumn("k", F.row_number().over(by_rarity)).where((F.col("k") <= F.col("m") - F.floor(least * F.col("m"))) & F.col("held").isNotNull())
     fits = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
-    near = prefix.join(held, "gram").where(fits).select("question_id", "query", *key).distinct()
+    # what is shared outside the prefix is floor(least * m) at most
+    enough = F.col("shared") + F.floor(least * F.col("m")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
+    near = prefix.join(held, "gram").where(fits).groupBy("question_id", "query", *key, "m", "n").agg(F.count(F.lit(1)).alias("shared")).where(enough).drop("m", "n", "shared")
     texts = chunks.select(*key, S.trigrams(F.col("chunk_text")).alias("a"))
     both = near.join(q, ["question_id", "query"]).join(texts, key)
     return both.select("question_id", "query", *key, S.set_similarity(F.col("a"), F.col("b")).alias("score")).where(F.col("score") > least)

@@ -304,8 +304,8 @@ def embed_missing(spark, sf):
 
 _STAGES = """ev AS (SELECT document_id, job_id AS event_id, stage, status FROM jobs), st AS (SELECT document_id, stage, arg_max(status, event_id) AS status, max(event_id) AS last, count(DISTINCT CASE WHEN status = 'FAILED' THEN event_id END) AS failures FROM ev GROUP BY ALL),
 pl AS (SELECT *, CASE stage WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 END AS place FROM st),
-do AS (SELECT document_id, max(last) AS last_event, min(CASE WHEN status = 'FAILED' AND failures >= 3 THEN place END) AS given_up, min(CASE WHEN status = 'FAILED' THEN place END) AS failing, list(place) FILTER (WHERE status = 'COMPLETED' AND place IS NOT NULL) AS done FROM pl GROUP BY 1),
-op AS (SELECT *, list_min(list_filter([1, 2, 3], lambda p: NOT coalesce(list_contains(done, p), false))) AS open FROM do)"""
+dn AS (SELECT document_id, max(last) AS last_event, min(CASE WHEN status = 'FAILED' AND failures >= 3 THEN place END) AS given_up, min(CASE WHEN status = 'FAILED' THEN place END) AS failing, list(place) FILTER (WHERE status = 'COMPLETED' AND place IS NOT NULL) AS done FROM pl GROUP BY 1),
+op AS (SELECT *, list_min(list_filter([1, 2, 3], lambda p: NOT coalesce(list_contains(done, p), false))) AS open FROM dn)"""
 
 
 @query(f"WITH {J}, {_STAGES} SELECT document_id, CASE WHEN given_up IS NOT NULL THEN 'FAILED' WHEN failing IS NOT NULL THEN 'RETRYING' WHEN open IS NOT NULL THEN 'PROCESSING' ELSE 'READY' END AS status, ['click', 'purchase', 'view'][coalesce(given_up, failing, open)] AS stage, last_event FROM op")
