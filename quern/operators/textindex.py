@@ -14,6 +14,8 @@ from quern.sources.stored import cut, few
 BUCKETS = 64
 #: So many distinct words of the queries are named in the scan's filters; more are joined.
 NAMED = 10_000
+#: Grams of queries, of 24 bytes, that are broadcast at most.
+PREFIX = 500_000
 
 
 def bucket_of(word: str) -> Column:
@@ -49,17 +51,17 @@ def similar(queries: DataFrame, grams: DataFrame, chunks: DataFrame, key: list[s
     joined, and only where the sizes allow the similarity. Pairs that share too few of them for the rest to make up are dropped,
     the sets of those that are left are compared in full.
     """
-    q = queries.select("question_id", "query", S.trigrams(F.col("query")).alias("b")).where("size(b) > 0")
+    q = cut(queries.select("question_id", "query", S.trigrams(F.col("query")).alias("b")).where("size(b) > 0").withColumn("q", F.monotonically_increasing_id()), "queries")
     wanted = q.select(F.explode("b").alias("gram")).distinct()
     held = cut(grams.join(few(wanted), "gram", "left_semi"), "held")
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    each = q.select("question_id", "query", F.size("b").alias("m"), F.explode("b").alias("gram")).join(counts, "gram", "left")
-    by_rarity = Window.partitionBy("question_id", "query").orderBy(F.coalesce("held", F.lit(0)), "gram")
-    prefix = each.withColumn("k", F.row_number().over(by_rarity)).where((F.col("k") <= F.col("m") - F.floor(least * F.col("m"))) & F.col("held").isNotNull())
+    each = q.select("q", F.size("b").alias("m"), F.explode("b").alias("gram")).join(counts, "gram", "left")
+    by_rarity = Window.partitionBy("q").orderBy(F.coalesce("held", F.lit(0)), "gram")
+    prefix = each.withColumn("k", F.row_number().over(by_rarity)).where((F.col("k") <= F.col("m") - F.floor(least * F.col("m"))) & F.col("held").isNotNull()).select("q", "m", "gram")
     fits = (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))
-    # what is shared outside the prefix is floor(least * m) at most
+    # what is shared outside the prefix is floor(least * m) at most; queries go by their number here, and few of them to all chunks
     enough = F.col("shared") + F.floor(least * F.col("m")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
-    near = prefix.join(held, "gram").where(fits).groupBy("question_id", "query", *key, "m", "n").agg(F.count(F.lit(1)).alias("shared")).where(enough).drop("m", "n", "shared")
+    near = held.join(few(cut(prefix, "prefix"), PREFIX), "gram").where(fits).groupBy("q", *key, "m", "n").agg(F.count(F.lit(1)).alias("shared")).where(enough).select("q", *key)
     texts = chunks.select(*key, S.trigrams(F.col("chunk_text")).alias("a"))
-    both = near.join(q, ["question_id", "query"]).join(texts, key)
+    both = near.join(q, "q").join(texts, key)
     return both.select("question_id", "query", *key, S.set_similarity(F.col("a"), F.col("b")).alias("score")).where(F.col("score") > least)

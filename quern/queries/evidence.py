@@ -215,7 +215,7 @@ def topk_vector_scoped(spark, sf):
 
 @query(f"""WITH {CHUNKS}, {DOCS}, {RQ._ALIKE}, r AS (SELECT t.*, d.workspace_id, row_number() OVER (PARTITION BY item_id, d.workspace_id ORDER BY similarity DESC, document_id, pos) AS rank FROM t JOIN docs d USING (document_id) WHERE d.processing_status = 'READY') SELECT item_id, workspace_id, document_id, pos, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 20""")
 def topk_trigram_scoped(spark, sf):
-    """For every benchmark item the twenty most similar sentences of each workspace's READY documents, above 0.3: the scope applies before the limit."""
+    """For every search the twenty most similar sentences of each workspace's READY documents, above 0.3: the scope applies before the limit."""
     docs = V.documents(spark, sf).where("processing_status = 'READY'").select("document_id", "workspace_id")
     t = RQ.alike(spark, sf).join(docs, "document_id")
     return fusion.top(t, 20, [F.desc("similarity"), F.col("document_id"), F.col("pos")], ["item_id", "workspace_id"]).select("item_id", "workspace_id", "document_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")

@@ -73,14 +73,17 @@ def rerank_overlap(spark, sf):
     return s.orderBy(F.desc("score"), "document_id", "pos").limit(30).withColumn("score", F.round("score", 6))
 
 
-#: Every benchmark item against every sentence; only sizes that allow the similarity are compared.
-_ALIKE = f"""ca AS (SELECT document_id, pos, {_TG.format("chunk_text")} AS a FROM chunks), ib AS (SELECT item_id, {_TG.format("text")} AS b FROM benchmark), near AS (SELECT *, len(list_intersect(a, b)) AS o FROM ca JOIN ib ON len(a) > 0 AND len(a) >= 0.3 * len(b) AND len(b) >= 0.3 * len(a)),
+#: The searches, benchmark items whose id is divisible by 50, against every sentence; only sizes that allow the similarity are compared.
+_ALIKE = f"""ca AS (SELECT document_id, pos, {_TG.format("chunk_text")} AS a FROM chunks), ib AS (SELECT item_id, {_TG.format("text")} AS b FROM benchmark WHERE item_id % 50 = 0), near AS (SELECT *, len(list_intersect(a, b)) AS o FROM ca JOIN ib ON len(a) > 0 AND len(a) >= 0.3 * len(b) AND len(b) >= 0.3 * len(a)),
 t AS (SELECT item_id, document_id, pos, o / (len(a) + len(b) - o) AS similarity FROM near WHERE o / (len(a) + len(b) - o) > 0.3)"""
 
 
-def alike(spark, sf):
-    """item_id, document_id, pos, similarity above 0.3 of every benchmark item with every sentence."""
-    items = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+_ALIKE_ALL = _ALIKE.replace(" WHERE item_id % 50 = 0", "")
+
+
+def alike(spark, sf, searches="item_id % 50 = 0"):
+    """item_id, document_id, pos, similarity above 0.3 of the searches, items whose id is divisible by 50 if not said otherwise, with every sentence."""
+    items = V.table(spark, sf, "benchmark").where(searches).select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
     key = ["document_id", "pos"]
     sentences = V.chunks(spark, sf).select(*key, "chunk_text")
     return TI.similar(items, TI.gram_postings(sentences, key), sentences, key).select(F.col("question_id").alias("item_id"), *key, F.col("score").alias("similarity"))
@@ -88,7 +91,7 @@ def alike(spark, sf):
 
 @query(f"""WITH {CHUNKS}, {_ALIKE}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, document_id, pos) AS rank FROM t) SELECT item_id, document_id, pos, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 20""")
 def trigram_search(spark, sf):
-    """For every benchmark item the twenty sentences that are most similar by trigrams, above 0.3."""
+    """For every search the twenty sentences that are most similar by trigrams, above 0.3."""
     return fusion.top(alike(spark, sf), 20, [F.desc("similarity"), F.col("document_id"), F.col("pos")], ["item_id"]).select("item_id", "document_id", "pos", F.round("similarity", 6).alias("similarity"), "rank")
 
 
