@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import rules as R
 from quern.functions import text as T
 from quern.functions import websearch
-from quern.operators import chunking, claims, fusion, kg, scope, writes
+from quern.operators import chunking, claims, fusion, kg, scope, textindex, writes
 from quern.plans import evidence
 from quern.sources import files, stored
 from quern.sources import views as V
@@ -188,7 +188,7 @@ def test_searches_as_a_relation(spark):
         return best
 
     chunks = spark.createDataFrame(list(enumerate(texts)), "id int, tokens array<string>")
-    got = {(r.question_id, r.id): round(r.score, 9) for r in websearch.ranked(df, chunks, ["id"]).collect()}
+    got = {(r.question_id, r.id): round(r.score, 9) for r in websearch.ranked(websearch.phrases_of(df), textindex.postings(chunks.select("id", F.array_join("tokens", " ").alias("chunk_text")), ["id"]), ["id"]).collect()}
     assert got == {(i, k): round(s, 9) for i, q in enumerate(queries) for k, t in enumerate(texts) if (s := plain(websearch.parse(q), t)) is not None}
 
 
