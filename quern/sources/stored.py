@@ -19,10 +19,12 @@ _LOCKS: dict[tuple, threading.RLock] = defaultdict(threading.RLock)
 
 
 def state_of(spark: SparkSession, folder: str) -> tuple:
-    """Name, size and time of each file of a folder of tables: changed input has another state."""
+    """Name, size and time of each file of a folder of tables, none if it isn't there: changed input has another state."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-    found = []
+    store, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    if not store.exists(path):
+        return ()
+    files = store.listFiles(path, True)
     while files.hasNext():
         f = files.next()
         found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
