@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.sources import views as V
 from quern.functions import providers
 from quern.sources import office
 
@@ -81,3 +82,10 @@ def test_model_providers(spark):
     assert df.select(providers.provider(providers.RERANKERS, "overlap")(F.lit("a b"), F.lit("b b c")).alias("s")).first().s == 1.0
     with pytest.raises(ValueError, match="overlap"):
         providers.provider(providers.RERANKERS, "none")
+
+
+def test_vector_text_rounds_the_exact_value(spark):
+    """Halves at the ninth decimal, and floats whose shortest digits end in 5 there though they lie below or above."""
+    values = [0.001953125, -0.001953125, 0.005859375, 0.0, -1e-12, 1.5, 9999999.0, 16777216.0, *(float(np.float32(k / 1e9)) for k in range(5, 200_000, 1970))]
+    df = spark.createDataFrame([(values,)], "v array<float>")
+    assert df.select(V.vector_text(F.col("v"))).first()[0] == f"[{','.join('%.8f' % x for x in values)}]"
