@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import kg as K
 from quern.operators import kg_store as KS
+from quern.queries import kg as G
+
+SF = "/root/testdata/sf0.001"
 
 FIRST = {
     1: ("w1", "Agreement 1", "Vela Corp signed. Expiry date: 2001-06-30"), 2: ("w1", "Agreement 2", "This amends Agreement 1. Expiry date: 2002-06-30. Vela Corp"),
@@ -102,3 +105,17 @@ def test_the_expansion_meets_a_contradiction_and_refuses_it(spark, whole):
     assert edges.where(f"rel_type = 'CONTRADICTS' AND '{fact}' IN (start_id, end_id)").count() == 2
     met = K.expand(seeds, edges, nodes, scope, hops=1)
     assert {r.rel_type for r in met.collect()} == {"EXPIRES_ON"}
+
+
+def test_comparisons_meet_all_of_their_workspace(spark):
+    """Only packages compare six chosen documents."""
+    there = G.live(spark, SF).where("workspace_id = 'w1' AND processing_status = 'READY'").count()
+    assert G.graph_scope(spark, SF).where("question_id = 1").count() == there > 6
+    assert G.graph_scope(spark, SF, chosen=True).where("question_id = 1").count() == 6
+
+
+def test_expansion_builds_no_contradictions(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "stored", lambda s, d, name, make, *by: made.append(name) or make(s, d))
+    G._met(spark, SF)
+    assert "met" in made and "contradicts" not in made
