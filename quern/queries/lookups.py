@@ -58,7 +58,8 @@ SELECT request_id, code, array_to_string(CASE WHEN code = 'OK' THEN found ELSE [
 
 
 def _resolved(spark, sf, kind):
-    return scope.resolve(requests(spark, sf).where(F.col("scope_type") == kind), S.agreements(spark, sf)).select("request_id", "code", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("ids"))
+    shown = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    return scope.resolve(requests(spark, sf).where(F.col("scope_type") == kind), S.agreements(spark, sf), shown).withColumnRenamed("document_ids", "ids")
 
 
 @query(_scope_sql("WORKSPACE", "true", ""))

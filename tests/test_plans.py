@@ -39,3 +39,9 @@ def test_one_row_group_is_many_tasks(spark, tmp_path):
         assert FQ.universal(spark, str(tmp_path)).count() == FQ.universal(spark, SF).count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_scope_is_resolved_once(spark):
+    """The documents of a module were joined and listed for each request for it."""
+    aggregates = [x for x in plan_of(own.queries()["scope_resolve_module"](spark, SF)).splitlines() if "Aggregate" in x and "collect_list" in x]
+    assert any("group_id" in x and "request_id" not in x for x in aggregates)
