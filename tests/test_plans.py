@@ -45,3 +45,11 @@ def test_a_scope_is_resolved_once(spark):
     """The documents of a module were joined and listed for each request for it."""
     aggregates = [x for x in plan_of(own.queries()["scope_resolve_module"](spark, SF)).splitlines() if "Aggregate" in x and "collect_list" in x]
     assert any("group_id" in x and "request_id" not in x for x in aggregates)
+
+
+def test_only_fields_that_give_candidates_are_made(spark):
+    """All fields of a document were made for the graph, titles and references too, and groups of them grew with the input."""
+    df = own.queries()["kg_extract_fields"](spark, SF)
+    plan = plan_of(df)
+    assert "Effective Date[" in plan and "ref(?:erence)" not in plan
+    assert "RepartitionByExpression [chunk_id" in plan
