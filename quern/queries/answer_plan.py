@@ -10,7 +10,7 @@ from quern.queries import claims as CQ
 from quern.queries import evidence as EQ
 from quern.queries import kg as G
 from quern.registry import query
-from quern.sources.stored import stored
+from quern.sources.stored import cut, stored
 
 _DRAFTS = f"""{EQ._WHOLE}, psg AS (SELECT k.question_id, k.chunk_id, k.document_id, k.score, CAST(row_number() OVER (PARTITION BY k.question_id ORDER BY k.score DESC, k.chunk_id) AS INTEGER) AS place, c.chunk_text AS passage, c.page_number, a.title, CASE WHEN c.page_number = 2 THEN 'annex' END AS heading FROM kept k JOIN clauses c ON c.chunk_id = k.chunk_id JOIN agreements a ON a.document_id = k.document_id),
 ln AS (SELECT question_id, place, chunk_id, unnest(range(len(l))) AS ix, unnest(l) AS line FROM (SELECT *, list_transform(string_split(title || coalesce(' (' || heading || ')', '') || ' [Page ' || page_number || ']' || chr(10) || trim(passage), chr(10)), lambda x: trim(x)) AS l FROM psg)),
@@ -29,7 +29,8 @@ def drafts(spark, sf):
 
 def verified(spark, sf):
     evidence = passages(spark, sf).select("question_id", "chunk_id", "place", "text")
-    return C.verify(AP.claims_of(drafts(spark, sf)), evidence, EQ.contradictions(spark, sf))
+    claims = cut(AP.claims_of(drafts(spark, sf)), "claims-of-drafts")
+    return C.verify(claims, evidence, EQ.conflicts(spark, sf, claims))
 
 
 @query(f"{_DRAFTS} SELECT * FROM drafts")

@@ -70,3 +70,25 @@ def test_the_graph_is_kept_without_ids(spark, monkeypatch):
     for name in ("kg_write_entity", "merge_relationship", "bounded_bfs"):
         own.queries()[name](spark, "/root/testdata/sf0.001")
     assert "facts" in kept and not {c for df in kept.values() for c in df.columns} & {"node_id", "doc_node", "start_id", "end_id"}
+
+
+def test_values_that_contradict(spark):
+    r = random.Random(6)
+    links = spark.createDataFrame([(0, k) for k in range(1, 8)] + [(20, 21)], "start_id long, end_id long")
+    rows = [(d, "w1", r.choice(["DateFact", "Amount"]), r.choice(["price", "fee"]), str(r.randrange(4)), "", 1) for d in [*range(9), 20, 21] for _ in range(5)]
+    facts = spark.createDataFrame(sorted(set(rows)), "document_id long, workspace_id string, label string, fact_label string, value string, currency string, q int")
+    seeds = spark.createDataFrame([(d,) for d in (1, 2, 3, 8, 20, 21)], "document_id long")
+    mine = facts.join(seeds, "document_id")
+    want = {(p.label, p.fact_label, *sorted((p.left_value, p.right_value))) for p in K.fact_pairs(seeds, links, mine, ["q"]).collect() if "2" in (p.left_value, p.right_value)}
+    got = K.value_pairs(seeds, links, mine.withColumn("asked", F.col("value") == "2"), ["q"]).collect()
+    assert {(p.label, p.fact_label, *sorted((p.left_value, p.right_value))) for p in got} == want and len(want) > 3 and {p.left_value for p in got} == {"2"}
+
+
+def test_facts_are_copied_for_large_groups_alone(spark, monkeypatch):
+    """Each was copied sixteen times, whatever the size of its group."""
+    monkeypatch.setattr(K, "PART", 3)
+    links = spark.createDataFrame([(0, k) for k in range(1, 20)] + [(50, 51)], "start_id long, end_id long")
+    facts = spark.createDataFrame([(d, "w1", "Amount", "price", str(d % 7), "USD") for d in [*range(20), 50, 51, 60]], "document_id long, workspace_id string, label string, fact_label string, value string, currency string")
+    got = K.fact_pairs(facts.select("document_id"), links, facts, [])
+    assert got.count() == sum(a % 7 != b % 7 for a in range(20) for b in range(a)) + 1
+    assert {tuple(r) for r in got.select("left_node", "right_node").collect()} == {tuple(sorted(r)) for r in got.select("left_node", "right_node").collect()}
