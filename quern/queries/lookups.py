@@ -57,7 +57,14 @@ def _scope_sql(kind: str, where: str, code: str) -> str:
 SELECT request_id, code, array_to_string(CASE WHEN code = 'OK' THEN found ELSE [] END, ',') AS ids FROM c"""
 
 
+#: After how many rows, at least and at most, a writer looks at the size of its page and block. By default after 100 to 10,000, as it
+#: guesses from the rows before: behind requests without documents come lists of megabytes.
+WRITER = {f"parquet.{part}.size.row.check.{end}": n for part in ("page", "block") for end, n in (("min", "1"), ("max", "16"))}
+
+
 def _resolved(spark, sf, kind):
+    for name, rows in WRITER.items():
+        spark.conf.set(name, rows)
     shown = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     return scope.resolve(requests(spark, sf).where(F.col("scope_type") == kind), S.agreements(spark, sf), shown).withColumnRenamed("document_ids", "ids")
 

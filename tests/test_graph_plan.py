@@ -92,3 +92,10 @@ def test_facts_are_copied_for_large_groups_alone(spark, monkeypatch):
     got = K.fact_pairs(facts.select("document_id"), links, facts, [])
     assert got.count() == sum(a % 7 != b % 7 for a in range(20) for b in range(a)) + 1
     assert {tuple(r) for r in got.select("left_node", "right_node").collect()} == {tuple(sorted(r)) for r in got.select("left_node", "right_node").collect()}
+
+
+def test_pages_of_long_lists_are_looked_at_often(spark):
+    """The writer guessed from the empty lists of other requests, and held up to 10,000 long ones in one page."""
+    own.queries()["scope_resolve_module"](spark, "/root/testdata/sf0.001")
+    seen = spark._jsparkSession.sessionState().newHadoopConf()
+    assert [seen.get(f"parquet.{part}.size.row.check.max") for part in ("page", "block")] == ["16", "16"]
