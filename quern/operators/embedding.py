@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import providers as P
 from quern.operators.kg_store import exists
+from quern.sources.stored import CODEC
 
-#: Hexadecimal digits of the hash that name a partition: a join of new texts reads as many.
+#: Hexadecimal digits of the hash that name a partition.
 DIGITS = 1
 VECTORS = "text_hash string, embedding array<float>, version int, bucket string"
 
@@ -36,10 +37,11 @@ def encode_missing(root: str, chunks: DataFrame, make: Callable[[], Callable[[li
     spark = chunks.sparkSession
     texts = chunks.where(F.trim("chunk_text") != "").select(text_hash(F.col("chunk_text")).alias("text_hash"), "chunk_text").dropDuplicates(["text_hash"])
     known = vectors(spark, root)
-    new = texts.withColumn("bucket", F.concat(F.lit("h"), F.substring("text_hash", 1, DIGITS))).join(known.select("bucket", "text_hash"), ["bucket", "text_hash"], "left_anti").hint("rebalance", "bucket")
+    # by the hash alone, so that the texts stay where they were parted; what is moved into buckets are the vectors
+    new = texts.join(known.select("text_hash"), "text_hash", "left_anti")
     version = 1 + (known.agg(F.max("version")).first()[0] or 0)
-    made = new.select("text_hash", P.encoder(make, dimension)("chunk_text").alias("embedding"), F.lit(version).alias("version"), "bucket")
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{root}/vectors")
+    made = new.select("text_hash", P.encoder(make, dimension)("chunk_text").alias("embedding")).select("*", F.lit(version).alias("version"), F.concat(F.lit("h"), F.substring("text_hash", 1, DIGITS)).alias("bucket"))
+    made.hint("rebalance", "bucket").write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{root}/vectors")
     n = spark.read.schema(VECTORS).parquet(f"{root}/vectors").where(F.col("version") == version).count()
     if n:
         spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{root}/published")
