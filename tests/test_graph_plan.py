@@ -1,5 +1,6 @@
 """The graph's plan: what a text gives, nodes and edges by their keys, and what a question meets of them."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
@@ -99,3 +100,23 @@ def test_pages_of_long_lists_are_looked_at_often(spark):
     own.queries()["scope_resolve_module"](spark, "/root/testdata/sf0.001")
     seen = spark._jsparkSession.sessionState().newHadoopConf()
     assert [seen.get(f"parquet.{part}.size.row.check.max") for part in ("page", "block")] == ["16", "16"]
+
+
+def test_around_equals_related(spark):
+    """What a batch reaches was found as pairs with each of its documents."""
+    r = random.Random(7)
+    links = spark.createDataFrame([(r.randrange(30), r.randrange(30)) for _ in range(20)], "start_id long, end_id long")
+    seeds = spark.createDataFrame([(1,), (5,), (5,), (99,)], "node_id long")
+    for hops in (1, 3):
+        got = [x.node_id for x in K.around(seeds, links, hops).collect()]
+        assert len(got) == len(set(got)) and set(got) == {x.node_id for x in K.related(seeds, links, hops).collect()}
+
+
+def test_vectors_are_kept_small(spark, tmp_path):
+    from quern.operators import embedding as EM
+    from quern.queries.records import hashed_bags
+
+    chunks = spark.createDataFrame([("one two",), ("three",), ("one two",), (" ",)], "chunk_text string")
+    assert [EM.encode_missing(f"{tmp_path}/v", chunks, hashed_bags, 64) for _ in range(2)] == [2, 0]
+    files = glob.glob(f"{tmp_path}/v/vectors/**/*.parquet", recursive=True)
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
